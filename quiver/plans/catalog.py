@@ -119,3 +119,160 @@ QUERIES = {
     "knn_l2": q_knn_l2,
     "knn_block": q_knn_block,
 }
+
+
+# ---- judgments ------------------------------------------------------------------------
+
+from quiver.operators import metrics as M  # noqa: E402
+from quiver.plans import evaluate as E  # noqa: E402
+from quiver.sources import qrels as QR  # noqa: E402
+
+KS = [k for _, k in M.parse_metric_list(M.DEFAULT_METRICS)]
+
+
+def _lines(spark, sf):
+    return B.qrels_lines(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def q_qrels_parse(spark, sf):
+    return QR.parse_qrels(_lines(spark, sf))
+
+
+def q_qrels_rejects(spark, sf):
+    """Every line also arrives cut to its first three fields; the cut copies are malformed."""
+    lines = _lines(spark, sf)
+    cut = lines.select((F.col("line_no") + F.lit(1 << 40)).alias("line_no"),
+                       F.substring_index("value", " ", 3).alias("value"))
+    return QR.qrels_rejects(lines.unionByName(cut))
+
+
+def q_qrels_generate(spark, sf):
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("split", F.lit(B.DEFAULT_SPLIT))
+    return QR.generate_identity_qrels(emb, "vec_id", "split")
+
+
+def q_qrel_sets(spark, sf):
+    return QR.qrel_sets(QR.parse_qrels(_lines(spark, sf)))
+
+
+def q_task_last_wins(spark, sf):
+    """Each query's lines twice: the later copy carries another task; the later one wins."""
+    lines = _lines(spark, sf)
+    later = lines.select((F.col("line_no") + F.lit(1 << 40)).alias("line_no"),
+                         F.concat_ws(" ", F.col("value"), F.lit("extra")).alias("value"))
+    relabel = later.select("line_no", F.regexp_replace("value", r" (\d+) extra$", " 9$1").alias("value"))
+    return QR.task_map(QR.parse_qrels(lines.unionByName(relabel)))
+
+
+# ---- evaluation --------------------------------------------------------------------------
+
+def _eval_sides(spark, sf, c_mods=None):
+    v = _views(spark, sf)
+    pool = E.build_pool(v if c_mods is None else v.where(F.col("modality").isin(c_mods)))
+    return E.query_table(v), pool
+
+
+def _label_ranks(spark, sf, c_mods=None):
+    q, p = _eval_sides(spark, sf, c_mods)
+    return E.ranks(q, p, None, E.EvalConfig(exclude_self=True))
+
+
+def q_hit_at_k(spark, sf):
+    per_q = M.per_query(_label_ranks(spark, sf), KS)
+    return per_q.select("qid", "q_mod", "c_mod", "first_rank", *[f"hit_{k}" for k in KS])
+
+
+def q_mrr(spark, sf):
+    per_q = M.per_query(_label_ranks(spark, sf), KS)
+    return per_q.select("qid", "q_mod", "c_mod", (F.round("rr", 6) + F.lit(0.0)).alias("rr"))
+
+
+def q_eval_grid(spark, sf):
+    return M.grid_summary(M.per_query(_label_ranks(spark, sf), KS), KS)
+
+
+def q_grid_missing_modality(spark, sf):
+    """The pool lacks the text-only modality: its three cells are absent, not errors."""
+    return M.grid_summary(M.per_query(_label_ranks(spark, sf, ["i", "it"]), KS), KS)
+
+
+def q_eval_report(spark, sf):
+    q, p = _eval_sides(spark, sf)
+    return E.evaluate(q, p, _lines(spark, sf))
+
+
+def q_eval_report_wide(spark, sf):
+    return M.wide_report(q_eval_report(spark, sf), M.parse_metric_list(M.DEFAULT_METRICS))
+
+
+def q_unjudged_queries(spark, sf):
+    """Per cell: queries with and without a positive judgment; all stay in the MRR mean."""
+    q, p = _eval_sides(spark, sf)
+    lines = _lines(spark, sf)
+    per_q = M.per_query(E.ranks(q, p, lines, E.EvalConfig()), KS)
+    judged = QR.positive_judgments(QR.parse_qrels(lines)).select("qid").distinct().withColumn("judged", F.lit(1))
+    j = per_q.withColumn("qid_s", F.col("qid").cast("string")).join(
+        judged.withColumnRenamed("qid", "qid_s"), "qid_s", "left")
+    return j.groupBy("q_mod", "c_mod").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("judged").alias("n_judged"),
+        F.sum(F.when(F.col("judged").isNull(), 1).otherwise(0)).cast("bigint").alias("n_unjudged"),
+        (F.round(F.avg("rr"), 6) + F.lit(0.0)).alias("mrr"))
+
+
+def q_relevant_hits(spark, sf):
+    """Top-10 hits of every cell that are judged relevant (semi join on string ids)."""
+    u = _unit_views(spark, sf)
+    hits = knn.search_topk(_queries(u), _pool(u), K_SEARCH)
+    judg = QR.positive_judgments(QR.parse_qrels(_lines(spark, sf)))
+    h = hits.withColumn("q_s", F.col("qid").cast("string")).withColumn("d_s", F.col("doc_id").cast("string"))
+    rel = h.join(judg, (h.q_s == judg.qid) & (h.d_s == judg.doc_id), "left_semi")
+    return rel.select("qid", "q_mod", "c_mod", "doc_id", F.col("rank").cast("int").alias("rank"))
+
+
+def q_pool_build(spark, sf):
+    pool = E.build_pool(_views(spark, sf))
+    return pool.select("doc_id", "c_mod", _round_vec(F.col("vec")).alias("vec"))
+
+
+def q_pool_counts(spark, sf):
+    pool = E.build_pool(_views(spark, sf), materialize=False)
+    judged = QR.qrel_sets(QR.parse_qrels(_lines(spark, sf)))
+    a = pool.groupBy(F.col("c_mod").alias("modality")).agg(F.count(F.lit(1)).alias("n"))
+    b = judged.agg(F.count(F.lit(1)).alias("n")).select(F.lit("judged_queries").alias("modality"), "n")
+    return a.unionByName(b)
+
+
+def q_duplicate_ids(spark, sf):
+    """A pool fed with both the embedding ids and the corpus ids: shared ids are reported."""
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"))
+    corpus = B.load_corpus(spark, sf).select(F.col("id").alias("doc_id"))
+    return E.duplicate_ids(emb.unionByName(corpus))
+
+
+def q_modality_fanout(spark, sf):
+    """Three views per corpus record (order i, t, it) with masks."""
+    corpus = B.load_corpus(spark, sf)
+    out = views.fanout_items(corpus, side="cand")
+    return out.select("id", "view_pos", "modality", "txt", "txt_mask", "img_mask")
+
+
+QUERIES.update({
+    "qrels_parse": q_qrels_parse,
+    "qrels_rejects": q_qrels_rejects,
+    "qrels_generate": q_qrels_generate,
+    "qrel_sets": q_qrel_sets,
+    "task_last_wins": q_task_last_wins,
+    "hit_at_k": q_hit_at_k,
+    "mrr": q_mrr,
+    "eval_grid": q_eval_grid,
+    "grid_missing_modality": q_grid_missing_modality,
+    "eval_report": q_eval_report,
+    "eval_report_wide": q_eval_report_wide,
+    "unjudged_queries": q_unjudged_queries,
+    "relevant_hits": q_relevant_hits,
+    "pool_build": q_pool_build,
+    "pool_counts": q_pool_counts,
+    "duplicate_ids": q_duplicate_ids,
+    "modality_fanout": q_modality_fanout,
+})

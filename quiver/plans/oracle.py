@@ -80,3 +80,128 @@ FROM embeddings""",
     "knn_l2": _knn("q.modality = 't'", "c.modality = 't'", 10, metric="l2"),
     "knn_block": _knn("TRUE", "TRUE", 10, exclude_self=True),
 }
+
+
+# ---- judgments ------------------------------------------------------------------------
+
+LINES = """lines AS (
+  SELECT vec_id AS line_no,
+         concat_ws(' ', vec_id::VARCHAR, '0', vec_id::VARCHAR, (label % 3)::VARCHAR, (label % 2)::VARCHAR) AS value
+  FROM embeddings)"""
+
+
+def _parsed(src: str = "lines") -> str:
+    return f"""toks AS (
+  SELECT line_no, value, string_split(trim(regexp_replace(value, '\\s+', ' ', 'g')), ' ') AS parts FROM {src}),
+toks2 AS (SELECT *, CAST(CASE WHEN parts[1] = '' THEN 0 ELSE len(parts) END AS INTEGER) AS n_fields FROM toks),
+parsed AS (
+  SELECT line_no, parts[1] AS qid, parts[3] AS doc_id, CAST(parts[4] AS INTEGER) AS rel,
+         coalesce(parts[5], '0') AS task_id
+  FROM toks2 WHERE n_fields >= 4),
+judg AS (SELECT DISTINCT qid, doc_id FROM parsed WHERE rel > 0),
+tasks AS (SELECT qid, arg_max(task_id, line_no) AS task_id FROM parsed GROUP BY qid)"""
+
+
+KS = [1, 5, 10, 50, 100]
+_HITS = ", ".join(f"CASE WHEN first_rank <= {k} THEN 1 ELSE 0 END AS hit_{k}" for k in KS)
+_SUMS = ", ".join(f"CAST(sum(hit_{k}) AS BIGINT) AS hits_{k}" for k in KS)
+_MOD = "CASE {c} WHEN 'i' THEN 'img_only' WHEN 't' THEN 'txt_only' WHEN 'it' THEN 'img_txt' END"
+
+
+def _ranked(relevance: str, c_filter: str = "TRUE", exclude_self: bool = False) -> str:
+    """CTEs ending in ``perq`` (qid, q_mod, c_mod, first_rank, hit_k.., rr).
+
+    relevance 'label': same label; 'judg': judged pairs (ids as strings).
+    """
+    if relevance == "label":
+        rel, join = "q.label = c.label", ""
+    else:
+        rel = "(j.qid IS NOT NULL)"
+        join = "LEFT JOIN judg j ON j.qid = q.id::VARCHAR AND j.doc_id = c.id::VARCHAR"
+    cond = c_filter + (" AND q.id <> c.id" if exclude_self else "")
+    return f"""scored AS (
+  SELECT q.id AS qid, q.modality AS q_mod, c.modality AS c_mod, c.id AS doc_id, {rel} AS rel,
+         round(list_dot_product(q.vec, c.vec), 6) + 0.0 AS score
+  FROM unit q JOIN unit c ON {cond} {join}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid, q_mod, c_mod ORDER BY score DESC, doc_id) AS rk FROM scored),
+fr AS (SELECT qid, q_mod, c_mod, min(CASE WHEN rel THEN rk END) AS first_rank FROM ranked GROUP BY qid, q_mod, c_mod),
+perq AS (SELECT *, {_HITS}, CASE WHEN first_rank <= 1000 THEN 1.0 / first_rank ELSE 0.0 END AS rr FROM fr)"""
+
+
+def _grid(c_filter: str = "TRUE") -> str:
+    return f"""WITH {UNIT}, {_ranked('label', c_filter, exclude_self=True)}
+SELECT q_mod, c_mod, count(*) AS n, {_SUMS}, round(avg(rr), 6) + 0.0 AS mrr FROM perq GROUP BY q_mod, c_mod"""
+
+
+_REPORT = f"""WITH {UNIT}, {LINES}, {_parsed()}, {_ranked('judg')},
+pt AS (SELECT perq.*, CAST(coalesce(t.task_id, '0') AS INTEGER) AS task_id
+       FROM perq LEFT JOIN tasks t ON t.qid = perq.qid::VARCHAR),
+report AS (
+  SELECT task_id,
+         CASE WHEN task_id = 0 THEN 'Image-to-Text Retrieval' ELSE 'Unknown Task ' || task_id::VARCHAR END AS task,
+         'embeddings' AS dataset, 'test' AS split, 'embeddings' AS cand_pool,
+         {_MOD.format(c='q_mod')} AS query_modality, {_MOD.format(c='c_mod')} AS candidate_modality,
+         count(*) AS n, {_SUMS}, round(avg(rr), 6) + 0.0 AS mrr
+  FROM pt GROUP BY task_id, q_mod, c_mod)"""
+
+CORPUS = """corpus AS (
+  SELECT conv_id AS id,
+         list(text ORDER BY turn) FILTER (WHERE role = 'user') AS questions,
+         arg_min(text, turn) FILTER (WHERE role = 'assistant') AS caption
+  FROM conversations GROUP BY conv_id)"""
+
+SQL.update({
+    "qrels_parse": f"WITH {LINES}, {_parsed()} SELECT line_no, qid, doc_id, rel, task_id FROM parsed",
+    "qrels_rejects": f"""WITH {LINES},
+all_lines AS (SELECT line_no, value FROM lines
+              UNION ALL
+              SELECT line_no + {1 << 40}, regexp_extract(value, '^(\\S+ \\S+ \\S+)', 1) FROM lines),
+{_parsed('all_lines')}
+SELECT line_no, value, n_fields FROM toks2 WHERE n_fields < 4""",
+    "qrels_generate": """SELECT 'test' AS split, vec_id AS id,
+       concat_ws(' ', vec_id::VARCHAR, '0', vec_id::VARCHAR, '1', '0') AS value FROM embeddings""",
+    "qrel_sets": f"""WITH {LINES}, {_parsed()}
+SELECT qid, list_sort(list(doc_id)) AS doc_ids, count(*) AS n_docs FROM judg GROUP BY qid""",
+    "task_last_wins": f"""WITH {LINES},
+all_lines AS (SELECT line_no, value FROM lines
+              UNION ALL
+              SELECT line_no + {1 << 40}, regexp_replace(value || ' extra', ' (\\d+) extra$', ' 9\\1') FROM lines),
+{_parsed('all_lines')}
+SELECT qid, task_id FROM tasks""",
+    "hit_at_k": f"WITH {UNIT}, {_ranked('label', exclude_self=True)} SELECT qid, q_mod, c_mod, first_rank, "
+                + ", ".join(f"hit_{k}" for k in KS) + " FROM perq",
+    "mrr": f"WITH {UNIT}, {_ranked('label', exclude_self=True)} SELECT qid, q_mod, c_mod, round(rr, 6) + 0.0 AS rr FROM perq",
+    "eval_grid": _grid(),
+    "grid_missing_modality": _grid("c.modality IN ('i', 'it')"),
+    "eval_report": _REPORT + " SELECT * FROM report",
+    "eval_report_wide": _REPORT + """
+SELECT task_id AS "TaskID", task AS "Task", dataset AS "Dataset", split AS "Split", cand_pool AS "CandPool",
+       query_modality AS "QueryModality", candidate_modality AS "CandidateModality", """
+    + ", ".join(f'round(hits_{k} / n, 4) AS "Recall@{k}"' for k in KS) + """, round(mrr, 4) AS "MRR"
+FROM report ORDER BY 1, 6, 7""",
+    "unjudged_queries": f"""WITH {UNIT}, {LINES}, {_parsed()}, {_ranked('judg')},
+jq AS (SELECT DISTINCT qid, 1 AS judged FROM judg)
+SELECT q_mod, c_mod, count(*) AS n, count(judged) AS n_judged,
+       CAST(sum(CASE WHEN judged IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_unjudged,
+       round(avg(rr), 6) + 0.0 AS mrr
+FROM perq LEFT JOIN jq ON jq.qid = perq.qid::VARCHAR GROUP BY q_mod, c_mod""",
+    "relevant_hits": f"""WITH {UNIT}, {LINES}, {_parsed()}, {_ranked('judg')}
+SELECT qid, q_mod, c_mod, doc_id, CAST(rk AS INTEGER) AS rank FROM ranked WHERE rk <= 10 AND rel""",
+    "pool_build": f"WITH {UNIT} SELECT id AS doc_id, modality AS c_mod, {_rv('vec')} AS vec FROM unit",
+    "pool_counts": f"""WITH {LINES}, {_parsed()}
+SELECT 'i' AS modality, count(*) AS n FROM embeddings
+UNION ALL SELECT 't', count(*) FROM embeddings
+UNION ALL SELECT 'it', count(*) FROM embeddings
+UNION ALL SELECT 'judged_queries', count(DISTINCT qid) FROM judg""",
+    "duplicate_ids": """SELECT doc_id, count(*) AS count FROM (
+  SELECT vec_id AS doc_id FROM embeddings UNION ALL SELECT DISTINCT conv_id FROM conversations)
+GROUP BY doc_id HAVING count(*) > 1""",
+    "modality_fanout": f"""WITH {CORPUS}
+SELECT id, 0 AS view_pos, 'i' AS modality, '' AS txt, 0 AS txt_mask,
+       CASE WHEN caption IS NULL THEN 0 ELSE 1 END AS img_mask FROM corpus
+UNION ALL
+SELECT id, 1, 't', coalesce(caption, ''), CASE WHEN caption IS NULL OR caption = '' THEN 0 ELSE 1 END, 0 FROM corpus
+UNION ALL
+SELECT id, 2, 'it', coalesce(caption, ''), CASE WHEN caption IS NULL OR caption = '' THEN 0 ELSE 1 END,
+       CASE WHEN caption IS NULL THEN 0 ELSE 1 END FROM corpus""",
+})
