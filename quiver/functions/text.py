@@ -14,7 +14,7 @@ MODALITY_NAMES = {"i": "img_only", "t": "txt_only", "it": "img_txt"}
 TASK_NAMES = {0: "Image-to-Text Retrieval"}
 UNKNOWN_TASK_PREFIX = "Unknown Task "
 # Result card label format, and the placeholder for a missing id.
-CARD_LABEL_FORMAT = "ID: %s, Score: %.4f"
+CARD_LABEL_FORMAT = "ID: %s, Score: %s"    # score shown with 4 decimals
 MISSING_CONTENT_PREFIX = "Content not found for ID: "
 
 
@@ -56,9 +56,14 @@ def binary_mask(img: ColumnOrName) -> Column:
     return F.when(_c(img).isNull(), F.lit(0)).otherwise(F.lit(1))
 
 
+def strip_ws(c: ColumnOrName) -> Column:
+    """Strip leading and trailing whitespace (space, tab, newline, CR, FF, VT), like str.strip()."""
+    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+
+
 def valid_questions(questions: ColumnOrName) -> Column:
-    """Trimmed, non-null, non-blank questions, in order."""
-    return F.filter(F.transform(_c(questions), lambda q: F.trim(q)),
+    """Stripped, non-null, non-blank questions, in order."""
+    return F.filter(F.transform(_c(questions), lambda q: strip_ws(q)),
                     lambda q: q.isNotNull() & (q != F.lit("")))
 
 
@@ -67,9 +72,9 @@ def first_question(questions: ColumnOrName) -> Column:
     return F.coalesce(F.get(valid_questions(questions), 0), F.lit(""))
 
 
-def hash_draw(id_col: ColumnOrName, seed: ColumnOrName) -> Column:
-    """Deterministic 32-bit draw from md5(id-seed); reproducible in SQL engines."""
-    key = F.concat_ws("-", _c(id_col).cast("string"), _c(seed).cast("string"))
+def hash_draw(*parts: ColumnOrName) -> Column:
+    """Deterministic 32-bit draw from md5 of the '-'-joined parts; reproducible in SQL engines."""
+    key = F.concat_ws("-", *[_c(p).cast("string") for p in parts])
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
 
@@ -81,4 +86,7 @@ def sampled_question(questions: ColumnOrName, id_col: ColumnOrName, seed: Column
 
 
 def card_label(doc_id: ColumnOrName, score: ColumnOrName) -> Column:
-    return F.format_string(CARD_LABEL_FORMAT, _c(doc_id).cast("string"), _c(score))
+    """``ID: <id>, Score: <score to 4 places>``; the score is rounded half-up as a decimal
+    (a float format would round the binary value and disagree across engines)."""
+    s4 = F.round(_c(score).cast("decimal(18,6)"), 4).cast("string")
+    return F.format_string(CARD_LABEL_FORMAT, _c(doc_id).cast("string"), s4)

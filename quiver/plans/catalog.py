@@ -276,3 +276,167 @@ QUERIES.update({
     "duplicate_ids": q_duplicate_ids,
     "modality_fanout": q_modality_fanout,
 })
+
+
+# ---- views and pairs ------------------------------------------------------------------
+
+from quiver.functions import text as T  # noqa: E402
+from quiver.operators import lookup, pairs  # noqa: E402
+
+SEED = 42
+BATCH = 32
+SHARDS = 4
+STEP_BATCHES = 4          # batches whose positives are gathered together
+LOGIT_SCALE = 100.0
+CARD_TOP_K = 7
+
+
+def _has_img(c="img"):
+    return F.when(F.col(c).isNull(), 0).otherwise(1).alias("has_img")
+
+
+def q_candidate_view(spark, sf):
+    corpus = B.load_corpus(spark, sf)
+    parts = [views.candidate_view(corpus, m) for m in ["it", "i", "t", "unknown"]]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("id", "modality", "txt", _has_img())
+
+
+def q_query_view(spark, sf):
+    corpus = B.load_corpus(spark, sf)
+    parts = [views.query_view(corpus, m) for m in views.MODALITIES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("id", "modality", "txt", _has_img())
+
+
+def q_first_question(spark, sf):
+    return B.load_corpus(spark, sf).select("id", T.first_question("questions").alias("question"))
+
+
+def q_sampled_question(spark, sf):
+    c = B.load_corpus(spark, sf)
+    return c.select("id", T.sampled_question("questions", "id", F.lit(SEED)).alias("question"))
+
+
+def _query_items(spark, sf):
+    corpus = B.load_corpus(spark, sf)
+    parts = [views.query_view(corpus, m) for m in views.MODALITIES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return views.with_masks(out)
+
+
+def q_mask_columns(spark, sf):
+    return _query_items(spark, sf).select("id", "modality", "txt", "txt_mask", "img_mask")
+
+
+def q_valid_queries(spark, sf):
+    ok, rejected = views.valid_queries(_query_items(spark, sf))
+    return (ok.select("id", "modality", F.lit("ok").alias("status"))
+              .unionByName(rejected.select("id", "modality", F.lit("rejected").alias("status"))))
+
+
+def _pairs_out(p):
+    return p.select("id", "q_mode", "t_mode", F.col("query.txt").alias("q_txt"), _has_img("query.img").alias("q_has_img"),
+                    F.col("pos_cand.txt").alias("c_txt"), _has_img("pos_cand.img").alias("c_has_img"))
+
+
+def q_train_pairs(spark, sf):
+    return _pairs_out(pairs.train_pairs(B.load_corpus(spark, sf), SEED, epoch=0))
+
+
+def q_train_pairs_fixed_target(spark, sf):
+    return _pairs_out(pairs.train_pairs(B.load_corpus(spark, sf), SEED, epoch=0, fixed_target=True))
+
+
+def q_pair_flatten(spark, sf):
+    p = pairs.train_pairs(B.load_corpus(spark, sf), SEED, epoch=0)
+    b = pairs.epoch_batches(p, "id", 8, SEED, 0, SHARDS)
+    return pairs.pair_flatten(b)
+
+
+def q_epoch_batches(spark, sf):
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id")
+    return pairs.epoch_batches(emb, "vec_id", BATCH, SEED, 1, SHARDS).select("vec_id", "shard", "batch_id", "pos")
+
+
+def _contrastive_sides(spark, sf):
+    base = B.load_base_vectors(spark, sf)
+    b = pairs.epoch_batches(base, "id", BATCH, SEED, 0, SHARDS)
+    q = b.select("batch_id", "pos", V.mask_gate("img_vec", "img_mask").alias("vec"))
+    p = b.select("batch_id", F.col("pos").alias("col"), V.mask_gate("txt_vec", "txt_mask").alias("vec"))
+    return b, q, p
+
+
+def q_contrastive_eval(spark, sf):
+    _, q, p = _contrastive_sides(spark, sf)
+    return pairs.contrastive_eval(q, p, LOGIT_SCALE)
+
+
+def q_contrastive_eval_global(spark, sf):
+    """Positives of STEP_BATCHES consecutive batches of a shard are gathered into one logit row."""
+    b, _, _ = _contrastive_sides(spark, sf)
+    local = F.col("batch_id") % F.lit(1 << 32)
+    b = (b.withColumn("step_id", F.col("batch_id") - local + F.floor(local / STEP_BATCHES).cast("bigint"))
+          .withColumn("rnk", (local % STEP_BATCHES).cast("int")))
+    q = b.select("batch_id", "step_id", "pos", "rnk", V.mask_gate("img_vec", "img_mask").alias("vec"))
+    p = b.select("step_id", (F.col("rnk") * BATCH + F.col("pos")).alias("col"),
+                 V.mask_gate("txt_vec", "txt_mask").alias("vec"))
+    return pairs.contrastive_eval(q, p, LOGIT_SCALE, group_col="step_id", col_offset=F.col("rnk") * BATCH)
+
+
+def q_argmax_accuracy(spark, sf):
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return pairs.argmax_accuracy(emb.select(F.slice("embedding", 1, 10).alias("logits"), "label"), "logits", "label")
+
+
+# ---- content, cards, vectors of hits ------------------------------------------------------
+
+def _it_hits(spark, sf, k):
+    u = _unit_views(spark, sf)
+    return u, knn.search_topk(_queries(u, ["it"]), _pool(u, ["it"]), k)
+
+
+def q_content_lookup(spark, sf):
+    _, hits = _it_hits(spark, sf, K_SEARCH)
+    out = lookup.content_lookup(_hits_out(hits), B.load_corpus(spark, sf))
+    return out.drop("image_content")
+
+
+def q_search_cards(spark, sf):
+    u, hits = _it_hits(spark, sf, CARD_TOP_K)
+    return lookup.search_cards(_queries(u, ["it"]), hits, B.load_corpus(spark, sf))
+
+
+def q_hit_vectors(spark, sf):
+    u = _unit_views(spark, sf)
+    hits = knn.search_topk(_queries(u), _pool(u), K_SEARCH)
+    raw = _views(spark, sf).select("id", F.col("modality").alias("c_mod"), "vec")
+    found, _ = lookup.hit_vectors(hits, raw)
+    return found.select("qid", "q_mod", "c_mod", F.col("rank").cast("int").alias("rank"), "doc_id",
+                        (V.round_score(V.l2_norm("vec")) + F.lit(0.0)).alias("norm"))
+
+
+QUERIES.update({
+    "candidate_view": q_candidate_view,
+    "query_view": q_query_view,
+    "first_question": q_first_question,
+    "sampled_question": q_sampled_question,
+    "mask_columns": q_mask_columns,
+    "valid_queries": q_valid_queries,
+    "train_pairs": q_train_pairs,
+    "train_pairs_fixed_target": q_train_pairs_fixed_target,
+    "pair_flatten": q_pair_flatten,
+    "epoch_batches": q_epoch_batches,
+    "contrastive_eval": q_contrastive_eval,
+    "contrastive_eval_global": q_contrastive_eval_global,
+    "argmax_accuracy": q_argmax_accuracy,
+    "content_lookup": q_content_lookup,
+    "search_cards": q_search_cards,
+    "hit_vectors": q_hit_vectors,
+})

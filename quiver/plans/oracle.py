@@ -205,3 +205,147 @@ UNION ALL
 SELECT id, 2, 'it', coalesce(caption, ''), CASE WHEN caption IS NULL OR caption = '' THEN 0 ELSE 1 END,
        CASE WHEN caption IS NULL THEN 0 ELSE 1 END FROM corpus""",
 })
+
+
+# ---- views and pairs ------------------------------------------------------------------
+
+def _draw(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('-', {', '.join(parts)})), 1, 8))::BIGINT"
+
+
+VQ = "list_filter(list_transform(questions, lambda q: regexp_replace(q, '^\\s+|\\s+$', '', 'g')), lambda q: q IS NOT NULL AND q <> '')"
+FIRST_Q = f"coalesce(({VQ})[1], '')"
+
+
+def _sampled(key: str, seed: str) -> str:
+    return f"CASE WHEN len({VQ}) > 0 THEN ({VQ})[({_draw(key, seed)} % len({VQ})) + 1] ELSE '' END"
+
+
+def _cand(mode: str) -> str:
+    txt = {"it": "caption", "i": "''", "t": "caption"}.get(mode, "''")
+    has = {"it": "CASE WHEN caption IS NULL THEN 0 ELSE 1 END", "i": "CASE WHEN caption IS NULL THEN 0 ELSE 1 END"}
+    return f"SELECT id, '{mode}' AS modality, {txt} AS txt, {has.get(mode, '0')} AS has_img FROM corpus"
+
+
+def _query(mode: str) -> str:
+    txt = {"it": FIRST_Q, "i": "''", "t": FIRST_Q}[mode]
+    has = "CASE WHEN caption IS NULL THEN 0 ELSE 1 END" if mode in ("it", "i") else "0"
+    return f"SELECT id, '{mode}' AS modality, {txt} AS txt, {has} AS has_img FROM corpus"
+
+
+QITEMS = f"""qv AS ({_query('it')} UNION ALL {_query('i')} UNION ALL {_query('t')}),
+qitems AS (SELECT id, modality, coalesce(txt, '') AS txt,
+                  CASE WHEN txt IS NULL OR txt = '' THEN 0 ELSE 1 END AS txt_mask, has_img AS img_mask FROM qv)"""
+
+MODES = "['img_txt', 'img_only', 'txt_only']"
+
+
+def _pairs(fixed_target: bool) -> str:
+    t_mode = "'img_txt'" if fixed_target else f"{MODES}[({_draw('id::VARCHAR', chr(39) + '42' + chr(39), chr(39) + '0' + chr(39), chr(39) + 'target' + chr(39))} % 3) + 1]"
+    return f"""p0 AS (
+  SELECT id, caption, caption IS NOT NULL AS has_image,
+         {_sampled("concat_ws('-', id::VARCHAR, '0')", "'42'")} AS q,
+         {MODES}[({_draw('id::VARCHAR', "'42'", "'0'", "'query'")} % 3) + 1] AS q_mode,
+         {t_mode} AS t_mode
+  FROM corpus),
+pairs AS (
+  SELECT id, q_mode, t_mode,
+         CASE q_mode WHEN 'img_txt' THEN q WHEN 'img_only' THEN '' ELSE q END AS q_txt,
+         CASE WHEN q_mode = 'txt_only' OR NOT has_image THEN 0 ELSE 1 END AS q_has_img,
+         CASE t_mode WHEN 'img_txt' THEN caption WHEN 'img_only' THEN '' ELSE caption END AS c_txt,
+         CASE WHEN t_mode = 'txt_only' OR NOT has_image THEN 0 ELSE 1 END AS c_has_img
+  FROM p0)"""
+
+
+def _batches(src: str, id_col: str, bs: int, seed: int, epoch: int, shards: int, name: str = "b") -> str:
+    return f"""{name}_d AS (SELECT *, {_draw(f'{id_col}::VARCHAR', f"'{seed}'", f"'{epoch}'")} AS _draw FROM {src}),
+{name}_s AS (SELECT *, CAST(_draw % {shards} AS INTEGER) AS shard FROM {name}_d),
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY _draw, {id_col}) - 1 AS _rn FROM {name}_s),
+{name} AS (SELECT * EXCLUDE (_draw, _rn), shard::BIGINT * 4294967296 + (_rn // {bs}) AS batch_id,
+                  CAST(_rn % {bs} AS INTEGER) AS pos FROM {name}_r)"""
+
+
+def _eps(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / greatest(sqrt(list_sum(list_transform({v}, lambda y: y * y))), 1e-6))"
+
+
+def _contrastive(global_: bool) -> str:
+    if global_:
+        step = """b2 AS (SELECT *, batch_id - (batch_id % 4294967296) + ((batch_id % 4294967296) // 4) AS step_id,
+                     CAST((batch_id % 4294967296) % 4 AS INTEGER) AS rnk FROM b),"""
+        q = f"SELECT batch_id, step_id AS g, pos, rnk * 32 + pos AS target, {_eps('list_transform(img_vec, lambda x: x * img_mask)')} AS qv FROM b2"
+        p = f"SELECT step_id AS g, rnk * 32 + pos AS col, {_eps('list_transform(txt_vec, lambda x: x * txt_mask)')} AS pv FROM b2"
+    else:
+        step = ""
+        q = f"SELECT batch_id, batch_id AS g, pos, pos AS target, {_eps('list_transform(img_vec, lambda x: x * img_mask)')} AS qv FROM b"
+        p = f"SELECT batch_id AS g, pos AS col, {_eps('list_transform(txt_vec, lambda x: x * txt_mask)')} AS pv FROM b"
+    return f"""WITH {BASE}, {_batches('base', 'id', 32, 42, 0, 4)}, {step}
+q AS ({q}), p AS ({p}),
+s AS (SELECT q.batch_id, q.pos, q.target, p.col, list_dot_product(q.qv, p.pv) * 100.0 AS s FROM q JOIN p ON q.g = p.g),
+s2 AS (SELECT *, max(s) OVER (PARTITION BY batch_id, pos) AS m FROM s),
+pq AS (SELECT batch_id, pos, max(m) + ln(sum(exp(s - m))) - max(CASE WHEN col = target THEN s END) AS loss,
+              CASE WHEN min(col) FILTER (WHERE s = m) = max(target) THEN 1.0 ELSE 0.0 END AS correct
+       FROM s2 GROUP BY batch_id, pos)
+SELECT batch_id, count(*) AS n, round(avg(loss), 6) + 0.0 AS loss, round(avg(correct), 6) + 0.0 AS accuracy
+FROM pq GROUP BY batch_id"""
+
+
+def _it_hits(k: int) -> str:
+    return f"""scored AS (
+  SELECT q.id AS qid, q.modality AS q_mod, c.modality AS c_mod, c.id AS doc_id,
+         round(list_dot_product(q.vec, c.vec), 6) + 0.0 AS score
+  FROM unit q JOIN unit c ON q.modality = 'it' AND c.modality = 'it'),
+hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, q_mod, c_mod ORDER BY score DESC, doc_id)
+                                       AS INTEGER) AS rank FROM scored) WHERE rank <= {k})"""
+
+
+SQL.update({
+    "candidate_view": f"WITH {CORPUS} {_cand('it')} UNION ALL {_cand('i')} UNION ALL {_cand('t')} UNION ALL {_cand('unknown')}",
+    "query_view": f"WITH {CORPUS} {_query('it')} UNION ALL {_query('i')} UNION ALL {_query('t')}",
+    "first_question": f"WITH {CORPUS} SELECT id, {FIRST_Q} AS question FROM corpus",
+    "sampled_question": f"WITH {CORPUS} SELECT id, {_sampled('id::VARCHAR', chr(39) + '42' + chr(39))} AS question FROM corpus",
+    "mask_columns": f"WITH {CORPUS}, {QITEMS} SELECT id, modality, txt, txt_mask, img_mask FROM qitems",
+    "valid_queries": f"""WITH {CORPUS}, {QITEMS}
+SELECT id, modality, CASE WHEN txt_mask = 1 OR img_mask = 1 THEN 'ok' ELSE 'rejected' END AS status FROM qitems""",
+    "train_pairs": f"WITH {CORPUS}, {_pairs(False)} SELECT * FROM pairs",
+    "train_pairs_fixed_target": f"WITH {CORPUS}, {_pairs(True)} SELECT * FROM pairs",
+    "pair_flatten": f"""WITH {CORPUS}, {_pairs(False)}, {_batches('pairs', 'id', 8, 42, 0, 4)}
+SELECT batch_id, pos * 2 AS idx, 'query' AS role, coalesce(q_txt, '') AS txt,
+       CASE WHEN q_txt IS NULL OR q_txt = '' THEN 0 ELSE 1 END AS txt_mask, q_has_img AS img_mask FROM b
+UNION ALL
+SELECT batch_id, pos * 2 + 1, 'pos_cand', coalesce(c_txt, ''),
+       CASE WHEN c_txt IS NULL OR c_txt = '' THEN 0 ELSE 1 END, c_has_img FROM b""",
+    "epoch_batches": f"""WITH e AS (SELECT vec_id FROM embeddings), {_batches('e', 'vec_id', 32, 42, 1, 4)}
+SELECT vec_id, shard, batch_id, pos FROM b""",
+    "contrastive_eval": _contrastive(False),
+    "contrastive_eval_global": _contrastive(True),
+    "argmax_accuracy": """SELECT count(*) AS n,
+       CAST(sum(CASE WHEN list_position(l, list_max(l)) - 1 = label THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
+       avg(CASE WHEN list_position(l, list_max(l)) - 1 = label THEN 1.0 ELSE 0.0 END) AS accuracy
+FROM (SELECT embedding[1:10] AS l, label FROM embeddings)""",
+    "content_lookup": f"""WITH {UNIT}, {CORPUS}, {_it_hits(10)}
+SELECT h.*, CASE WHEN c.id IS NULL THEN 'missing' ELSE 'found' END AS type,
+       CASE WHEN c.id IS NULL THEN 'Content not found for ID: ' || h.doc_id::VARCHAR ELSE c.caption END AS text_content
+FROM hits h LEFT JOIN corpus c ON c.id = h.doc_id""",
+    "search_cards": f"""WITH {UNIT}, {CORPUS}, {_it_hits(7)},
+cards AS (
+  SELECT h.qid, h.rank AS slot, h.doc_id, h.score,
+         CASE WHEN c.id IS NULL THEN 'missing' ELSE 'found' END AS type,
+         printf('ID: %s, Score: %s', h.doc_id::VARCHAR, round(h.score::DECIMAL(18, 6), 4)::VARCHAR) || chr(10) ||
+         coalesce(CASE WHEN c.id IS NULL THEN 'Content not found for ID: ' || h.doc_id::VARCHAR ELSE c.caption END, 'None')
+           AS text
+  FROM hits h LEFT JOIN corpus c ON c.id = h.doc_id),
+slots AS (SELECT u.id AS qid, CAST(s.slot AS INTEGER) AS slot FROM unit u, range(1, 11) s(slot) WHERE u.modality = 'it')
+SELECT s.qid, s.slot, c.doc_id, c.score, c.type, coalesce(c.text, '') AS text
+FROM slots s LEFT JOIN cards c ON c.qid = s.qid AND c.slot = s.slot""",
+    "hit_vectors": f"""WITH {UNIT},
+scored AS (
+  SELECT q.id AS qid, q.modality AS q_mod, c.modality AS c_mod, c.id AS doc_id,
+         round(list_dot_product(q.vec, c.vec), 6) + 0.0 AS score
+  FROM unit q JOIN unit c ON TRUE),
+hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, q_mod, c_mod ORDER BY score DESC, doc_id)
+                                       AS INTEGER) AS rank FROM scored) WHERE rank <= 5)
+SELECT h.qid, h.q_mod, h.c_mod, h.rank, h.doc_id,
+       round(sqrt(list_sum(list_transform(v.vec, lambda x: x * x))), 6) + 0.0 AS norm
+FROM hits h JOIN views v ON v.id = h.doc_id AND v.modality = h.c_mod""",
+})
