@@ -440,3 +440,82 @@ QUERIES.update({
     "search_cards": q_search_cards,
     "hit_vectors": q_hit_vectors,
 })
+
+
+# ---- run log ---------------------------------------------------------------------------
+
+from quiver.operators import runlog  # noqa: E402
+
+LOG_CHUNK_STEPS = 1000     # small chunks and blocks so the split paths run at every scale
+LOG_BLOCK_ROWS = 256
+LOSS_METRIC = "error"
+WIDE_COLUMNS = sorted(f"{p}_{m}" for m, p in B.PHASE_OF_METRIC.items())
+
+
+def _r6(c):
+    return (F.round(c, 6) + F.lit(0.0))
+
+
+def _log(spark, sf):
+    return B.metric_log(spark.read.parquet(f"{sf}/events.parquet"))
+
+
+def _epoch_stats(spark, sf):
+    return B.epoch_stats(spark.read.parquet(f"{sf}/events.parquet"))
+
+
+def q_rolling_meter(spark, sf):
+    """Series keyed by metric alone (five hot keys)."""
+    m = runlog.rolling_meter(_log(spark, sf), ["metric"], block_rows=LOG_BLOCK_ROWS, chunk_steps=LOG_CHUNK_STEPS)
+    return m.select("metric", "step", "value", "window_n", "median", _r6(F.col("avg")).alias("avg"), "max")
+
+
+def q_cumulative_avg(spark, sf):
+    c = runlog.cumulative_avg(_log(spark, sf), ["metric"], chunk_steps=LOG_CHUNK_STEPS)
+    return c.select("metric", "step", "value", "count", _r6(F.col("cum_avg")).alias("cum_avg"))
+
+
+def q_running_best(spark, sf):
+    r = runlog.running_best(_epoch_stats(spark, sf), ["run_id", "metric"], chunk_steps=8)
+    return r.select("run_id", "metric", "epoch", _r6(F.col("value")).alias("value"),
+                    _r6(F.col("best_so_far")).alias("best_so_far"), "is_best")
+
+
+def q_global_avg(spark, sf):
+    g = runlog.global_avg(_log(spark, sf), ["run_id", "metric"])
+    return g.select("run_id", "metric", "count", _r6(F.col("total")).alias("total"),
+                    _r6(F.col("global_avg")).alias("global_avg"))
+
+
+def q_epoch_means(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("user_id").alias("run_id"), F.dayofmonth("ts").alias("epoch"), F.col("event_type").alias("metric"),
+        "value")
+    e = runlog.epoch_means(events, ["run_id", "epoch", "metric"])
+    return e.select("run_id", "epoch", "metric", "n", _r6(F.col("mean")).alias("mean"))
+
+
+def _best_epoch(spark, sf):
+    loss = _epoch_stats(spark, sf).where(F.col("metric") == LOSS_METRIC).withColumnRenamed("value", "loss")
+    return runlog.best_epoch(loss)
+
+
+def q_best_epoch(spark, sf):
+    return _best_epoch(spark, sf).select("run_id", "best_epoch", _r6(F.col("best_loss")).alias("best_loss"))
+
+
+def q_run_stats_wide(spark, sf):
+    s = _epoch_stats(spark, sf).withColumn("value", _r6(F.col("value")))
+    wide = runlog.stats_wide(s, ["run_id", "epoch"], "phase", "metric", "value", WIDE_COLUMNS)
+    return wide.join(_best_epoch(spark, sf).select("run_id", "best_epoch"), "run_id", "left")
+
+
+QUERIES.update({
+    "rolling_meter": q_rolling_meter,
+    "cumulative_avg": q_cumulative_avg,
+    "running_best": q_running_best,
+    "global_avg": q_global_avg,
+    "epoch_means": q_epoch_means,
+    "best_epoch": q_best_epoch,
+    "run_stats_wide": q_run_stats_wide,
+})

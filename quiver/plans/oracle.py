@@ -349,3 +349,48 @@ SELECT h.qid, h.q_mod, h.c_mod, h.rank, h.doc_id,
        round(sqrt(list_sum(list_transform(v.vec, lambda x: x * x))), 6) + 0.0 AS norm
 FROM hits h JOIN views v ON v.id = h.doc_id AND v.modality = h.c_mod""",
 })
+
+
+# ---- run log ---------------------------------------------------------------------------
+
+ES = """es AS (
+  SELECT user_id AS run_id, CAST(day(ts) AS INTEGER) AS epoch, event_type AS metric,
+         sum(value::DECIMAL(38, 12))::DOUBLE / count(*) AS value,
+         CASE event_type WHEN 'click' THEN 'train' WHEN 'view' THEN 'train' WHEN 'purchase' THEN 'val'
+                         WHEN 'signup' THEN 'val' WHEN 'error' THEN 'test' ELSE 'train' END AS phase
+  FROM events GROUP BY user_id, day(ts), event_type)"""
+
+BEST = """best AS (
+  SELECT run_id, epoch AS best_epoch, value AS best_loss FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value ASC, epoch DESC) AS rn
+    FROM es WHERE metric = 'error') WHERE rn = 1)"""
+
+SQL.update({
+    "rolling_meter": """SELECT event_type AS metric, event_id AS step, value, count(*) OVER w AS window_n,
+       list_sort(list(value) OVER w)[CAST(ceil(count(*) OVER w / 2) AS INTEGER)] AS median,
+       round((sum(value::DECIMAL(38, 12)) OVER w)::DOUBLE / count(*) OVER w, 6) + 0.0 AS avg,
+       max(value) OVER w AS max
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
+    "cumulative_avg": """SELECT event_type AS metric, event_id AS step, value, count(*) OVER w AS count,
+       round((sum(value::DECIMAL(38, 12)) OVER w)::DOUBLE / count(*) OVER w, 6) + 0.0 AS cum_avg
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "running_best": f"""WITH {ES}
+SELECT run_id, metric, epoch, round(value, 6) + 0.0 AS value, round(min(value) OVER w, 6) + 0.0 AS best_so_far,
+       value <= min(value) OVER w AS is_best
+FROM es WINDOW w AS (PARTITION BY run_id, metric ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "global_avg": """SELECT user_id AS run_id, event_type AS metric, count(*) AS count,
+       round(sum(value::DECIMAL(38, 12))::DOUBLE, 6) + 0.0 AS total,
+       round(sum(value::DECIMAL(38, 12))::DOUBLE / count(*), 6) + 0.0 AS global_avg
+FROM events GROUP BY user_id, event_type""",
+    "epoch_means": """SELECT user_id AS run_id, CAST(day(ts) AS INTEGER) AS epoch, event_type AS metric, count(*) AS n,
+       round(sum(value::DECIMAL(38, 12))::DOUBLE / count(*), 6) + 0.0 AS mean
+FROM events GROUP BY user_id, day(ts), event_type""",
+    "best_epoch": f"WITH {ES}, {BEST} SELECT run_id, best_epoch, round(best_loss, 6) + 0.0 AS best_loss FROM best",
+    "run_stats_wide": f"""WITH {ES}, {BEST}
+SELECT es.run_id, es.epoch,
+       """ + ",\n       ".join(
+        f"max(CASE WHEN phase || '_' || metric = '{c}' THEN round(value, 6) + 0.0 END) AS {c}"
+        for c in sorted(["train_click", "train_view", "val_purchase", "val_signup", "test_error"])) + """,
+       max(best.best_epoch) AS best_epoch
+FROM es LEFT JOIN best ON best.run_id = es.run_id GROUP BY es.run_id, es.epoch""",
+})

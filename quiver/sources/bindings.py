@@ -91,14 +91,16 @@ def metric_log(events: DataFrame) -> DataFrame:
     )
 
 
-def epoch_stats(events: DataFrame) -> DataFrame:
-    """Per-epoch statistics: epoch = day of month of ts, mean value per (run, epoch, metric).
+# The phase each event type stands for in the per-epoch statistics.
+PHASE_OF_METRIC = {"click": "train", "view": "train", "purchase": "val", "signup": "val", "error": "test"}
 
-    The phase is derived from the metric name so that several phases occur.
-    """
+
+def epoch_stats(events: DataFrame) -> DataFrame:
+    """Per-epoch statistics (run_id, epoch, metric, phase, value): epoch = day of month of ts,
+    value = mean of the events' values (exact decimal sum / count)."""
     e = events.select(F.col("user_id").alias("run_id"), F.dayofmonth("ts").alias("epoch"),
-                      F.col("event_type").alias("metric"), F.col("value").cast("decimal(12,2)").alias("v"))
+                      F.col("event_type").alias("metric"), F.col("value").cast("decimal(38,12)").alias("v"))
+    phase = F.create_map(*[x for kv in PHASE_OF_METRIC.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     return (e.groupBy("run_id", "epoch", "metric")
-             .agg((F.sum("v") / F.count(F.lit(1))).cast("double").alias("value")))
-
-
+             .agg((F.sum("v").cast("double") / F.count(F.lit(1))).alias("value"))
+             .withColumn("phase", F.coalesce(phase[F.col("metric")], F.lit("train"))))
