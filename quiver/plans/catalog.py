@@ -519,3 +519,38 @@ QUERIES.update({
     "best_epoch": q_best_epoch,
     "run_stats_wide": q_run_stats_wide,
 })
+
+
+# ---- encoders -----------------------------------------------------------------------
+
+from quiver.operators import encode  # noqa: E402
+
+
+def q_encode_batch(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return encode.encode_batch(docs, "text", "vec").select("doc_id", "vec")
+
+
+def q_encode_fused(spark, sf):
+    fused = encode.encode_fused(B.load_corpus(spark, sf), side="cand")
+    return fused.select("id", "modality", _round_vec(F.col("vec")).alias("vec"))
+
+
+def q_fuse_mlp(spark, sf):
+    base = B.load_base_vectors(spark, sf)
+    w = encode.rule_mlp_weights(encode.HASH_DIM)
+    v = encode.fuse_mlp(V.mask_gate("txt_vec", "txt_mask"), V.mask_gate("img_vec", "img_mask"), w)
+    return base.select("id", _round_vec(v).alias("vec"))
+
+
+def q_quantize_fp16(spark, sf):
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return emb.select("vec_id", encode.quantize_fp16(F.col("embedding")).alias("vec"))
+
+
+QUERIES.update({
+    "encode_batch": q_encode_batch,
+    "encode_fused": q_encode_fused,
+    "fuse_mlp": q_fuse_mlp,
+    "quantize_fp16": q_quantize_fp16,
+})

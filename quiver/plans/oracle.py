@@ -394,3 +394,45 @@ SELECT es.run_id, es.epoch,
        max(best.best_epoch) AS best_epoch
 FROM es LEFT JOIN best ON best.run_id = es.run_id GROUP BY es.run_id, es.epoch""",
 })
+
+
+# ---- encoders -----------------------------------------------------------------------
+
+def _hash_encode(src: str, id_col: str, text_col: str, salt: str, name: str) -> str:
+    """Signed feature hashing of whitespace tokens into 64 buckets (same rule as the encoder)."""
+    return f"""{name}_t AS (SELECT {id_col} AS id, unnest(regexp_split_to_array(coalesce({text_col}, ''), '[ \\t\\n\\r\\f\\v]+')) AS tok
+             FROM {src}),
+{name}_h AS (SELECT id, ('0x' || substr(md5('{salt}' || tok), 1, 8))::BIGINT AS hv FROM {name}_t WHERE tok <> ''),
+{name}_a AS (SELECT id, hv % 64 AS bucket, sum(CASE WHEN (hv // 64) % 2 = 0 THEN 1 ELSE -1 END) AS v
+             FROM {name}_h GROUP BY id, hv % 64),
+{name}_g AS (SELECT s.{id_col} AS id, r.bucket FROM {src} s, range(0, 64) r(bucket)),
+{name} AS (SELECT g.id, list(coalesce(a.v, 0)::FLOAT ORDER BY g.bucket) AS vec
+           FROM {name}_g g LEFT JOIN {name}_a a ON a.id = g.id AND a.bucket = g.bucket GROUP BY g.id)"""
+
+
+_MLP = """list_transform(range(64), lambda k: list_dot_product(
+    list_transform(range(64), lambda j: greatest(list_dot_product(x,
+        list_transform(range(128), lambda i: sin(i * 131 + j * 17) * 0.1)) + cos(j) * 0.01, 0.0)),
+    list_transform(range(64), lambda j: sin(j * 29 + k * 53 + 7) * 0.1)) + cos(k * 3) * 0.01)"""
+
+_FP16 = """list_transform(embedding, lambda x: (CASE WHEN x = 0 THEN 0.0 ELSE
+    round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10)
+    END)::FLOAT)"""
+
+SQL.update({
+    "encode_batch": f"WITH {_hash_encode('documents', 'doc_id', 'text', '', 'enc')} SELECT id AS doc_id, vec FROM enc",
+    "encode_fused": f"""WITH {CORPUS}, {_hash_encode('corpus', 'id', 'caption', '', 'te')},
+{_hash_encode('corpus', 'id', 'caption', 'img:', 'ie')},
+b AS (SELECT c.id, te.vec::DOUBLE[] AS t, ie.vec::DOUBLE[] AS im,
+             CASE WHEN c.caption IS NULL OR c.caption = '' THEN 0 ELSE 1 END AS tm,
+             CASE WHEN c.caption IS NULL THEN 0 ELSE 1 END AS imm
+      FROM corpus c JOIN te ON te.id = c.id JOIN ie ON ie.id = c.id)
+SELECT id, 'i' AS modality, {_rv('list_transform(im, lambda x: x * imm)')} AS vec FROM b
+UNION ALL SELECT id, 't', {_rv('list_transform(t, lambda x: x * tm)')} FROM b
+UNION ALL SELECT id, 'it', {_rv('list_transform(list_zip(im, t), lambda p: p[1] * imm + p[2] * tm)')} FROM b""",
+    "fuse_mlp": f"""WITH {BASE},
+xs AS (SELECT id, list_concat(list_transform(txt_vec, lambda v: v * txt_mask),
+                              list_transform(img_vec, lambda v: v * img_mask)) AS x FROM base)
+SELECT id, {_rv(_MLP)} AS vec FROM xs""",
+    "quantize_fp16": f"SELECT vec_id, {_FP16} AS vec FROM embeddings",
+})
