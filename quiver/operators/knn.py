@@ -78,6 +78,34 @@ def _row_chunks(n_rows: int, n_cols: int):
         yield s, min(n_rows, s + step)
 
 
+def topk_dense(Q: np.ndarray, qids: np.ndarray, C: np.ndarray, docs: np.ndarray, k: int, metric: str,
+               exclude_self: bool, acc=None):
+    """Top-k of a query block against a candidate block, tiled so a score tile stays small.
+
+    Returns (rows, keys, docs) merged with ``acc`` (a previous result of the same
+    query block), at most k per row, ordered by (key, doc).
+    """
+    parts = [acc] if acc is not None else []
+    for s, e in _row_chunks(len(qids), len(docs)):
+        K = _keys(Q[s:e], C, metric)
+        if exclude_self:
+            K[qids[s:e, None] == docs[None, :]] = np.inf
+        if K.shape[1] > k:
+            part = np.argpartition(K, k - 1, axis=1)[:, :k]
+            kth = np.take_along_axis(K, part, axis=1).max(axis=1)
+            mask = (K <= kth[:, None]) & np.isfinite(K)
+        else:
+            mask = np.isfinite(K)
+        r, c = np.nonzero(mask)
+        parts.append((r + s, K[r, c], docs[c]))
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+    rows = np.concatenate([p[0] for p in parts])
+    keys = np.concatenate([p[1] for p in parts])
+    dd = np.concatenate([p[2] for p in parts])
+    return _topk_rows(rows, keys, dd, k)
+
+
 # ---- query blocks ---------------------------------------------------------------
 
 def _block_count(df: DataFrame, vec: str, budget_bytes: int) -> tuple[int, int]:
@@ -129,24 +157,7 @@ def _topk_task(payload, k: int, metric: str, exclude_self: bool):
                     if len(qids) == 0:
                         continue
                     cell = (q_mod, c_mod)
-                    acc = best.get(cell, (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)))
-                    parts = [acc]
-                    for s, e in _row_chunks(len(qids), len(docs)):
-                        K = _keys(Q[s:e], C, metric)
-                        if exclude_self:
-                            K[qids[s:e, None] == docs[None, :]] = np.inf
-                        if K.shape[1] > k:
-                            part = np.argpartition(K, k - 1, axis=1)[:, :k]
-                            kth = np.take_along_axis(K, part, axis=1).max(axis=1)
-                            mask = (K <= kth[:, None]) & np.isfinite(K)
-                        else:
-                            mask = np.isfinite(K)
-                        r, c = np.nonzero(mask)
-                        parts.append((r + s, K[r, c], docs[c]))
-                    rows = np.concatenate([p[0] for p in parts])
-                    keys = np.concatenate([p[1] for p in parts])
-                    dd = np.concatenate([p[2] for p in parts])
-                    best[cell] = _topk_rows(rows, keys, dd, k)
+                    best[cell] = topk_dense(Q, qids, C, docs, k, metric, exclude_self, best.get(cell))
         for (q_mod, c_mod), (rows, keys, docs) in best.items():
             qids = blocks[q_mod][0]
             yield pd.DataFrame({

@@ -554,3 +554,52 @@ QUERIES.update({
     "fuse_mlp": q_fuse_mlp,
     "quantize_fp16": q_quantize_fp16,
 })
+
+
+# ---- approximate search, projection, streaming ------------------------------------------
+
+import uuid  # noqa: E402
+
+from quiver.operators import ivf, project  # noqa: E402
+from quiver.session import checkpoint_dir  # noqa: E402
+from quiver.streaming import search as stream_search  # noqa: E402
+
+IVF_CELLS = 16
+IVF_PROBE = 4
+
+
+def q_knn_ivf(spark, sf):
+    u = _unit_views(spark, sf)
+    return _hits_out(ivf.search_ivf(_queries(u), _pool(u), K_SEARCH, IVF_CELLS, IVF_PROBE))
+
+
+def q_knn_ivf_full_probe(spark, sf):
+    """Probing every cell makes the cell-partitioned search exact."""
+    u = _unit_views(spark, sf)
+    return _hits_out(ivf.search_ivf(_queries(u), _pool(u), K_SEARCH, IVF_CELLS, IVF_CELLS))
+
+
+def q_neighborhood_pca(spark, sf):
+    u = _unit_views(spark, sf)
+    hits = knn.search_topk(_queries(u), _pool(u), lookup.VIZ_TOP)
+    raw = _views(spark, sf)
+    qv = raw.select(F.col("id").alias("qid"), F.col("modality").alias("q_mod"), "vec")
+    cv = raw.select("id", F.col("modality").alias("c_mod"), "vec")
+    return project.neighborhood_pca(hits, qv, cv)
+
+
+def q_stream_search(spark, sf):
+    """The fused-view queries written as files, searched as a stream against the fused pool."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/quiver-stream-{uuid.uuid4().hex}"
+    u = _unit_views(spark, sf)
+    _queries(u, ["it"]).select("qid", "q_mod", "vec").write.parquet(f"{root}/queries")
+    return stream_search.run_stream_search(spark, f"{root}/queries", _pool(u, ["it"]), K_SEARCH,
+                                           f"{root}/hits", f"{root}/checkpoint")
+
+
+QUERIES.update({
+    "knn_ivf": q_knn_ivf,
+    "knn_ivf_full_probe": q_knn_ivf_full_probe,
+    "neighborhood_pca": q_neighborhood_pca,
+    "stream_search": q_stream_search,
+})

@@ -436,3 +436,8 @@ xs AS (SELECT id, list_concat(list_transform(txt_vec, lambda v: v * txt_mask),
 SELECT id, {_rv(_MLP)} AS vec FROM xs""",
     "quantize_fp16": f"SELECT vec_id, {_FP16} AS vec FROM embeddings",
 })
+
+SQL.update({
+    "knn_ivf_full_probe": _knn("TRUE", "TRUE", 10),
+    "stream_search": _knn("q.modality = 'it'", "c.modality = 'it'", 10),
+})
