@@ -12,7 +12,6 @@ signed feature hashing of the whole text (every whitespace token, no cut-off).
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -29,41 +28,59 @@ ENCODE_BATCH = 16
 HASH_DIM = 64
 TEXT_SALT = ""
 IMAGE_SALT = "img:"
-_TOKEN_SPLIT = re.compile(r"[ \t\n\r\f\v]+")
 
 
 class HashingEncoder:
-    """Signed feature hashing: token -> md5 -> bucket (h mod dim) and sign (bit above it)."""
+    """Signed feature hashing: token -> md5 -> bucket (h mod dim) and sign (bit above it).
+
+    A batch is tokenised with Arrow compute; md5 runs once per distinct token
+    (cached across batches), and rows are accumulated with one ``bincount``.
+    """
 
     def __init__(self, dim: int = HASH_DIM, salt: str = ""):
         self.dim = dim
         self.salt = salt
-        self._cache: dict[str, tuple[int, int]] = {}
+        self._cache: dict[str, int] = {}   # token -> bucket * 2 + (1 if sign > 0 else 0)
+
+    def _pack(self, tok: str) -> int:
+        h = int(hashlib.md5((self.salt + tok).encode("utf-8")).hexdigest()[:8], 16)
+        return (h % self.dim) * 2 + (1 if (h // self.dim) % 2 == 0 else 0)
 
-    def _slot(self, tok: str) -> tuple[int, int]:
-        hit = self._cache.get(tok)
-        if hit is None:
-            h = int(hashlib.md5((self.salt + tok).encode("utf-8")).hexdigest()[:8], 16)
-            hit = (h % self.dim, 1 if (h // self.dim) % 2 == 0 else -1)
-            if len(self._cache) < 1_000_000:
-                self._cache[tok] = hit
-        return hit
+    def _packed(self, uniq: list[str]) -> np.ndarray:
+        vals = list(map(self._cache.get, uniq))
+        for i, v in enumerate(vals):
+            if v is None:
+                vals[i] = v = self._pack(uniq[i])
+                if len(self._cache) < 2_000_000:
+                    self._cache[uniq[i]] = v
+        return np.fromiter(vals, np.int64, len(vals))
 
     def encode_text(self, text: str | None) -> np.ndarray:
-        out = np.zeros(self.dim, np.float32)
-        for tok in _TOKEN_SPLIT.split(text or ""):
-            if tok:
-                b, s = self._slot(tok)
-                out[b] += s
-        return out
+        return self(np.array([text], dtype=object))[0]
 
     def __call__(self, items: np.ndarray) -> np.ndarray:
-        rows = []
-        for x in items:
-            if isinstance(x, (bytes, bytearray, memoryview)):
-                x = bytes(x).decode("utf-8", errors="replace")
-            rows.append(self.encode_text(x))
-        return np.stack(rows) if rows else np.zeros((0, self.dim), np.float32)
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        n = len(items)
+        out = np.zeros((n, self.dim), np.float32)
+        if n == 0:
+            return out
+        if any(isinstance(x, (bytes, bytearray, memoryview)) for x in items):
+            items = [bytes(x).decode("utf-8", errors="replace") if isinstance(x, (bytes, bytearray, memoryview))
+                     else x for x in items]
+        texts = pc.fill_null(pa.array(items, pa.string()), "")
+        # splits on runs of ASCII whitespace (space, \t, \n, \v, \f, \r); no empty tokens
+        toks = pc.ascii_split_whitespace(texts)
+        lengths = pc.list_value_length(toks).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(n), lengths)
+        enc = pc.dictionary_encode(pc.list_flatten(toks))
+        idx = enc.indices.to_numpy(zero_copy_only=False)
+        if len(idx):
+            packed = self._packed(enc.dictionary.to_pylist())[idx]
+            sign = np.where(packed & 1, 1.0, -1.0)
+            out += np.bincount(row * self.dim + (packed >> 1), weights=sign,
+                               minlength=n * self.dim).reshape(n, self.dim)
+        return out
 
 
 def hashing_encoder(dim: int = HASH_DIM, salt: str = "") -> Callable[[], Callable[[np.ndarray], np.ndarray]]:

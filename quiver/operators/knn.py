@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiver.functions import vectors as V
+from quiver.session import materialize
 
 # Fixed values.
 DEFAULT_BLOCK_BYTES = 128 << 20     # broadcast budget per query block
@@ -176,14 +177,16 @@ def _payload_by_mod(pdf: pd.DataFrame, id_col: str, mod_col: str, vec_col: str):
 
 def search_topk(queries: DataFrame, pool: DataFrame, k: int, metric: str = "ip",
                 exclude_self: bool = False, block_bytes: int = DEFAULT_BLOCK_BYTES,
-                with_rank: bool = True) -> DataFrame:
+                with_rank: bool = True, min_blocks: int = 1) -> DataFrame:
     """Exact top-k per query row, for every (query modality, pool modality) cell.
 
     queries: (qid BIGINT, q_mod STRING, vec ARRAY<DOUBLE>)
     pool:    (doc_id BIGINT, c_mod STRING, vec ARRAY<DOUBLE>)
     returns: (qid, q_mod, c_mod, doc_id, score, rank) with rank 1..k; a pool
     smaller than k gives fewer rows; ``exclude_self`` drops doc_id == qid.
-    Vectors are searched as given (normalise first for cosine).
+    Vectors are searched as given (normalise first for cosine). The query side is
+    cut into at least ``min_blocks`` blocks, more when the byte budget needs it;
+    with several blocks it is written once (checkpoint) so each block reads it.
     """
     _check_metric(metric)
     if k < 1:
@@ -192,6 +195,9 @@ def search_topk(queries: DataFrame, pool: DataFrame, k: int, metric: str = "ip",
     q = queries.select("qid", "q_mod", V.as_double("vec").alias("vec"))
     p = pool.select("doc_id", "c_mod", V.as_double("vec").alias("vec"))
     _, n_blocks = _block_count(q, "vec", block_bytes)
+    n_blocks = max(n_blocks, min_blocks)
+    if n_blocks > 1:
+        q = materialize(q)
     parts = []
     for block in _blocks(q, ["qid", "q_mod"], n_blocks):
         bc = spark.sparkContext.broadcast(_payload_by_mod(block, "qid", "q_mod", "vec"))

@@ -103,8 +103,7 @@ def q_knn_l2(spark, sf):
 def q_knn_block(spark, sf):
     """All nine cells, self excluded, query side cut into several broadcast blocks."""
     u = _unit_views(spark, sf)
-    return _hits_out(knn.search_topk(_queries(u), _pool(u), K_SEARCH, exclude_self=True,
-                                     block_bytes=256 << 10))
+    return _hits_out(knn.search_topk(_queries(u), _pool(u), K_SEARCH, exclude_self=True, min_blocks=4))
 
 
 QUERIES = {

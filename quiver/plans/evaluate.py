@@ -17,7 +17,7 @@ from quiver.functions import vectors as V
 from quiver.operators import knn
 from quiver.operators import metrics as M
 from quiver.sources import qrels as Q
-from quiver.session import checkpoint_dir
+from quiver.session import materialize as write_once
 
 
 @dataclass
@@ -47,19 +47,19 @@ def duplicate_ids(pool: DataFrame, id_col: str = "doc_id", by: list[str] | None
 def build_pool(views: DataFrame, check_unique: bool = True, materialize: bool = True) -> DataFrame:
     """Searchable pool from modality views (id, modality, vec): unique ids, unit vectors.
 
-    Raises when a modality has a duplicate id or ragged vectors.
+    The pool is written once (checkpoint) and then scanned by every pass; the
+    duplicate-id check reads the written table. Raises on a duplicate id.
     """
     pool = V.with_l2_normalized(views.select(F.col("id").alias("doc_id"), F.col("modality").alias("c_mod"),
                                              *[c for c in views.columns if c == "label"], "vec"), "vec")
     if "label" in pool.columns:
         pool = pool.withColumnRenamed("label", "rel_key")
+    if materialize:
+        pool = write_once(pool)
     if check_unique:
         dup = duplicate_ids(pool, by=["c_mod"]).limit(1).collect()
         if dup:
             raise DuplicatePoolIds(f"IDs should be unique for modality {dup[0]['c_mod']}: {dup[0]['doc_id']}")
-    if materialize:
-        checkpoint_dir(pool.sparkSession)
-        pool = pool.checkpoint(eager=True)
     return pool
 
 
@@ -68,10 +68,7 @@ def query_table(views: DataFrame, materialize: bool = True) -> DataFrame:
                                           *[c for c in views.columns if c == "label"], "vec"), "vec")
     if "label" in q.columns:
         q = q.withColumnRenamed("label", "rel_key")
-    if materialize:
-        checkpoint_dir(q.sparkSession)
-        q = q.checkpoint(eager=True)
-    return q
+    return write_once(q) if materialize else q
 
 
 def ranks(queries: DataFrame, pool: DataFrame, judgment_lines: DataFrame | None, cfg: EvalConfig) -> DataFrame:

@@ -61,3 +61,20 @@ def apply_defaults(spark: SparkSession) -> None:
     for k, v in _DEFAULTS.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
+
+
+def materialize(df):
+    """Write a table that several passes will read, cutting its lineage.
+
+    Uses ``checkpoint()`` into spark.checkpoint.dir (the cluster's shared folder),
+    so a lost executor recomputes from the written copy, not from the sources.
+    A table arriving in fewer partitions than the cluster has cores (one small
+    file is one partition) is spread round-robin first, so later passes use
+    every core; a large table keeps its partitioning.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        df = df.repartition(par)
+    return df.checkpoint(eager=True)
