@@ -69,11 +69,14 @@ class HashingEncoder:
             items = [bytes(x).decode("utf-8", errors="replace") if isinstance(x, (bytes, bytearray, memoryview))
                      else x for x in items]
         texts = pc.fill_null(pa.array(items, pa.string()), "")
-        # splits on runs of ASCII whitespace (space, \t, \n, \v, \f, \r); no empty tokens
+        # splits on runs of ASCII whitespace (space, \t, \n, \v, \f, \r); an empty or
+        # blank text yields empty tokens, which are dropped
         toks = pc.ascii_split_whitespace(texts)
         lengths = pc.list_value_length(toks).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(n), lengths)
-        enc = pc.dictionary_encode(pc.list_flatten(toks))
+        flat = pc.list_flatten(toks)
+        keep = pc.not_equal(flat, "")
+        row = np.repeat(np.arange(n), lengths)[keep.to_numpy(zero_copy_only=False)]
+        enc = pc.dictionary_encode(flat.filter(keep))
         idx = enc.indices.to_numpy(zero_copy_only=False)
         if len(idx):
             packed = self._packed(enc.dictionary.to_pylist())[idx]
