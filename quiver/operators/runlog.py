@@ -67,10 +67,15 @@ def rolling_meter(log: DataFrame, keys: list[str], order: str = "step", value: s
     if block_rows < size:
         raise ValueError("block_rows must be >= window size")
     d = row_index(log.select(*keys, order, value), keys, order, chunk_steps=chunk_steps)
-    d = d.withColumn("_blk", F.floor(F.col("_r") / block_rows).cast("bigint")).withColumn("_halo", F.lit(False))
-    halo = (d.where(F.col("_r") % block_rows >= block_rows - (size - 1))
-             .withColumn("_blk", F.col("_blk") + 1).withColumn("_halo", F.lit(True)))
-    u = d.unionByName(halo)
+    # each row belongs to its block; the last size-1 rows of a block are also copied
+    # into the next block as its halo (one pass: explode, no union)
+    blk = F.floor(F.col("_r") / block_rows).cast("bigint")
+    in_tail = F.col("_r") % block_rows >= block_rows - (size - 1)
+    copies = F.when(in_tail, F.array(F.struct(blk.alias("b"), F.lit(False).alias("h")),
+                                     F.struct((blk + 1).alias("b"), F.lit(True).alias("h"))))
+    copies = copies.otherwise(F.array(F.struct(blk.alias("b"), F.lit(False).alias("h"))))
+    u = d.select("*", F.explode(copies).alias("_c")).select(
+        "*", F.col("_c.b").alias("_blk"), F.col("_c.h").alias("_halo")).drop("_c")
     w = Window.partitionBy(*keys, "_blk").orderBy("_r").rowsBetween(-(size - 1), 0)
     n = F.count(F.lit(1)).over(w)
     vals = F.array_sort(F.collect_list(value).over(w))
