@@ -383,6 +383,7 @@ def first_relevant_rank(queries: DataFrame, pool: DataFrame, judgments: DataFram
         thr = best_relevant_by_key(queries, pool, metric, exclude_self, block_bytes)
     else:
         thr = best_relevant_by_judgments(queries, pool, judgments, metric, exclude_self)
+    thr = materialize(thr)   # read by the size check, the block collects and the final join
     cnt = count_before(queries, pool, thr, metric, exclude_self, block_bytes)
     ranked = thr.join(cnt, ["qid", "q_mod", "c_mod"], "left").select(
         "qid", "q_mod", "c_mod", (F.coalesce("n_before", F.lit(0)) + 1).alias("first_rank"))

@@ -26,8 +26,11 @@ def _views(spark: SparkSession, sf: str, fusion: str = "sum", text_weight: float
     return views.modality_vectors(B.load_base_vectors(spark, sf), fusion, text_weight, keep=["id", "label"])
 
 
-def _unit_views(spark: SparkSession, sf: str, fusion: str = "sum", text_weight: float = 0.5) -> DataFrame:
-    return V.with_l2_normalized(_views(spark, sf, fusion, text_weight), "vec")
+def _unit_views(spark: SparkSession, sf: str, fusion: str = "sum", text_weight: float = 0.5,
+                materialize: bool = False) -> DataFrame:
+    """Unit modality vectors; ``materialize`` writes them once (the searched pool table)."""
+    from quiver.plans.evaluate import unit_views
+    return unit_views(_views(spark, sf, fusion, text_weight), materialize)
 
 
 def _queries(unit: DataFrame, mods=None) -> DataFrame:
@@ -91,18 +94,18 @@ def _hits_out(h: DataFrame) -> DataFrame:
 
 
 def q_knn_exact(spark, sf):
-    u = _unit_views(spark, sf)
+    u = _unit_views(spark, sf, materialize=True)
     return _hits_out(knn.search_topk(_queries(u, ["it"]), _pool(u, ["it"]), K_SEARCH))
 
 
 def q_knn_l2(spark, sf):
-    u = _unit_views(spark, sf)
+    u = _unit_views(spark, sf, materialize=True)
     return _hits_out(knn.search_topk(_queries(u, ["t"]), _pool(u, ["t"]), K_SEARCH, metric="l2"))
 
 
 def q_knn_block(spark, sf):
     """All nine cells, self excluded, query side cut into several broadcast blocks."""
-    u = _unit_views(spark, sf)
+    u = _unit_views(spark, sf, materialize=True)
     return _hits_out(knn.search_topk(_queries(u), _pool(u), K_SEARCH, exclude_self=True, min_blocks=4))
 
 
@@ -166,9 +169,7 @@ def q_task_last_wins(spark, sf):
 # ---- evaluation --------------------------------------------------------------------------
 
 def _eval_sides(spark, sf, c_mods=None):
-    v = _views(spark, sf)
-    pool = E.build_pool(v if c_mods is None else v.where(F.col("modality").isin(c_mods)))
-    return E.query_table(v), pool
+    return E.sides(_views(spark, sf), c_mods)
 
 
 def _label_ranks(spark, sf, c_mods=None):
@@ -221,7 +222,7 @@ def q_unjudged_queries(spark, sf):
 
 def q_relevant_hits(spark, sf):
     """Top-10 hits of every cell that are judged relevant (semi join on string ids)."""
-    u = _unit_views(spark, sf)
+    u = _unit_views(spark, sf, materialize=True)
     hits = knn.search_topk(_queries(u), _pool(u), K_SEARCH)
     judg = QR.positive_judgments(QR.parse_qrels(_lines(spark, sf)))
     h = hits.withColumn("q_s", F.col("qid").cast("string")).withColumn("d_s", F.col("doc_id").cast("string"))
@@ -397,7 +398,7 @@ def q_argmax_accuracy(spark, sf):
 # ---- content, cards, vectors of hits ------------------------------------------------------
 
 def _it_hits(spark, sf, k):
-    u = _unit_views(spark, sf)
+    u = _unit_views(spark, sf, materialize=True)
     return u, knn.search_topk(_queries(u, ["it"]), _pool(u, ["it"]), k)
 
 
@@ -413,7 +414,7 @@ def q_search_cards(spark, sf):
 
 
 def q_hit_vectors(spark, sf):
-    u = _unit_views(spark, sf)
+    u = _unit_views(spark, sf, materialize=True)
     hits = knn.search_topk(_queries(u), _pool(u), K_SEARCH)
     raw = _views(spark, sf).select("id", F.col("modality").alias("c_mod"), "vec")
     found, _ = lookup.hit_vectors(hits, raw)
@@ -568,20 +569,20 @@ IVF_PROBE = 4
 
 
 def q_knn_ivf(spark, sf):
-    u = _unit_views(spark, sf)
+    u = _unit_views(spark, sf)   # the IVF search writes its inputs once itself
     return _hits_out(ivf.search_ivf(_queries(u), _pool(u), K_SEARCH, IVF_CELLS, IVF_PROBE))
 
 
 def q_knn_ivf_full_probe(spark, sf):
     """Probing every cell makes the cell-partitioned search exact."""
-    u = _unit_views(spark, sf)
+    u = _unit_views(spark, sf)   # the IVF search writes its inputs once itself
     return _hits_out(ivf.search_ivf(_queries(u), _pool(u), K_SEARCH, IVF_CELLS, IVF_CELLS))
 
 
 def q_neighborhood_pca(spark, sf):
-    u = _unit_views(spark, sf)
+    raw = E.write_once(_views(spark, sf))          # raw vectors: projected; unit vectors: searched
+    u = V.with_l2_normalized(raw, "vec")
     hits = knn.search_topk(_queries(u), _pool(u), lookup.VIZ_TOP)
-    raw = _views(spark, sf)
     qv = raw.select(F.col("id").alias("qid"), F.col("modality").alias("q_mod"), "vec")
     cv = raw.select("id", F.col("modality").alias("c_mod"), "vec")
     return project.neighborhood_pca(hits, qv, cv)
@@ -590,8 +591,9 @@ def q_neighborhood_pca(spark, sf):
 def q_stream_search(spark, sf):
     """The fused-view queries written as files, searched as a stream against the fused pool."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/quiver-stream-{uuid.uuid4().hex}"
-    u = _unit_views(spark, sf)
-    _queries(u, ["it"]).select("qid", "q_mod", "vec").write.parquet(f"{root}/queries")
+    u = _unit_views(spark, sf, materialize=True)
+    # two files: the stream runs as two micro-batches (one file per trigger)
+    _queries(u, ["it"]).select("qid", "q_mod", "vec").coalesce(2).write.parquet(f"{root}/queries")
     return stream_search.run_stream_search(spark, f"{root}/queries", _pool(u, ["it"]), K_SEARCH,
                                            f"{root}/hits", f"{root}/checkpoint")
 

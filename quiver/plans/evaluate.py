@@ -44,31 +44,55 @@ def duplicate_ids(pool: DataFrame, id_col: str = "doc_id", by: list[str] | None
     return pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > 1)
 
 
-def build_pool(views: DataFrame, check_unique: bool = True, materialize: bool = True) -> DataFrame:
+def unit_views(views: DataFrame, materialize: bool = True) -> DataFrame:
+    """Zero-safe unit vectors of the modality views, written once when both the pool and the
+    queries come from the same records (one normalisation pass, one checkpoint)."""
+    u = V.with_l2_normalized(views, "vec")
+    return write_once(u) if materialize else u
+
+
+def _pool_of(units: DataFrame) -> DataFrame:
+    p = units.select(F.col("id").alias("doc_id"), F.col("modality").alias("c_mod"),
+                     *[F.col(c).alias("rel_key") for c in units.columns if c == "label"], "vec")
+    return p
+
+
+def _queries_of(units: DataFrame) -> DataFrame:
+    return units.select(F.col("id").alias("qid"), F.col("modality").alias("q_mod"),
+                        *[F.col(c).alias("rel_key") for c in units.columns if c == "label"], "vec")
+
+
+def check_unique(pool: DataFrame) -> None:
+    dup = duplicate_ids(pool, by=["c_mod"]).limit(1).collect()
+    if dup:
+        raise DuplicatePoolIds(f"IDs should be unique for modality {dup[0]['c_mod']}: {dup[0]['doc_id']}")
+
+
+def build_pool(views: DataFrame, check_unique_ids: bool = True, materialize: bool = True) -> DataFrame:
     """Searchable pool from modality views (id, modality, vec): unique ids, unit vectors.
 
     The pool is written once (checkpoint) and then scanned by every pass; the
     duplicate-id check reads the written table. Raises on a duplicate id.
     """
-    pool = V.with_l2_normalized(views.select(F.col("id").alias("doc_id"), F.col("modality").alias("c_mod"),
-                                             *[c for c in views.columns if c == "label"], "vec"), "vec")
-    if "label" in pool.columns:
-        pool = pool.withColumnRenamed("label", "rel_key")
-    if materialize:
-        pool = write_once(pool)
-    if check_unique:
-        dup = duplicate_ids(pool, by=["c_mod"]).limit(1).collect()
-        if dup:
-            raise DuplicatePoolIds(f"IDs should be unique for modality {dup[0]['c_mod']}: {dup[0]['doc_id']}")
+    pool = _pool_of(unit_views(views, materialize))
+    if check_unique_ids:
+        check_unique(pool)
     return pool
 
 
 def query_table(views: DataFrame, materialize: bool = True) -> DataFrame:
-    q = V.with_l2_normalized(views.select(F.col("id").alias("qid"), F.col("modality").alias("q_mod"),
-                                          *[c for c in views.columns if c == "label"], "vec"), "vec")
-    if "label" in q.columns:
-        q = q.withColumnRenamed("label", "rel_key")
-    return write_once(q) if materialize else q
+    return _queries_of(unit_views(views, materialize))
+
+
+def sides(views: DataFrame, pool_modalities: list[str] | None = None,
+          materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(queries, pool) from one set of records: normalised and written once, pool ids checked."""
+    units = unit_views(views, materialize)
+    pool = _pool_of(units)
+    if pool_modalities is not None:
+        pool = pool.where(F.col("c_mod").isin(pool_modalities))
+    check_unique(pool)
+    return _queries_of(units), pool
 
 
 def ranks(queries: DataFrame, pool: DataFrame, judgment_lines: DataFrame | None, cfg: EvalConfig) -> DataFrame:
