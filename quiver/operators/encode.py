@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiver.operators import views
+from quiver.session import spread
 
 # Fixed values.
 ENCODE_BATCH = 16
@@ -111,7 +112,8 @@ def encode_batch(df: DataFrame, input_col: str, output_col: str = "vec",
     make_encoder = make_encoder or hashing_encoder()
     dtype = dict(df.dtypes)[input_col]
     pad = F.lit(b"").cast("binary") if dtype == "binary" else F.lit("")
-    return df.withColumn(output_col, encode_udf(make_encoder, batch_size)(F.coalesce(F.col(input_col), pad)))
+    return spread(df).withColumn(output_col,
+                                 encode_udf(make_encoder, batch_size)(F.coalesce(F.col(input_col), pad)))
 
 
 def base_vectors_from_corpus(corpus: DataFrame, side: str = "cand", text_encoder=None, image_encoder=None,

@@ -569,14 +569,16 @@ IVF_PROBE = 4
 
 
 def q_knn_ivf(spark, sf):
-    u = _unit_views(spark, sf)   # the IVF search writes its inputs once itself
-    return _hits_out(ivf.search_ivf(_queries(u), _pool(u), K_SEARCH, IVF_CELLS, IVF_PROBE))
+    u = _unit_views(spark, sf, materialize=True)
+    return _hits_out(ivf.search_ivf(_queries(u), _pool(u), K_SEARCH, IVF_CELLS, IVF_PROBE,
+                                    materialize_inputs=False))
 
 
 def q_knn_ivf_full_probe(spark, sf):
     """Probing every cell makes the cell-partitioned search exact."""
-    u = _unit_views(spark, sf)   # the IVF search writes its inputs once itself
-    return _hits_out(ivf.search_ivf(_queries(u), _pool(u), K_SEARCH, IVF_CELLS, IVF_CELLS))
+    u = _unit_views(spark, sf, materialize=True)
+    return _hits_out(ivf.search_ivf(_queries(u), _pool(u), K_SEARCH, IVF_CELLS, IVF_CELLS,
+                                    materialize_inputs=False))
 
 
 def q_neighborhood_pca(spark, sf):

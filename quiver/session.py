@@ -63,6 +63,17 @@ def apply_defaults(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
+def spread(df):
+    """Round-robin a table that arrives in fewer partitions than the cluster has cores.
+
+    A small or single file is read as one or a few partitions; CPU-heavy row work
+    (encoders, dense search) then runs on a few cores only. Large inputs already have
+    more partitions than cores and are left as they are (no shuffle).
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def materialize(df):
     """Write a table that several passes will read, cutting its lineage.
 
@@ -72,9 +83,5 @@ def materialize(df):
     file is one partition) is spread round-robin first, so later passes use
     every core; a large table keeps its partitioning.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        df = df.repartition(par)
-    return df.checkpoint(eager=True)
+    checkpoint_dir(df.sparkSession)
+    return spread(df).checkpoint(eager=True)
