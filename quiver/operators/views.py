@@ -71,19 +71,26 @@ def fanout_items(corpus: DataFrame, side: str = "cand", keep: list[str] | None =
 
 # ---- vector fan-out -----------------------------------------------------------
 
-FUSIONS = ("sum", "weight")
+FUSIONS = ("sum", "weight", "mlp")
 
 
-def fused(img: Column, txt: Column, fusion: str, text_weight: float) -> Column:
+def fused(img: Column, txt: Column, fusion: str, text_weight: float, mlp_weights=None) -> Column:
+    """The fusion switch: 'sum', 'weight' (text weight, clamped) or 'mlp' (given weights)."""
     if fusion == "sum":
         return V.fuse_sum(img, txt)
     if fusion == "weight":
         return V.fuse_weighted(img, txt, text_weight)
+    if fusion == "mlp":
+        if mlp_weights is None:
+            raise ValueError("mlp fusion needs weights")
+        from quiver.operators.encode import fuse_mlp
+        return fuse_mlp(txt, img, mlp_weights)
     raise ValueError(f"Unknown fusion: {fusion}")
 
 
 def modality_vectors(base: DataFrame, fusion: str = "sum", text_weight: float = 0.5,
-                     keep: list[str] | None = None, modalities: list[str] | None = None) -> DataFrame:
+                     keep: list[str] | None = None, modalities: list[str] | None = None,
+                     mlp_weights=None) -> DataFrame:
     """Three modality vectors per record from its base image and text vectors.
 
     Each base modality is encoded once; a view gates the vector of a modality
@@ -98,9 +105,9 @@ def modality_vectors(base: DataFrame, fusion: str = "sum", text_weight: float =
     zero_img = V.mask_gate("img_vec", F.lit(0))
     zero_txt = V.mask_gate("txt_vec", F.lit(0))
     per_mod = {
-        "i": fused(img, zero_txt, fusion, text_weight),
-        "t": fused(zero_img, txt, fusion, text_weight),
-        "it": fused(img, txt, fusion, text_weight),
+        "i": fused(img, zero_txt, fusion, text_weight, mlp_weights),
+        "t": fused(zero_img, txt, fusion, text_weight, mlp_weights),
+        "it": fused(img, txt, fusion, text_weight, mlp_weights),
     }
     views = F.array(*[F.struct(F.lit(m).alias("modality"), per_mod[m].alias("vec")) for m in mods])
     return base.select(*keep, F.explode(views).alias("v")).select(*keep, "v.modality", "v.vec")

@@ -38,6 +38,32 @@ class DuplicatePoolIds(ValueError):
     pass
 
 
+CONFIG_LISTS = ["datasets_name", "correspond_cand_pools_name", "correspond_qrels_name", "correspond_metrics_name"]
+
+
+def eval_config_expand(config: DataFrame) -> DataFrame:
+    """One evaluation task per position of the parallel config lists.
+
+    ``config`` has (split, datasets_name, correspond_cand_pools_name,
+    correspond_qrels_name, correspond_metrics_name), the lists as arrays. The four
+    lists must have equal length (checked on the small config table); names are
+    lower-cased, the metric string is kept as written.
+    """
+    sizes = F.array(*[F.size(c) for c in CONFIG_LISTS])
+    bad = config.where(F.array_min(sizes) != F.array_max(sizes)).limit(1).collect()
+    if bad:
+        raise ValueError("Mismatch between datasets and candidate pools and qrels.")
+    z = F.arrays_zip(*[F.col(c) for c in CONFIG_LISTS])
+    e = config.select("split", F.posexplode(z).alias("task_pos", "t"))
+    return e.select(
+        "split", "task_pos",
+        F.lower(F.col("t.datasets_name")).alias("dataset"),
+        F.lower(F.col("t.correspond_cand_pools_name")).alias("cand_pool"),
+        F.lower(F.col("t.correspond_qrels_name")).alias("qrels_name"),
+        F.col("t.correspond_metrics_name").alias("metrics"),
+    )
+
+
 def duplicate_ids(pool: DataFrame, id_col: str = "doc_id", by: list[str] | None = None) -> DataFrame:
     """Pool ids seen more than once (per modality); must be empty to build a pool."""
     keys = (by or []) + [id_col]
@@ -103,6 +129,16 @@ def ranks(queries: DataFrame, pool: DataFrame, judgment_lines: DataFrame | None,
     return knn.first_relevant_rank(queries, pool, judgments, cfg.metric, cfg.exclude_self)
 
 
+def evaluate_and_write(queries: DataFrame, pool: DataFrame, judgment_lines: DataFrame | None,
+                       out_dir: str, cfg: EvalConfig | None = None) -> str | None:
+    """The whole evaluation job: report for every cell, written as a timestamped TSV
+    (wide form, reference column order); returns the path, or None for an empty report."""
+    from quiver.sources.sinks import write_report_tsv
+    cfg = (cfg or EvalConfig()).normalized()
+    wide = M.wide_report(evaluate(queries, pool, judgment_lines, cfg), M.parse_metric_list(cfg.metrics))
+    return write_report_tsv(wide, out_dir)
+
+
 def evaluate(queries: DataFrame, pool: DataFrame, judgment_lines: DataFrame | None,
              cfg: EvalConfig | None = None) -> DataFrame:
     """Long report (task, modalities, n, hits_k, mrr) for every cell present in both sides."""
