@@ -2,11 +2,14 @@
 
 Physical design (no cross join, no all-pairs rows):
 
-* The query side is cut into blocks whose broadcast size is checked against a
-  byte budget before anything is collected. Each block is broadcast once.
-* The pool is scanned with ``mapInPandas``; every task multiplies its Arrow
-  batches by the query block (numpy BLAS, tiled so one score tile stays small)
-  and keeps only a running top-k per query. Only those rows leave the task.
+* The size of the query side is checked against a byte budget before anything
+  is collected. If it fits, it is broadcast once and the pool is scanned with
+  ``mapInPandas``; every task multiplies its Arrow batches by the query block
+  (numpy BLAS, tiled so one score tile stays small) and keeps only a running
+  top-k per query. Only those rows leave the task.
+* If it does not fit, nothing goes through the driver: query blocks and pool
+  shards meet in a co-group on (block, shard), each group bounded on both sides,
+  running the same kernel (``run_blocked``).
 * A ``row_number`` window merges the per-task lists; for k <= the window group
   limit threshold Spark adds a partial WindowGroupLimit before the shuffle.
 * Evaluation does not need the hit list at all: the rank of the first relevant
@@ -118,20 +121,6 @@ def _block_count(df: DataFrame, vec: str, budget_bytes: int) -> tuple[int, int]:
     return n, max(1, math.ceil(n / per_block))
 
 
-def _collect_block(df: DataFrame) -> pd.DataFrame:
-    return df.toPandas()
-
-
-def _blocks(df: DataFrame, key_cols: list[str], n_blocks: int):
-    if n_blocks <= 1:
-        yield _collect_block(df)
-        return
-    b = F.pmod(F.xxhash64(*key_cols), F.lit(n_blocks))
-    tagged = df.withColumn("__qblock", b)
-    for i in range(n_blocks):
-        yield _collect_block(tagged.where(F.col("__qblock") == i).drop("__qblock"))
-
-
 def _ensure_group_limit(spark: SparkSession, k: int) -> None:
     """Keep the partial top-k (WindowGroupLimit) before the shuffle for any k."""
     cur = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
@@ -139,14 +128,60 @@ def _ensure_group_limit(spark: SparkSession, k: int) -> None:
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(k))
 
 
+DEFAULT_SHARD_BYTES = 256 << 20     # pool bytes per shard when the query side needs several blocks
+
+_PD_TYPES = {"long": "int64", "int": "int32", "double": "float64", "string": "object"}
+
+
+def _empty_frame(schema: str) -> pd.DataFrame:
+    cols = [c.strip().split(" ") for c in schema.split(",")]
+    return pd.DataFrame({n: pd.Series([], dtype=_PD_TYPES[t]) for n, t in cols})
+
+
+def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payload_fn, kernel,
+                schema: str, block_bytes: int = DEFAULT_BLOCK_BYTES, min_blocks: int = 1,
+                shard_bytes: int = DEFAULT_SHARD_BYTES) -> DataFrame:
+    """Run ``kernel(payload_fn(query_block), pool_batches)`` over every (query, pool) pair of blocks.
+
+    * One block (its size checked first): the block is broadcast and the pool is
+      scanned once by ``mapInPandas`` -- no shuffle of the pool.
+    * Several blocks: nothing goes through the driver. Query rows get a block
+      number and pool rows a shard number (hashes); each side is replicated to
+      the partners it must meet (``explode(sequence(..))``) and a co-group on
+      (block, shard) hands each task one bounded query block and one bounded
+      pool shard. Results are partial per shard and are merged by the caller
+      (window top-k, min, sum), exactly as across pool partitions.
+    """
+    spark = queries.sparkSession
+    _, n_blocks = _block_count(queries, "vec", block_bytes)
+    n_blocks = max(n_blocks, min_blocks)
+    if n_blocks <= 1:
+        bc = spark.sparkContext.broadcast(payload_fn(queries.toPandas()))
+        return pool.mapInPandas(lambda it: kernel(bc.value, it), schema)
+    q = materialize(queries)
+    _, n_shards = _block_count(pool, "vec", shard_bytes)
+    qb = (q.withColumn("_qb", F.pmod(F.xxhash64(*query_keys), F.lit(n_blocks)).cast("int"))
+           .withColumn("_ps", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))))
+    pb = (pool.withColumn("_ps", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
+              .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
+    empty = _empty_frame(schema)
+
+    def tile(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if qdf.empty or pdf.empty:
+            return empty
+        out = list(kernel(payload_fn(qdf), iter([pdf])))
+        return pd.concat(out, ignore_index=True) if out else empty
+
+    return qb.groupBy("_qb", "_ps").cogroup(pb.groupBy("_qb", "_ps")).applyInPandas(tile, schema)
+
+
 # ---- top-k search ---------------------------------------------------------------
 
 HITS_SCHEMA = "qid long, q_mod string, c_mod string, doc_id long, score double"
 
 
-def _topk_task(payload, k: int, metric: str, exclude_self: bool):
-    def run(batches):
-        blocks = payload.value
+def _topk_kernel(k: int, metric: str, exclude_self: bool):
+    def run(blocks, batches):
         best = {}  # (q_mod, c_mod) -> (rows, keys, docs)
         for pdf in batches:
             if pdf.empty:
@@ -194,17 +229,8 @@ def search_topk(queries: DataFrame, pool: DataFrame, k: int, metric: str = "ip",
     spark = queries.sparkSession
     q = queries.select("qid", "q_mod", V.as_double("vec").alias("vec"))
     p = pool.select("doc_id", "c_mod", V.as_double("vec").alias("vec"))
-    _, n_blocks = _block_count(q, "vec", block_bytes)
-    n_blocks = max(n_blocks, min_blocks)
-    if n_blocks > 1:
-        q = materialize(q)
-    parts = []
-    for block in _blocks(q, ["qid", "q_mod"], n_blocks):
-        bc = spark.sparkContext.broadcast(_payload_by_mod(block, "qid", "q_mod", "vec"))
-        parts.append(p.mapInPandas(_topk_task(bc, k, metric, exclude_self), HITS_SCHEMA))
-    cands = parts[0]
-    for extra in parts[1:]:
-        cands = cands.unionByName(extra)
+    cands = run_blocked(q, p, ["qid", "q_mod"], lambda b: _payload_by_mod(b, "qid", "q_mod", "vec"),
+                        _topk_kernel(k, metric, exclude_self), HITS_SCHEMA, block_bytes, min_blocks)
     if not with_rank:
         return cands
     _ensure_group_limit(spark, k)
@@ -219,10 +245,9 @@ THR_SCHEMA = "qid long, q_mod string, c_mod string, best_key double, best_doc lo
 CNT_SCHEMA = "qid long, q_mod string, c_mod string, n_before long"
 
 
-def _best_by_key_task(payload, metric: str, exclude_self: bool):
+def _best_by_key_kernel(metric: str, exclude_self: bool):
     """Per task: best candidate sharing the query's relevance key (pass A)."""
-    def run(batches):
-        blocks = payload.value
+    def run(blocks, batches):
         best = {}
         for pdf in batches:
             if pdf.empty:
@@ -256,10 +281,9 @@ def _best_by_key_task(payload, metric: str, exclude_self: bool):
     return run
 
 
-def _count_before_task(payload, metric: str, exclude_self: bool):
+def _count_before_kernel(metric: str, exclude_self: bool):
     """Per task: candidates ordered strictly before each query's threshold (pass B)."""
-    def run(batches):
-        blocks = payload.value
+    def run(blocks, batches):
         counts = {cell: np.zeros(len(v[0]), np.int64) for cell, v in blocks.items()}
         for pdf in batches:
             if pdf.empty:
@@ -287,32 +311,24 @@ def _count_before_task(payload, metric: str, exclude_self: bool):
     return run
 
 
-def _union_all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for extra in parts[1:]:
-        out = out.unionByName(extra)
-    return out
-
-
 def best_relevant_by_key(queries: DataFrame, pool: DataFrame, metric: str = "ip",
-                         exclude_self: bool = False, block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+                         exclude_self: bool = False, block_bytes: int = DEFAULT_BLOCK_BYTES,
+                         min_blocks: int = 1) -> DataFrame:
     """Best candidate per query among those with the same ``rel_key`` (relevance by rule).
 
     No (query, relevant) pair is materialised: each task keeps one best per query,
     and a partial-aggregated min merges the tasks.
     """
     _check_metric(metric)
-    spark = queries.sparkSession
     q = queries.select("qid", "q_mod", V.as_double("vec").alias("vec"), "rel_key")
     p = pool.select("doc_id", "c_mod", V.as_double("vec").alias("vec"), "rel_key")
-    _, n_blocks = _block_count(q, "vec", block_bytes)
-    parts = []
-    for block in _blocks(q, ["qid", "q_mod"], n_blocks):
-        payload = {m: (g["qid"].to_numpy(np.int64), _stack(g["vec"]), g["rel_key"].to_numpy())
-                   for m, g in block.groupby("q_mod", sort=False)}
-        bc = spark.sparkContext.broadcast(payload)
-        parts.append(p.mapInPandas(_best_by_key_task(bc, metric, exclude_self), THR_SCHEMA))
-    best = _union_all(parts).groupBy("qid", "q_mod", "c_mod").agg(
+
+    def payload(block):
+        return {m: (g["qid"].to_numpy(np.int64), _stack(g["vec"]), g["rel_key"].to_numpy())
+                for m, g in block.groupby("q_mod", sort=False)}
+    parts = run_blocked(q, p, ["qid", "q_mod"], payload, _best_by_key_kernel(metric, exclude_self),
+                        THR_SCHEMA, block_bytes, min_blocks)
+    best = parts.groupBy("qid", "q_mod", "c_mod").agg(
         F.min(F.struct("best_key", "best_doc")).alias("b"))
     return best.select("qid", "q_mod", "c_mod", F.col("b.best_key").alias("best_key"),
                        F.col("b.best_doc").alias("best_doc"))
@@ -347,21 +363,20 @@ def best_relevant_by_judgments(queries: DataFrame, pool: DataFrame, judgments: D
 
 
 def count_before(queries: DataFrame, pool: DataFrame, thresholds: DataFrame, metric: str = "ip",
-                 exclude_self: bool = False, block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+                 exclude_self: bool = False, block_bytes: int = DEFAULT_BLOCK_BYTES,
+                 min_blocks: int = 1) -> DataFrame:
     """Per (query, cell): number of candidates ordered before the threshold candidate."""
     _check_metric(metric)
-    spark = queries.sparkSession
     tq = thresholds.join(queries.select("qid", "q_mod", V.as_double("vec").alias("vec")), ["qid", "q_mod"])
     p = pool.select("doc_id", "c_mod", V.as_double("vec").alias("vec"))
-    _, n_blocks = _block_count(tq, "vec", block_bytes)
-    parts = []
-    for block in _blocks(tq, ["qid", "q_mod", "c_mod"], n_blocks):
-        payload = {cell: (g["qid"].to_numpy(np.int64), _stack(g["vec"]),
-                          g["best_key"].to_numpy(np.float64), g["best_doc"].to_numpy(np.int64))
-                   for cell, g in block.groupby(["q_mod", "c_mod"], sort=False)}
-        bc = spark.sparkContext.broadcast(payload)
-        parts.append(p.mapInPandas(_count_before_task(bc, metric, exclude_self), CNT_SCHEMA))
-    return _union_all(parts).groupBy("qid", "q_mod", "c_mod").agg(F.sum("n_before").alias("n_before"))
+
+    def payload(block):
+        return {cell: (g["qid"].to_numpy(np.int64), _stack(g["vec"]),
+                       g["best_key"].to_numpy(np.float64), g["best_doc"].to_numpy(np.int64))
+                for cell, g in block.groupby(["q_mod", "c_mod"], sort=False)}
+    parts = run_blocked(tq, p, ["qid", "q_mod", "c_mod"], payload, _count_before_kernel(metric, exclude_self),
+                        CNT_SCHEMA, block_bytes, min_blocks)
+    return parts.groupBy("qid", "q_mod", "c_mod").agg(F.sum("n_before").alias("n_before"))
 
 
 def modalities_of(df: DataFrame, col: str) -> list[str]:
@@ -371,7 +386,7 @@ def modalities_of(df: DataFrame, col: str) -> list[str]:
 
 def first_relevant_rank(queries: DataFrame, pool: DataFrame, judgments: DataFrame | None = None,
                         metric: str = "ip", exclude_self: bool = False,
-                        block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+                        block_bytes: int = DEFAULT_BLOCK_BYTES, min_blocks: int = 1) -> DataFrame:
     """Rank of the first relevant candidate for every query row and pool modality.
 
     Relevance is given either by ``judgments`` (qid, doc_id strings) or, when it is
@@ -380,11 +395,11 @@ def first_relevant_rank(queries: DataFrame, pool: DataFrame, judgments: DataFram
     Output: (qid, q_mod, c_mod, first_rank).
     """
     if judgments is None:
-        thr = best_relevant_by_key(queries, pool, metric, exclude_self, block_bytes)
+        thr = best_relevant_by_key(queries, pool, metric, exclude_self, block_bytes, min_blocks)
     else:
         thr = best_relevant_by_judgments(queries, pool, judgments, metric, exclude_self)
     thr = materialize(thr)   # read by the size check, the block collects and the final join
-    cnt = count_before(queries, pool, thr, metric, exclude_self, block_bytes)
+    cnt = count_before(queries, pool, thr, metric, exclude_self, block_bytes, min_blocks)
     ranked = thr.join(cnt, ["qid", "q_mod", "c_mod"], "left").select(
         "qid", "q_mod", "c_mod", (F.coalesce("n_before", F.lit(0)) + 1).alias("first_rank"))
     c_mods = modalities_of(pool, "c_mod")

@@ -174,3 +174,22 @@ def test_ivf_recall_and_salting(spark):
     full = ivf.search_ivf(qd, pdf, 10, n_cells=8, nprobe=8, seed=2, max_group_rows=7)
     key = ["qid", "q_mod", "c_mod", "doc_id", "score", "rank"]
     assert sorted(map(tuple, full.select(*key).collect())) == sorted(map(tuple, exact.select(*key).collect()))
+
+
+def test_tiled_path_equals_broadcast_path(spark):
+    """Several query blocks (co-group on block x shard, nothing on the driver) = one broadcast block."""
+    rng = np.random.default_rng(13)
+    C = _unit(rng.normal(size=(90, 6)))
+    labels = rng.integers(0, 3, 90)
+    rows = [(i, m, [float(x) for x in (C[i] if m == "it" else C[(i + 1) % 90])], int(labels[i]))
+            for i in range(90) for m in ("i", "it")]
+    qd = spark.createDataFrame(rows, Q_SCHEMA + ", rel_key int")
+    pdf = spark.createDataFrame(rows, P_SCHEMA + ", rel_key int")
+    jd = spark.createDataFrame([(str(i), str((i * 7) % 90)) for i in range(90)], "qid string, doc_id string")
+    for judg in (None, jd):
+        a = knn.first_relevant_rank(qd, pdf, judg, exclude_self=judg is None)
+        b = knn.first_relevant_rank(qd, pdf, judg, exclude_self=judg is None, min_blocks=3)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    t1 = knn.search_topk(qd, pdf, 4)
+    t3 = knn.search_topk(qd, pdf, 4, min_blocks=3)
+    assert sorted(map(tuple, t1.collect())) == sorted(map(tuple, t3.collect()))
