@@ -72,6 +72,12 @@ def first_question(questions: ColumnOrName) -> Column:
     return F.coalesce(F.get(valid_questions(questions), 0), F.lit(""))
 
 
+def question_of(corpus_columns: list[str]) -> Column:
+    """The query text of a corpus record: a precomputed ``question`` column when the
+    corpus has one (long-form source), else the first valid entry of ``questions``."""
+    return F.col("question") if "question" in corpus_columns else first_question("questions")
+
+
 def hash_draw(*parts: ColumnOrName) -> Column:
     """Deterministic 32-bit draw from md5 of the '-'-joined parts; reproducible in SQL engines."""
     key = F.concat_ws("-", *[_c(p).cast("string") for p in parts])

@@ -32,21 +32,25 @@ def _item(mode: Column, txt: Column, txt_for_only: Column, image: Column) -> Col
 
 
 def train_pairs(corpus: DataFrame, seed: int, epoch: int = 0, modes: list[str] | None = None,
-                fixed_target: bool = False) -> DataFrame:
+                fixed_target: bool = False, questions: DataFrame | None = None) -> DataFrame:
     """(id, q_mode, t_mode, query STRUCT<txt,img>, pos_cand STRUCT<txt,img>).
 
-    Query text is a seeded draw among the valid questions; the target text is the
-    caption (``img_only`` drops it, ``txt_only`` drops the image). With
-    ``fixed_target`` the target is always caption + image.
+    Query text is a seeded draw among the valid questions (from the record's
+    ``questions`` array, or from ``questions`` in long form (id, turn, question));
+    the target text is the caption (``img_only`` drops it, ``txt_only`` drops the
+    image). With ``fixed_target`` the target is always caption + image.
     """
     modes = modes or TRAIN_MODES
     q_mode = _mode_of(T.hash_draw("id", F.lit(seed), F.lit(epoch), F.lit("query")), modes)
     t_mode = F.lit("img_txt") if fixed_target else _mode_of(
         T.hash_draw("id", F.lit(seed), F.lit(epoch), F.lit("target")), modes)
-    question = T.sampled_question("questions", F.concat_ws("-", F.col("id").cast("string"), F.lit(epoch)),
-                                  F.lit(seed))
-    df = corpus.select("id", "caption", "image", question.alias("_q"), q_mode.alias("q_mode"),
-                       t_mode.alias("t_mode"))
+    draw_key = F.concat_ws("-", F.col("id").cast("string"), F.lit(epoch))
+    if questions is None:
+        base = corpus.withColumn("_q", T.sampled_question("questions", draw_key, F.lit(seed)))
+    else:
+        from quiver.operators.views import sample_question_long
+        base = sample_question_long(corpus, questions, T.hash_draw(draw_key, F.lit(seed)), "_q")
+    df = base.select("id", "caption", "image", "_q", q_mode.alias("q_mode"), t_mode.alias("t_mode"))
     return df.select(
         "id", "q_mode", "t_mode",
         _item(F.col("q_mode"), F.col("_q"), F.col("_q"), F.col("image")).alias("query"),
@@ -54,14 +58,26 @@ def train_pairs(corpus: DataFrame, seed: int, epoch: int = 0, modes: list[str] |
     )
 
 
+DEFAULT_SHARD_ROWS = 1 << 20
+
+
+def shard_count(df: DataFrame, rows_per_shard: int = DEFAULT_SHARD_ROWS) -> int:
+    """Shards needed so that a shard holds about ``rows_per_shard`` rows (one count)."""
+    n = df.count()
+    return max(1, -(-n // rows_per_shard))
+
+
 def epoch_batches(df: DataFrame, id_col: str, batch_size: int, seed: int, epoch: int,
-                  n_shards: int) -> DataFrame:
+                  n_shards: int | None = None, rows_per_shard: int = DEFAULT_SHARD_ROWS) -> DataFrame:
     """Seeded shuffle into batches: (.., shard, batch_id, pos).
 
-    Rows are hashed to ``n_shards`` shards and ordered inside a shard by a seeded
-    draw (id breaks ties), so each window holds one shard, never the whole table.
+    Rows are hashed to shards and ordered inside a shard by a seeded draw (id
+    breaks ties), so each window holds one shard, never the whole table. The
+    shard count grows with the table (``rows_per_shard``) unless given.
     ``batch_id`` is ``shard * 2^32 + batch number in shard``.
     """
+    if n_shards is None:
+        n_shards = shard_count(df, rows_per_shard)
     draw = T.hash_draw(id_col, F.lit(seed), F.lit(epoch))
     d = df.withColumn("_draw", draw).withColumn("shard", (F.col("_draw") % n_shards).cast("int"))
     w = Window.partitionBy("shard").orderBy("_draw", id_col)

@@ -3,7 +3,8 @@
 A corpus record ``(id, image, caption, questions)`` becomes an item
 ``(id, txt, img, txt_mask, img_mask)`` per modality: ``it`` keeps text and
 image, ``i`` keeps the image with empty text, ``t`` keeps the text without image.
-Candidate views use the caption, query views the first valid question.
+Candidate views use the caption, query views the first valid question (a
+``questions`` array, or a precomputed ``question`` column).
 Everything is a projection: no shuffle.
 """
 
@@ -39,7 +40,7 @@ def query_view(corpus: DataFrame, mode: str, keep: list[str] | None = None) -> D
     """Query item per record with the first valid question as text."""
     if mode not in MODALITIES:
         raise ValueError(f"Unknown query mode: {mode}")
-    return _item(corpus, T.first_question("questions"), mode, keep or ["id"])
+    return _item(corpus, T.question_of(corpus.columns), mode, keep or ["id"])
 
 
 def with_masks(items: DataFrame, txt: str = "txt", img: str = "img") -> DataFrame:
@@ -58,7 +59,7 @@ def valid_queries(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fanout_items(corpus: DataFrame, side: str = "cand", keep: list[str] | None = None) -> DataFrame:
     """All three views of each record in one pass (order i, t, it), with masks."""
     keep = keep or ["id"]
-    txt = F.col("caption") if side == "cand" else T.first_question("questions")
+    txt = F.col("caption") if side == "cand" else T.question_of(corpus.columns)
     views = F.array(
         F.struct(F.lit("i").alias("modality"), F.lit("").alias("txt"), F.col("image").alias("img")),
         F.struct(F.lit("t").alias("modality"), txt.alias("txt"), F.lit(None).cast("binary").alias("img")),
@@ -117,3 +118,23 @@ def unit_modality_vectors(base: DataFrame, fusion: str = "sum", text_weight: flo
                           keep: list[str] | None = None, modalities: list[str] | None = None) -> DataFrame:
     """Modality vectors, zero-safe L2-normalised (the searchable form)."""
     return V.with_l2_normalized(modality_vectors(base, fusion, text_weight, keep, modalities), "vec")
+
+
+# ---- questions in long form -----------------------------------------------------
+
+def sample_question_long(records: DataFrame, questions: DataFrame, draw: Column, out: str = "sampled") -> DataFrame:
+    """A seeded draw among each record's valid questions, kept in long form.
+
+    ``questions`` is (id, turn, question) with valid questions only. The pick is
+    ``draw mod n`` over the questions ordered by turn; n comes from a partial
+    count and positions from the chunked row index, so a record with very many
+    questions is never gathered into one row or one window. No question: ''.
+    """
+    from quiver.operators.runlog import row_index
+    counts = questions.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    r = records.join(counts, "id", "left").withColumn(
+        "_pick", F.when(F.col("_n") > 0, draw % F.col("_n")))
+    ranked = row_index(questions.select("id", "turn", "question"), ["id"], "turn").select(
+        "id", F.col("_r").alias("_pick"), F.col("question").alias("_sq"))
+    return (r.join(ranked, ["id", "_pick"], "left")
+             .withColumn(out, F.coalesce("_sq", F.lit(""))).drop("_n", "_pick", "_sq"))

@@ -285,7 +285,7 @@ from quiver.operators import lookup, pairs  # noqa: E402
 
 SEED = 42
 BATCH = 32
-SHARDS = 4
+SHARD_ROWS = 128          # rows per shuffle shard of the epoch batches
 STEP_BATCHES = 4          # batches whose positives are gathered together
 LOGIT_SCALE = 100.0
 CARD_TOP_K = 7
@@ -314,12 +314,13 @@ def q_query_view(spark, sf):
 
 
 def q_first_question(spark, sf):
-    return B.load_corpus(spark, sf).select("id", T.first_question("questions").alias("question"))
+    return B.load_corpus(spark, sf).select("id", "question")
 
 
 def q_sampled_question(spark, sf):
-    c = B.load_corpus(spark, sf)
-    return c.select("id", T.sampled_question("questions", "id", F.lit(SEED)).alias("question"))
+    c = B.load_corpus(spark, sf).select("id")
+    s = views.sample_question_long(c, B.load_user_questions(spark, sf), T.hash_draw("id", F.lit(SEED)), "question")
+    return s.select("id", "question")
 
 
 def _query_items(spark, sf):
@@ -347,27 +348,30 @@ def _pairs_out(p):
 
 
 def q_train_pairs(spark, sf):
-    return _pairs_out(pairs.train_pairs(B.load_corpus(spark, sf), SEED, epoch=0))
+    return _pairs_out(pairs.train_pairs(B.load_corpus(spark, sf), SEED, epoch=0,
+                                        questions=B.load_user_questions(spark, sf)))
 
 
 def q_train_pairs_fixed_target(spark, sf):
-    return _pairs_out(pairs.train_pairs(B.load_corpus(spark, sf), SEED, epoch=0, fixed_target=True))
+    return _pairs_out(pairs.train_pairs(B.load_corpus(spark, sf), SEED, epoch=0, fixed_target=True,
+                                        questions=B.load_user_questions(spark, sf)))
 
 
 def q_pair_flatten(spark, sf):
-    p = pairs.train_pairs(B.load_corpus(spark, sf), SEED, epoch=0)
-    b = pairs.epoch_batches(p, "id", 8, SEED, 0, SHARDS)
+    p = pairs.train_pairs(B.load_corpus(spark, sf), SEED, epoch=0, questions=B.load_user_questions(spark, sf))
+    b = pairs.epoch_batches(p, "id", 8, SEED, 0, rows_per_shard=SHARD_ROWS)
     return pairs.pair_flatten(b)
 
 
 def q_epoch_batches(spark, sf):
     emb = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id")
-    return pairs.epoch_batches(emb, "vec_id", BATCH, SEED, 1, SHARDS).select("vec_id", "shard", "batch_id", "pos")
+    return pairs.epoch_batches(emb, "vec_id", BATCH, SEED, 1, rows_per_shard=SHARD_ROWS).select(
+        "vec_id", "shard", "batch_id", "pos")
 
 
 def _contrastive_sides(spark, sf):
     base = B.load_base_vectors(spark, sf)
-    b = pairs.epoch_batches(base, "id", BATCH, SEED, 0, SHARDS)
+    b = pairs.epoch_batches(base, "id", BATCH, SEED, 0, rows_per_shard=SHARD_ROWS)
     q = b.select("batch_id", "pos", V.mask_gate("img_vec", "img_mask").alias("vec"))
     p = b.select("batch_id", F.col("pos").alias("col"), V.mask_gate("txt_vec", "txt_mask").alias("vec"))
     return b, q, p

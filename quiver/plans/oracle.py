@@ -257,9 +257,10 @@ pairs AS (
   FROM p0)"""
 
 
-def _batches(src: str, id_col: str, bs: int, seed: int, epoch: int, shards: int, name: str = "b") -> str:
+def _batches(src: str, id_col: str, bs: int, seed: int, epoch: int, shard_rows: int, name: str = "b") -> str:
     return f"""{name}_d AS (SELECT *, {_draw(f'{id_col}::VARCHAR', f"'{seed}'", f"'{epoch}'")} AS _draw FROM {src}),
-{name}_s AS (SELECT *, CAST(_draw % {shards} AS INTEGER) AS shard FROM {name}_d),
+{name}_n AS (SELECT greatest(1, CAST(ceil(count(*) / {shard_rows}.0) AS BIGINT)) AS n_shards FROM {src}),
+{name}_s AS (SELECT {name}_d.*, CAST(_draw % n_shards AS INTEGER) AS shard FROM {name}_d, {name}_n),
 {name}_r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY _draw, {id_col}) - 1 AS _rn FROM {name}_s),
 {name} AS (SELECT * EXCLUDE (_draw, _rn), shard::BIGINT * 4294967296 + (_rn // {bs}) AS batch_id,
                   CAST(_rn % {bs} AS INTEGER) AS pos FROM {name}_r)"""
@@ -279,7 +280,7 @@ def _contrastive(global_: bool) -> str:
         step = ""
         q = f"SELECT batch_id, batch_id AS g, pos, pos AS target, {_eps('list_transform(img_vec, lambda x: x * img_mask)')} AS qv FROM b"
         p = f"SELECT batch_id AS g, pos AS col, {_eps('list_transform(txt_vec, lambda x: x * txt_mask)')} AS pv FROM b"
-    return f"""WITH {BASE}, {_batches('base', 'id', 32, 42, 0, 4)}, {step}
+    return f"""WITH {BASE}, {_batches('base', 'id', 32, 42, 0, 128)}, {step}
 q AS ({q}), p AS ({p}),
 s AS (SELECT q.batch_id, q.pos, q.target, p.col, list_dot_product(q.qv, p.pv) * 100.0 AS s FROM q JOIN p ON q.g = p.g),
 s2 AS (SELECT *, max(s) OVER (PARTITION BY batch_id, pos) AS m FROM s),
@@ -309,13 +310,13 @@ SQL.update({
 SELECT id, modality, CASE WHEN txt_mask = 1 OR img_mask = 1 THEN 'ok' ELSE 'rejected' END AS status FROM qitems""",
     "train_pairs": f"WITH {CORPUS}, {_pairs(False)} SELECT * FROM pairs",
     "train_pairs_fixed_target": f"WITH {CORPUS}, {_pairs(True)} SELECT * FROM pairs",
-    "pair_flatten": f"""WITH {CORPUS}, {_pairs(False)}, {_batches('pairs', 'id', 8, 42, 0, 4)}
+    "pair_flatten": f"""WITH {CORPUS}, {_pairs(False)}, {_batches('pairs', 'id', 8, 42, 0, 128)}
 SELECT batch_id, pos * 2 AS idx, 'query' AS role, coalesce(q_txt, '') AS txt,
        CASE WHEN q_txt IS NULL OR q_txt = '' THEN 0 ELSE 1 END AS txt_mask, q_has_img AS img_mask FROM b
 UNION ALL
 SELECT batch_id, pos * 2 + 1, 'pos_cand', coalesce(c_txt, ''),
        CASE WHEN c_txt IS NULL OR c_txt = '' THEN 0 ELSE 1 END, c_has_img FROM b""",
-    "epoch_batches": f"""WITH e AS (SELECT vec_id FROM embeddings), {_batches('e', 'vec_id', 32, 42, 1, 4)}
+    "epoch_batches": f"""WITH e AS (SELECT vec_id FROM embeddings), {_batches('e', 'vec_id', 32, 42, 1, 128)}
 SELECT vec_id, shard, batch_id, pos FROM b""",
     "contrastive_eval": _contrastive(False),
     "contrastive_eval_global": _contrastive(True),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiver.functions import text as T
 from quiver.functions import vectors as V
 from quiver.sources.tables import table
 
@@ -56,15 +57,27 @@ def qrels_lines(emb: DataFrame) -> DataFrame:
     )
 
 
+def user_questions(conversations: DataFrame) -> DataFrame:
+    """Valid user questions in long form (id, turn, question): stripped, non-blank."""
+    q = T.strip_ws(F.col("text"))
+    return (conversations.where(F.col("role") == "user")
+            .select(F.col("conv_id").alias("id"), "turn", q.alias("question"))
+            .where(F.col("question").isNotNull() & (F.col("question") != "")))
+
+
 def corpus(conversations: DataFrame) -> DataFrame:
     """Corpus records from ``conversations``: one per conversation.
 
-    questions = user texts ordered by turn, caption = first assistant text (null
-    when none), image = UTF-8 bytes of the caption as an opaque stand-in.
-    Aggregation is a plain groupBy (map-side partial, one row per conversation).
+    caption = first assistant text (null when none), image = UTF-8 bytes of the
+    caption as an opaque stand-in, question = first valid user question ('' when
+    none). Both are partial ``min`` aggregates over (turn, text) structs, so a
+    conversation with very many turns is never gathered into one row; the other
+    questions stay in long form (``user_questions``) for sampling.
     """
+    valid_q = T.strip_ws(F.col("text"))
+    is_q = (F.col("role") == "user") & valid_q.isNotNull() & (valid_q != "")
     agg = conversations.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text")))).alias("_u"),
+        F.min(F.when(is_q, F.struct("turn", valid_q.alias("text")))).alias("_q"),
         F.min(F.when(F.col("role") == "assistant", F.struct("turn", "text"))).alias("_a"),
     )
     return agg.select(
@@ -72,7 +85,7 @@ def corpus(conversations: DataFrame) -> DataFrame:
         F.lit(DEFAULT_SPLIT).alias("split"),
         F.encode(F.col("_a.text"), "UTF-8").alias("image"),
         F.col("_a.text").alias("caption"),
-        F.transform("_u", lambda s: s["text"]).alias("questions"),
+        F.coalesce(F.col("_q.text"), F.lit("")).alias("question"),
     )
 
 
@@ -80,6 +93,10 @@ def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(table(spark, sf_dir, "conversations"))
 
 
+def load_user_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_questions(table(spark, sf_dir, "conversations"))
+
+
 def metric_log(events: DataFrame) -> DataFrame:
     """Training metric log from ``events``: run = user, metric = event type, step = event id."""
     return events.select(
