@@ -6,12 +6,20 @@ tables. Column names match the SQL oracle in ``quiver.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiver.functions import text as T
 from quiver.functions import vectors as V
-from quiver.operators import knn, views
+from quiver.operators import encode, ivf, knn, lookup, pairs, project, runlog, views
+from quiver.operators import metrics as M
+from quiver.plans import evaluate as E
+from quiver.session import checkpoint_dir
 from quiver.sources import bindings as B
+from quiver.sources import qrels as QR
+from quiver.streaming import search as stream_search
 
 # Fixed values of the registered queries.
 K_SEARCH = 10
@@ -125,9 +133,6 @@ QUERIES = {
 
 # ---- judgments ------------------------------------------------------------------------
 
-from quiver.operators import metrics as M  # noqa: E402
-from quiver.plans import evaluate as E  # noqa: E402
-from quiver.sources import qrels as QR  # noqa: E402
 
 KS = [k for _, k in M.parse_metric_list(M.DEFAULT_METRICS)]
 
@@ -280,8 +285,6 @@ QUERIES.update({
 
 # ---- views and pairs ------------------------------------------------------------------
 
-from quiver.functions import text as T  # noqa: E402
-from quiver.operators import lookup, pairs  # noqa: E402
 
 SEED = 42
 BATCH = 32
@@ -448,7 +451,6 @@ QUERIES.update({
 
 # ---- run log ---------------------------------------------------------------------------
 
-from quiver.operators import runlog  # noqa: E402
 
 LOG_CHUNK_STEPS = 1000     # small chunks and blocks so the split paths run at every scale
 LOG_BLOCK_ROWS = 256
@@ -527,8 +529,6 @@ QUERIES.update({
 
 # ---- encoders -----------------------------------------------------------------------
 
-from quiver.operators import encode  # noqa: E402
-
 
 def q_encode_batch(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
@@ -562,11 +562,6 @@ QUERIES.update({
 
 # ---- approximate search, projection, streaming ------------------------------------------
 
-import uuid  # noqa: E402
-
-from quiver.operators import ivf, project  # noqa: E402
-from quiver.session import checkpoint_dir  # noqa: E402
-from quiver.streaming import search as stream_search  # noqa: E402
 
 IVF_CELLS = 16
 IVF_PROBE = 4

@@ -61,4 +61,5 @@ def test_matches_oracle(spark, con, name):
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0
-    assert df.columns == ["qid", "q_mod", "c_mod", "doc_id", "score", "rank"]
+    assert df.columns[:7] == ["task_id", "task", "dataset", "split", "cand_pool", "query_modality",
+                              "candidate_modality"]
