@@ -177,7 +177,8 @@ SELECT qid, task_id FROM tasks""",
     "eval_report_wide": _REPORT + """
 SELECT task_id AS "TaskID", task AS "Task", dataset AS "Dataset", split AS "Split", cand_pool AS "CandPool",
        query_modality AS "QueryModality", candidate_modality AS "CandidateModality", """
-    + ", ".join(f'round(hits_{k} / n, 4) AS "Recall@{k}"' for k in KS) + """, round(mrr, 4) AS "MRR"
+    + ", ".join(f'round((hits_{k} / n)::DECIMAL(24, 12), 4)::DOUBLE AS "Recall@{k}"' for k in KS)
+    + """, round(mrr::DECIMAL(24, 12), 4)::DOUBLE AS "MRR"
 FROM report ORDER BY 1, 6, 7""",
     "unjudged_queries": f"""WITH {UNIT}, {LINES}, {_parsed()}, {_ranked('judg')},
 jq AS (SELECT DISTINCT qid, 1 AS judged FROM judg)
