@@ -75,13 +75,16 @@ def spread(df):
 
 
 def materialize(df):
-    """Write a table that several passes will read, cutting its lineage.
+    """Write a table that several passes will read, and read it back (cuts lineage).
 
-    Uses ``checkpoint()`` into spark.checkpoint.dir (the cluster's shared folder),
-    so a lost executor recomputes from the written copy, not from the sources.
-    A table arriving in fewer partitions than the cluster has cores (one small
-    file is one partition) is spread round-robin first, so later passes use
-    every core; a large table keeps its partitioning.
+    The table goes to a fresh folder under spark.checkpoint.dir (the cluster's
+    shared folder) as Parquet: computed once, readable after an executor loss,
+    and later scans get column pruning and filter pushdown. A table arriving in
+    fewer partitions than the cluster has cores is spread first so the written
+    table has at least one file per core; a large table keeps its partitioning.
     """
-    checkpoint_dir(df.sparkSession)
-    return spread(df).checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quiver-tables/{uuid.uuid4().hex}"
+    spread(df).write.parquet(path)
+    return spark.read.parquet(path)
