@@ -106,11 +106,28 @@ def encode_udf(make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], b
     return predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
 
 
+def check_encoder(make_encoder, sample) -> int:
+    """Build the encoder once on the driver and run it on two padding inputs before
+    the job starts: it must be callable and return one vector per input. Returns
+    the vector size."""
+    model = make_encoder()
+    if not callable(model):
+        raise TypeError("make_encoder() must return a callable encoder")
+    out = np.asarray(model(np.array([sample, sample], dtype=object)))
+    if out.ndim != 2 or out.shape[0] != 2:
+        raise ValueError(f"encoder must return one vector per input, got shape {out.shape}")
+    return int(out.shape[1])
+
+
 def encode_batch(df: DataFrame, input_col: str, output_col: str = "vec",
-                 make_encoder=None, batch_size: int = ENCODE_BATCH) -> DataFrame:
-    """Encode one column of a table; a null input is encoded as padding ('' / empty bytes)."""
+                 make_encoder=None, batch_size: int = ENCODE_BATCH, check: bool = True) -> DataFrame:
+    """Encode one column of a table; a null input is encoded as padding ('' / empty bytes).
+
+    The encoder hook is checked on the driver first (``check_encoder``)."""
     make_encoder = make_encoder or hashing_encoder()
     dtype = dict(df.dtypes)[input_col]
+    if check:
+        check_encoder(make_encoder, b"" if dtype == "binary" else "")
     pad = F.lit(b"").cast("binary") if dtype == "binary" else F.lit("")
     return spread(df).withColumn(output_col,
                                  encode_udf(make_encoder, batch_size)(F.coalesce(F.col(input_col), pad)))

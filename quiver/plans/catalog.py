@@ -16,7 +16,7 @@ from quiver.functions import vectors as V
 from quiver.operators import encode, ivf, knn, lookup, pairs, project, runlog, views
 from quiver.operators import metrics as M
 from quiver.plans import evaluate as E
-from quiver.session import checkpoint_dir
+from quiver.session import checkpoint_dir, spread
 from quiver.sources import bindings as B
 from quiver.sources import qrels as QR
 from quiver.streaming import search as stream_search
@@ -31,7 +31,9 @@ def _round_vec(c, digits: int = 6):
 
 
 def _views(spark: SparkSession, sf: str, fusion: str = "sum", text_weight: float = 0.5) -> DataFrame:
-    return views.modality_vectors(B.load_base_vectors(spark, sf), fusion, text_weight, keep=["id", "label"])
+    # spread a one-file table before the per-element vector expressions run
+    base = spread(B.load_base_vectors(spark, sf))
+    return views.modality_vectors(base, fusion, text_weight, keep=["id", "label"])
 
 
 def _unit_views(spark: SparkSession, sf: str, fusion: str = "sum", text_weight: float = 0.5,

@@ -60,6 +60,16 @@ def test_hashing_encoder_whole_text(spark):
     assert len(out[1]) == encode.HASH_DIM and out[2] == [0.0] * encode.HASH_DIM == out[3]
 
 
+def test_encoder_hook_is_checked_first(spark):
+    df = spark.createDataFrame([(1, "x")], "id long, t string")
+    import pytest
+    with pytest.raises(ValueError):
+        encode.encode_batch(df, "t", make_encoder=lambda: (lambda xs: np.zeros((1, 3))))
+    with pytest.raises(TypeError):
+        encode.encode_batch(df, "t", make_encoder=lambda: None)
+    assert encode.check_encoder(encode.hashing_encoder(dim=5), "") == 5
+
+
 def test_mlp_and_fp16_match_numpy(spark):
     rng = np.random.default_rng(2)
     d = 4
