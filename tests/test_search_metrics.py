@@ -193,3 +193,39 @@ def test_tiled_path_equals_broadcast_path(spark):
     t1 = knn.search_topk(qd, pdf, 4)
     t3 = knn.search_topk(qd, pdf, 4, min_blocks=3)
     assert sorted(map(tuple, t1.collect())) == sorted(map(tuple, t3.collect()))
+
+
+def test_first_rank_l2_metric_brute_force(spark):
+    rng = np.random.default_rng(17)
+    C = rng.normal(size=(50, 4))
+    labels = rng.integers(0, 3, 50)
+    rows = [(i, "t", [float(x) for x in C[i]], int(labels[i])) for i in range(50)]
+    qd = spark.createDataFrame(rows, Q_SCHEMA + ", rel_key int")
+    pdf = spark.createDataFrame(rows, P_SCHEMA + ", rel_key int")
+    got = {r.qid: r.first_rank for r in knn.first_relevant_rank(qd, pdf, None, metric="l2", exclude_self=True).collect()}
+    D = np.round(((C[:, None, :] - C[None, :, :]) ** 2).sum(-1), 6)
+    for i in range(50):
+        order = sorted((D[i, j], j) for j in range(50) if j != i)
+        ranks = [n + 1 for n, (_, j) in enumerate(order) if labels[j] == labels[i]]
+        assert got[i] == (ranks[0] if ranks else None)
+
+
+def test_permutation_invariance_property(spark):
+    """Shuffling the pool's row order and partitioning changes no hit list (hypothesis)."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    rng = np.random.default_rng(21)
+    C = _unit(rng.normal(size=(40, 5)))
+    docs = np.arange(40)
+    qd, pdf = _frames(spark, C[:6], docs[:6], C, docs)
+    base = sorted(map(tuple, knn.search_topk(qd, pdf, 5).collect()))
+
+    @settings(max_examples=3, deadline=None)
+    @given(st.permutations(list(range(40))), st.integers(1, 6))
+    def check(perm, parts):
+        _, p2 = _frames(spark, C[:6], docs[:6], C[perm], docs[perm])
+        got = sorted(map(tuple, knn.search_topk(qd, p2.repartition(parts), 5).collect()))
+        assert got == base
+
+    check()
