@@ -73,7 +73,8 @@ FROM base""",
 SELECT id, {_rv('list_transform(list_zip(img_vec, txt_vec), lambda p: 0.7 * (p[2] * txt_mask) + (1.0 - 0.7) * (p[1] * img_mask))')} AS vec
 FROM base""",
     "mask_gate": f"WITH {BASE} SELECT id, txt_mask, {_rv('list_transform(txt_vec, lambda x: x * txt_mask)')} AS vec FROM base",
-    "dim_check": """SELECT min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim, count(*) AS n_rows,
+    "dim_check": """SELECT CAST(min(len(embedding)) AS INTEGER) AS min_dim, CAST(max(len(embedding)) AS INTEGER) AS max_dim,
+       count(*) AS n_rows,
        CASE WHEN min(len(embedding)) = max(len(embedding)) THEN 'ok' ELSE 'ragged' END AS status
 FROM embeddings""",
     "knn_exact": _knn("q.modality = 'it'", "c.modality = 'it'", 10),
