@@ -229,3 +229,16 @@ def test_permutation_invariance_property(spark):
         assert got == base
 
     check()
+
+
+def test_empty_sides(spark):
+    qd = spark.createDataFrame([(1, "it", [1.0, 0.0])], Q_SCHEMA)
+    pdf = spark.createDataFrame([(2, "it", [1.0, 0.0])], P_SCHEMA)
+    empty_q = qd.limit(0)
+    empty_p = pdf.limit(0)
+    assert knn.search_topk(empty_q, pdf, 3).count() == 0
+    assert knn.search_topk(qd, empty_p, 3).count() == 0
+    no_judg = spark.createDataFrame([], "qid string, doc_id string")
+    r = knn.first_relevant_rank(qd, pdf, no_judg).collect()
+    assert [(x.c_mod, x.first_rank) for x in r] == [("it", None)]
+    assert knn.first_relevant_rank(qd, empty_p, no_judg).count() == 0
