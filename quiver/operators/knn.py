@@ -138,6 +138,21 @@ def _empty_frame(schema: str) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([], dtype=_PD_TYPES[t]) for n, t in cols})
 
 
+TASKS_PER_CORE = 4
+
+
+def _bounded_tasks(pool: DataFrame) -> DataFrame:
+    """At most TASKS_PER_CORE tasks per core scan the pool (coalesce: no shuffle).
+
+    Every scanning task emits a partial result per query (k rows, one count, one
+    best), so the merge shuffle grows with the number of tasks, not with the pool:
+    with many small pool partitions, fewer and longer tasks stream more batches
+    through the same running top-k and keep that shuffle bounded.
+    """
+    cap = TASKS_PER_CORE * pool.sparkSession.sparkContext.defaultParallelism
+    return pool.coalesce(cap) if pool.rdd.getNumPartitions() > cap else pool
+
+
 def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payload_fn, kernel,
                 schema: str, block_bytes: int = DEFAULT_BLOCK_BYTES, min_blocks: int = 1,
                 shard_bytes: int = DEFAULT_SHARD_BYTES) -> DataFrame:
@@ -157,7 +172,7 @@ def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payl
     n_blocks = max(n_blocks, min_blocks)
     if n_blocks <= 1:
         bc = spark.sparkContext.broadcast(payload_fn(queries.toPandas()))
-        return pool.mapInPandas(lambda it: kernel(bc.value, it), schema)
+        return _bounded_tasks(pool).mapInPandas(lambda it: kernel(bc.value, it), schema)
     q = materialize(queries)
     _, n_shards = _block_count(pool, "vec", shard_bytes)
     qb = (q.withColumn("_qb", F.pmod(F.xxhash64(*query_keys), F.lit(n_blocks)).cast("int"))
