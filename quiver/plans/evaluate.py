@@ -94,6 +94,21 @@ def check_unique(pool: DataFrame) -> None:
         raise DuplicatePoolIds(f"IDs should be unique for modality {dup[0]['c_mod']}: {dup[0]['doc_id']}")
 
 
+def check_dim(pool: DataFrame, configured: int | None = None) -> int:
+    """The vector size of the pool: ragged vectors are an error; a configured size that
+    differs from the data is replaced by the data's, with a warning."""
+    import warnings
+    st = V.dim_stats(pool, "vec").first()
+    if st["n_rows"] == 0:
+        return configured or 0
+    if st["min_dim"] != st["max_dim"]:
+        raise ValueError(f"ragged vectors in the pool: sizes {st['min_dim']}..{st['max_dim']}")
+    d = int(st["max_dim"])
+    if configured is not None and configured != d:
+        warnings.warn(f"dimension mismatch: config {configured}, data {d}; using {d}")
+    return d
+
+
 def build_pool(views: DataFrame, check_unique_ids: bool = True, materialize: bool = True) -> DataFrame:
     """Searchable pool from modality views (id, modality, vec): unique ids, unit vectors.
 
@@ -103,6 +118,7 @@ def build_pool(views: DataFrame, check_unique_ids: bool = True, materialize: boo
     pool = _pool_of(unit_views(views, materialize))
     if check_unique_ids:
         check_unique(pool)
+        check_dim(pool)
     return pool
 
 
@@ -118,6 +134,7 @@ def sides(views: DataFrame, pool_modalities: list[str] | None = None,
     if pool_modalities is not None:
         pool = pool.where(F.col("c_mod").isin(pool_modalities))
     check_unique(pool)
+    check_dim(pool)
     return _queries_of(units), pool
 
 

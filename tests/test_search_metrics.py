@@ -242,3 +242,15 @@ def test_empty_sides(spark):
     r = knn.first_relevant_rank(qd, pdf, no_judg).collect()
     assert [(x.c_mod, x.first_rank) for x in r] == [("it", None)]
     assert knn.first_relevant_rank(qd, empty_p, no_judg).count() == 0
+
+
+def test_dimension_checks(spark):
+    import warnings
+    ok = spark.createDataFrame([(1, "it", [1.0, 0.0])], P_SCHEMA)
+    with warnings.catch_warnings(record=True) as w:
+        warnings.simplefilter("always")
+        assert E.check_dim(ok, configured=768) == 2
+        assert any("dimension mismatch" in str(x.message) for x in w)
+    ragged = spark.createDataFrame([(1, "it", [1.0, 0.0]), (2, "it", [1.0])], P_SCHEMA)
+    with pytest.raises(ValueError):
+        E.check_dim(ragged)
