@@ -11,12 +11,12 @@ from quiver.sources import sinks
 
 def test_eval_config_expand(spark):
     cfg = spark.createDataFrame(
-        [("test", ["ROCO", "Other"], ["Pool_A", "pool_b"], ["Q1", "q2"], ["Recall@1, Recall@5", "Recall@10"])],
+        [("test", ["Set_A", "Other"], ["Pool_A", "pool_b"], ["Q1", "q2"], ["Recall@1, Recall@5", "Recall@10"])],
         "split string, datasets_name array<string>, correspond_cand_pools_name array<string>, "
         "correspond_qrels_name array<string>, correspond_metrics_name array<string>")
     rows = E.eval_config_expand(cfg).orderBy("task_pos").collect()
     assert [(r.dataset, r.cand_pool, r.qrels_name, r.metrics) for r in rows] == [
-        ("roco", "pool_a", "q1", "Recall@1, Recall@5"), ("other", "pool_b", "q2", "Recall@10")]
+        ("set_a", "pool_a", "q1", "Recall@1, Recall@5"), ("other", "pool_b", "q2", "Recall@10")]
     bad = spark.createDataFrame([("test", ["a"], ["b", "c"], ["q"], ["m"])], cfg.schema)
     with pytest.raises(ValueError):
         E.eval_config_expand(bad)
