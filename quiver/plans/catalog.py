@@ -607,3 +607,15 @@ QUERIES.update({
     "neighborhood_pca": q_neighborhood_pca,
     "stream_search": q_stream_search,
 })
+
+
+# ---- corpus to report ------------------------------------------------------------------
+
+def q_corpus_eval_report(spark, sf):
+    """Encode the conversation corpus (captions, questions, images), evaluate with identity judgments."""
+    from quiver.plans import retrieval
+    cfg = E.EvalConfig(dataset="conversations", cand_pool="conversations")
+    return retrieval.evaluate_corpus(B.load_corpus(spark, sf), None, cfg)
+
+
+QUERIES.update({"corpus_eval_report": q_corpus_eval_report})

@@ -444,3 +444,40 @@ SQL.update({
     "knn_ivf_full_probe": _knn("TRUE", "TRUE", 10),
     "stream_search": _knn("q.modality = 'it'", "c.modality = 'it'", 10),
 })
+
+
+# ---- corpus to report ------------------------------------------------------------------
+
+_CORPUS_REPORT = f"""WITH {CORPUS},
+cq AS (SELECT id, caption, {FIRST_Q} AS q FROM corpus),
+{_hash_encode('cq', 'id', 'caption', '', 'ce')},
+{_hash_encode('cq', 'id', 'q', '', 'qe')},
+{_hash_encode('cq', 'id', 'caption', 'img:', 'ie')},
+b AS (SELECT cq.id, ce.vec::DOUBLE[] AS cv, qe.vec::DOUBLE[] AS qv, ie.vec::DOUBLE[] AS iv,
+             CASE WHEN cq.caption IS NULL OR cq.caption = '' THEN 0 ELSE 1 END AS cm,
+             CASE WHEN cq.q = '' THEN 0 ELSE 1 END AS qm,
+             CASE WHEN cq.caption IS NULL THEN 0 ELSE 1 END AS im
+      FROM cq JOIN ce ON ce.id = cq.id JOIN qe ON qe.id = cq.id JOIN ie ON ie.id = cq.id),
+sv AS (
+  SELECT 'cand' AS side, id, 'i' AS modality, list_transform(iv, lambda x: x * im) AS vec FROM b
+  UNION ALL SELECT 'cand', id, 't', list_transform(cv, lambda x: x * cm) FROM b
+  UNION ALL SELECT 'cand', id, 'it', list_transform(list_zip(iv, cv), lambda p: p[1] * im + p[2] * cm) FROM b
+  UNION ALL SELECT 'query', id, 'i', list_transform(iv, lambda x: x * im) FROM b
+  UNION ALL SELECT 'query', id, 't', list_transform(qv, lambda x: x * qm) FROM b
+  UNION ALL SELECT 'query', id, 'it', list_transform(list_zip(iv, qv), lambda p: p[1] * im + p[2] * qm) FROM b),
+nv AS (SELECT *, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS n FROM sv),
+uv AS (SELECT side, id, modality, CASE WHEN n > 0 THEN list_transform(vec, lambda x: x / n) ELSE vec END AS vec
+       FROM nv),
+scored AS (
+  SELECT q.id AS qid, q.modality AS q_mod, c.modality AS c_mod, c.id AS doc_id, q.id = c.id AS rel,
+         round(list_dot_product(q.vec, c.vec), 6) + 0.0 AS score
+  FROM uv q JOIN uv c ON q.side = 'query' AND c.side = 'cand'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid, q_mod, c_mod ORDER BY score DESC, doc_id) AS rk FROM scored),
+fr AS (SELECT qid, q_mod, c_mod, min(CASE WHEN rel THEN rk END) AS first_rank FROM ranked GROUP BY qid, q_mod, c_mod),
+perq AS (SELECT *, {_HITS}, CASE WHEN first_rank <= 1000 THEN 1.0 / first_rank ELSE 0.0 END AS rr FROM fr)
+SELECT 0 AS task_id, 'Image-to-Text Retrieval' AS task, 'conversations' AS dataset, 'test' AS split,
+       'conversations' AS cand_pool, {_MOD.format(c='q_mod')} AS query_modality,
+       {_MOD.format(c='c_mod')} AS candidate_modality, count(*) AS n, {_SUMS}, round(avg(rr), 6) + 0.0 AS mrr
+FROM perq GROUP BY q_mod, c_mod"""
+
+SQL.update({"corpus_eval_report": _CORPUS_REPORT})

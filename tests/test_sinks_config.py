@@ -62,3 +62,21 @@ def test_evaluation_job_writes_tsv(spark, tmp_path):
     assert rep.columns[7:] == ["Recall@1", "Recall@5", "Recall@10", "Recall@50", "Recall@100", "MRR"]
     assert rep.count() == 18
     assert path.split("/")[-1].startswith("evaluation_results_")
+
+
+def test_corpus_encoding_and_store(spark, tmp_path):
+    from quiver.plans import retrieval
+    corpus = spark.createDataFrame(
+        [(1, "test", b"a cat", "a cat", "what animal"), (2, "test", None, None, ""), (3, "test", b"", "", "dog?")],
+        "id long, split string, image binary, caption string, question string")
+    enc = retrieval.encode_corpus(corpus)
+    rows = {r.id: r for r in enc.collect()}
+    assert (rows[1].cap_mask, rows[1].q_mask, rows[1].img_mask) == (1, 1, 1)
+    assert (rows[2].cap_mask, rows[2].q_mask, rows[2].img_mask) == (0, 0, 0)
+    assert (rows[3].cap_mask, rows[3].q_mask, rows[3].img_mask) == (0, 1, 1)
+    retrieval.store_embeddings(enc, str(tmp_path / "store"))
+    st = spark.read.parquet(str(tmp_path / "store"))
+    assert st.count() == 18
+    assert sorted(r.side for r in st.select("side").distinct().collect()) == ["cand", "query"]
+    rep = retrieval.evaluate_corpus(corpus).collect()
+    assert len(rep) == 9 and all(r.n == 3 for r in rep)
