@@ -47,9 +47,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Set our own only where it is unset (local tests); never override a cluster's.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="quiver-ckpt-")
+        d = tempfile.mkdtemp(prefix="quiver-ckpt-")   # local runs and tests only
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
