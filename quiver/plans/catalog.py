@@ -619,3 +619,19 @@ def q_corpus_eval_report(spark, sf):
 
 
 QUERIES.update({"corpus_eval_report": q_corpus_eval_report})
+
+
+def q_eval_report_tsv(spark, sf):
+    """The report written as a timestamped TSV under the checkpoint folder, read back."""
+    from quiver.sources import sinks
+    q, p = _eval_sides(spark, sf)
+    out = f"{checkpoint_dir(spark).rstrip('/')}/quiver-reports/{uuid.uuid4().hex}"
+    path = E.evaluate_and_write(q, p, _lines(spark, sf), out)
+    names = M.wide_columns([n for n, _ in M.parse_metric_list(M.DEFAULT_METRICS)] + ["MRR"])
+    types = {"TaskID": "int"}
+    schema = ", ".join(f"`{c}` {types.get(c, 'double' if c.startswith('Recall@') or c == 'MRR' else 'string')}"
+                       for c in names)
+    return sinks.read_report_tsv(spark, path, schema)
+
+
+QUERIES.update({"eval_report_tsv": q_eval_report_tsv})

@@ -481,3 +481,5 @@ SELECT 0 AS task_id, 'Image-to-Text Retrieval' AS task, 'conversations' AS datas
 FROM perq GROUP BY q_mod, c_mod"""
 
 SQL.update({"corpus_eval_report": _CORPUS_REPORT})
+
+SQL.update({"eval_report_tsv": SQL["eval_report_wide"]})

@@ -36,6 +36,9 @@ def write_report_tsv(report: DataFrame, directory: str) -> str | None:
     return path
 
 
-def read_report_tsv(spark, path: str) -> DataFrame:
-    return spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).csv(path)
+def read_report_tsv(spark, path: str, schema=None) -> DataFrame:
+    """Read a written report back (a declared schema keeps the column types exact)."""
+    r = spark.read.option("sep", "\t").option("header", True)
+    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
+    return r.csv(path)
 
