@@ -88,18 +88,28 @@ def _queries_of(units: DataFrame) -> DataFrame:
                         *[F.col(c).alias("rel_key") for c in units.columns if c == "label"], "vec")
 
 
-def check_unique(pool: DataFrame) -> None:
-    dup = duplicate_ids(pool, by=["c_mod"]).limit(1).collect()
-    if dup:
-        raise DuplicatePoolIds(f"IDs should be unique for modality {dup[0]['c_mod']}: {dup[0]['doc_id']}")
+def pool_stats(pool: DataFrame):
+    """One aggregation job: the first duplicated (modality, id), if any, and the vector sizes."""
+    per_id = pool.groupBy("c_mod", "doc_id").agg(F.count(F.lit(1)).alias("c"),
+                                                 F.min(F.size("vec")).alias("mn"), F.max(F.size("vec")).alias("mx"))
+    return per_id.agg(
+        F.min(F.when(F.col("c") > 1, F.struct("c_mod", "doc_id"))).alias("dup"),
+        F.min("mn").alias("min_dim"), F.max("mx").alias("max_dim"), F.count(F.lit(1)).alias("n_ids"),
+    ).first()
 
 
-def check_dim(pool: DataFrame, configured: int | None = None) -> int:
+def check_unique(pool: DataFrame, stats=None) -> None:
+    st = stats or pool_stats(pool)
+    if st["dup"] is not None:
+        raise DuplicatePoolIds(f"IDs should be unique for modality {st['dup']['c_mod']}: {st['dup']['doc_id']}")
+
+
+def check_dim(pool: DataFrame, configured: int | None = None, stats=None) -> int:
     """The vector size of the pool: ragged vectors are an error; a configured size that
     differs from the data is replaced by the data's, with a warning."""
     import warnings
-    st = V.dim_stats(pool, "vec").first()
-    if st["n_rows"] == 0:
+    st = stats or pool_stats(pool)
+    if st["n_ids"] == 0:
         return configured or 0
     if st["min_dim"] != st["max_dim"]:
         raise ValueError(f"ragged vectors in the pool: sizes {st['min_dim']}..{st['max_dim']}")
@@ -109,6 +119,13 @@ def check_dim(pool: DataFrame, configured: int | None = None) -> int:
     return d
 
 
+def check_pool(pool: DataFrame, configured_dim: int | None = None) -> int:
+    """Unique ids per modality and one vector size, from a single job."""
+    st = pool_stats(pool)
+    check_unique(pool, st)
+    return check_dim(pool, configured_dim, st)
+
+
 def build_pool(views: DataFrame, check_unique_ids: bool = True, materialize: bool = True) -> DataFrame:
     """Searchable pool from modality views (id, modality, vec): unique ids, unit vectors.
 
@@ -117,8 +134,7 @@ def build_pool(views: DataFrame, check_unique_ids: bool = True, materialize: boo
     """
     pool = _pool_of(unit_views(views, materialize))
     if check_unique_ids:
-        check_unique(pool)
-        check_dim(pool)
+        check_pool(pool)
     return pool
 
 
@@ -133,8 +149,7 @@ def sides(views: DataFrame, pool_modalities: list[str] | None = None,
     pool = _pool_of(units)
     if pool_modalities is not None:
         pool = pool.where(F.col("c_mod").isin(pool_modalities))
-    check_unique(pool)
-    check_dim(pool)
+    check_pool(pool)
     return _queries_of(units), pool
 
 
