@@ -59,6 +59,7 @@ def evaluate_corpus(corpus: DataFrame, judgment_lines: DataFrame | None = None,
     pool = E.build_pool(side_views(encoded, "cand", fusion))
     queries = E.query_table(side_views(encoded, "query", fusion))
     if judgment_lines is None:
-        lines = Q.generate_identity_qrels(corpus.select("id"), "id")
+        # ids from the written encoding, not from the corpus plan (read once, not recomputed)
+        lines = Q.generate_identity_qrels(encoded.select("id"), "id")
         judgment_lines = lines.select(F.col("id").alias("line_no"), "value")
     return E.evaluate(queries, pool, judgment_lines, cfg)
