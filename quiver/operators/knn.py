@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiver.functions import vectors as V
-from quiver.session import materialize
+from quiver.session import materialize, spread
 
 # Fixed values.
 DEFAULT_BLOCK_BYTES = 128 << 20     # broadcast budget per query block
@@ -128,7 +128,7 @@ def _ensure_group_limit(spark: SparkSession, k: int) -> None:
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(k))
 
 
-DEFAULT_SHARD_BYTES = 256 << 20     # pool bytes per shard when the query side needs several blocks
+DEFAULT_SHARD_BYTES = 128 << 20     # pool bytes per shard when neither side can be broadcast
 
 _PD_TYPES = {"long": "int64", "int": "int32", "double": "float64", "string": "object"}
 
@@ -160,7 +160,9 @@ def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payl
 
     * One block (its size checked first): the block is broadcast and the pool is
       scanned once by ``mapInPandas`` -- no shuffle of the pool.
-    * Several blocks: nothing goes through the driver. Query rows get a block
+    * Queries over the budget but a pool within it: the pool is broadcast and the
+      queries are scanned; each task holds the whole pool, so results are final.
+    * Neither side within the budget: nothing goes through the driver. Query rows get a block
       number and pool rows a shard number (hashes); each side is replicated to
       the partners it must meet (``explode(sequence(..))``) and a co-group on
       (block, shard) hands each task one bounded query block and one bounded
@@ -173,6 +175,17 @@ def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payl
     if n_blocks <= 1:
         bc = spark.sparkContext.broadcast(payload_fn(queries.toPandas()))
         return _bounded_tasks(pool).mapInPandas(lambda it: kernel(bc.value, it), schema)
+    _, n_pool_blocks = _block_count(pool, "vec", block_bytes)
+    if n_pool_blocks <= 1 and min_blocks <= 1:
+        # many queries, small pool: broadcast the pool (its size checked) and scan the
+        # queries; every task sees the whole pool, so its results are already final
+        bc = spark.sparkContext.broadcast(pool.toPandas())
+
+        def scan_queries(batches):
+            for qpdf in batches:
+                if len(qpdf):
+                    yield from kernel(payload_fn(qpdf), iter([bc.value]))
+        return spread(queries).mapInPandas(scan_queries, schema)
     q = materialize(queries)
     _, n_shards = _block_count(pool, "vec", shard_bytes)
     qb = (q.withColumn("_qb", F.pmod(F.xxhash64(*query_keys), F.lit(n_blocks)).cast("int"))

@@ -254,3 +254,26 @@ def test_dimension_checks(spark):
     ragged = spark.createDataFrame([(1, "it", [1.0, 0.0]), (2, "it", [1.0])], P_SCHEMA)
     with pytest.raises(ValueError):
         E.check_dim(ragged)
+
+
+def test_pool_broadcast_path(spark):
+    """Query side over the budget, pool within it: the pool is broadcast; results equal brute force."""
+    rng = np.random.default_rng(23)
+    C = _unit(rng.normal(size=(30, 4)))
+    Q = _unit(rng.normal(size=(200, 4)))
+    qd, _ = _frames(spark, Q, np.arange(200), C, np.arange(30))
+    _, pdf = _frames(spark, Q[:1], np.arange(1), C, np.arange(30))
+    budget = 30 * (8 * 4 + 96) + 10          # fits the pool (30 rows), not the queries (200 rows)
+    got = knn.search_topk(qd, pdf, 5, block_bytes=budget)
+    got_lists = {}
+    for r in got.orderBy("qid", "rank").collect():
+        got_lists.setdefault(r.qid, []).append(r.doc_id)
+    assert got_lists == _brute_topk(Q, np.arange(200), C, np.arange(30), 5)
+    labels = rng.integers(0, 3, 200)
+    rows_q = [(i, "it", [float(x) for x in Q[i]], int(labels[i])) for i in range(200)]
+    rows_p = [(i, "it", [float(x) for x in C[i]], int(i % 3)) for i in range(30)]
+    qk = spark.createDataFrame(rows_q, Q_SCHEMA + ", rel_key int")
+    pk = spark.createDataFrame(rows_p, P_SCHEMA + ", rel_key int")
+    a = knn.first_relevant_rank(qk, pk, None, block_bytes=budget)
+    b = knn.first_relevant_rank(qk, pk, None)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
