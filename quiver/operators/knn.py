@@ -162,8 +162,8 @@ def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payl
       scanned once by ``mapInPandas`` -- no shuffle of the pool.
     * Queries over the budget but a pool within it: the pool is broadcast and the
       queries are scanned; each task holds the whole pool, so results are final.
-    * Neither side within the budget: nothing goes through the driver. Query rows get a block
-      number and pool rows a shard number (hashes); each side is replicated to
+    * Neither side within the budget: nothing goes through the driver. Query rows
+      get a block number and pool rows a shard number (hashes); each side is replicated to
       the partners it must meet (``explode(sequence(..))``) and a co-group on
       (block, shard) hands each task one bounded query block and one bounded
       pool shard. Results are partial per shard and are merged by the caller
@@ -247,9 +247,9 @@ def search_topk(queries: DataFrame, pool: DataFrame, k: int, metric: str = "ip",
     pool:    (doc_id BIGINT, c_mod STRING, vec ARRAY<DOUBLE>)
     returns: (qid, q_mod, c_mod, doc_id, score, rank) with rank 1..k; a pool
     smaller than k gives fewer rows; ``exclude_self`` drops doc_id == qid.
-    Vectors are searched as given (normalise first for cosine). The query side is
-    cut into at least ``min_blocks`` blocks, more when the byte budget needs it;
-    with several blocks it is written once (checkpoint) so each block reads it.
+    Vectors are searched as given (normalise first for cosine). The strategy
+    (broadcast queries, broadcast pool, or co-group of query blocks and pool
+    shards) follows the byte budget; ``min_blocks`` > 1 forces the co-group.
     """
     _check_metric(metric)
     if k < 1:
