@@ -72,10 +72,23 @@ def first_question(questions: ColumnOrName) -> Column:
     return F.coalesce(F.get(valid_questions(questions), 0), F.lit(""))
 
 
-def question_of(corpus_columns: list[str]) -> Column:
+def question_of(corpus) -> Column:
     """The query text of a corpus record: a precomputed ``question`` column when the
-    corpus has one (long-form source), else the first valid entry of ``questions``."""
-    return F.col("question") if "question" in corpus_columns else first_question("questions")
+    corpus has one (long-form source), else the first valid entry of a ``questions``
+    array. A plain-string ``questions`` is not a list, so it gives '' here."""
+    if "question" in corpus.columns:
+        return F.col("question")
+    if dict(corpus.dtypes).get("questions") == "string":
+        return F.lit("")
+    return first_question("questions")
+
+
+def sampled_question_any(corpus, id_col: ColumnOrName, seed: ColumnOrName) -> Column:
+    """Seeded draw among the valid questions; a plain-string ``questions`` is accepted
+    as the only question (stripped, '' when blank)."""
+    if dict(corpus.dtypes).get("questions") == "string":
+        return F.coalesce(strip_ws(F.col("questions")), F.lit(""))
+    return sampled_question("questions", id_col, seed)
 
 
 def hash_draw(*parts: ColumnOrName) -> Column:

@@ -140,7 +140,7 @@ def base_vectors_from_corpus(corpus: DataFrame, side: str = "cand", text_encoder
     side 'cand' encodes the caption, 'query' the first valid question.
     """
     from quiver.functions import text as TX
-    txt = F.col("caption") if side == "cand" else TX.question_of(corpus.columns)
+    txt = F.col("caption") if side == "cand" else TX.question_of(corpus)
     d = corpus.select("id", txt.alias("txt"), F.col("image").alias("img"))
     d = d.withColumn("txt_mask", TX.text_mask("txt")).withColumn("img_mask", TX.binary_mask("img"))
     d = encode_batch(d, "txt", "txt_vec", text_encoder or hashing_encoder(salt=TEXT_SALT), batch_size)

@@ -46,7 +46,7 @@ def train_pairs(corpus: DataFrame, seed: int, epoch: int = 0, modes: list[str] |
         T.hash_draw("id", F.lit(seed), F.lit(epoch), F.lit("target")), modes)
     draw_key = F.concat_ws("-", F.col("id").cast("string"), F.lit(epoch))
     if questions is None:
-        base = corpus.withColumn("_q", T.sampled_question("questions", draw_key, F.lit(seed)))
+        base = corpus.withColumn("_q", T.sampled_question_any(corpus, draw_key, F.lit(seed)))
     else:
         from quiver.operators.views import sample_question_long
         base = sample_question_long(corpus, questions, T.hash_draw(draw_key, F.lit(seed)), "_q")

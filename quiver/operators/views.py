@@ -40,7 +40,7 @@ def query_view(corpus: DataFrame, mode: str, keep: list[str] | None = None) -> D
     """Query item per record with the first valid question as text."""
     if mode not in MODALITIES:
         raise ValueError(f"Unknown query mode: {mode}")
-    return _item(corpus, T.question_of(corpus.columns), mode, keep or ["id"])
+    return _item(corpus, T.question_of(corpus), mode, keep or ["id"])
 
 
 def with_masks(items: DataFrame, txt: str = "txt", img: str = "img") -> DataFrame:
@@ -59,7 +59,7 @@ def valid_queries(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fanout_items(corpus: DataFrame, side: str = "cand", keep: list[str] | None = None) -> DataFrame:
     """All three views of each record in one pass (order i, t, it), with masks."""
     keep = keep or ["id"]
-    txt = F.col("caption") if side == "cand" else T.question_of(corpus.columns)
+    txt = F.col("caption") if side == "cand" else T.question_of(corpus)
     views = F.array(
         F.struct(F.lit("i").alias("modality"), F.lit("").alias("txt"), F.col("image").alias("img")),
         F.struct(F.lit("t").alias("modality"), txt.alias("txt"), F.lit(None).cast("binary").alias("img")),

@@ -23,7 +23,7 @@ from quiver.sources import sinks
 def encode_corpus(corpus: DataFrame, text_encoder=None, image_encoder=None,
                   batch_size: int = encode.ENCODE_BATCH) -> DataFrame:
     """(id, cap_vec, q_vec, img_vec, cap_mask, q_mask, img_mask), written once."""
-    d = corpus.select("id", F.col("caption").alias("cap"), T.question_of(corpus.columns).alias("q"),
+    d = corpus.select("id", F.col("caption").alias("cap"), T.question_of(corpus).alias("q"),
                       F.col("image").alias("img"))
     d = (d.withColumn("cap_mask", T.text_mask("cap")).withColumn("q_mask", T.text_mask("q"))
           .withColumn("img_mask", T.binary_mask("img")))

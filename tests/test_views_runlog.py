@@ -116,3 +116,15 @@ def test_stats_wide_absent_phase(spark):
          for r in runlog.stats_wide(s, ["run_id", "epoch"], "phase", "metric", "value",
                                     ["train_loss", "val_loss"]).collect()}
     assert w == {(1, 0): (1.5, 2.5), (1, 1): (1.0, None)}
+
+
+def test_plain_string_questions(spark):
+    """A plain-string question list: the sampled draw accepts it, the first-question rule does not."""
+    from quiver.operators import pairs
+    corpus = spark.createDataFrame([(1, b"i", "cap", "  why?  "), (2, b"j", "cap2", "   ")],
+                                   "id long, image binary, caption string, questions string")
+    q = {r.id: r.txt for r in views.query_view(corpus, "t").collect()}
+    assert q == {1: "", 2: ""}
+    p = pairs.train_pairs(corpus, seed=1, modes=["txt_only"])
+    got = {r.id: r.query.txt for r in p.collect()}
+    assert got == {1: "why?", 2: ""}
