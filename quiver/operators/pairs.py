@@ -148,3 +148,29 @@ def argmax_accuracy(df: DataFrame, logits: str, label: str, reduction: str = "me
         return df.agg(F.count(F.lit(1)).alias("n"), F.sum(correct).cast("bigint").alias("n_correct"),
                       F.avg(correct).alias("accuracy"))
     return None
+
+
+def encode_pair_items(batched_pairs: DataFrame, text_encoder=None, image_encoder=None,
+                      fusion: str = "sum", text_weight: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Encode both items of every batched pair once: (queries, positives) for ``contrastive_eval``.
+
+    Items are stacked (one row per item), each base input is encoded in one pass,
+    missing inputs are padded and gated after encoding, then fused.
+    """
+    from quiver.operators import encode, views
+    items = batched_pairs.select("batch_id", "pos", F.explode(F.array(
+        F.struct(F.lit("query").alias("role"), F.col("query.txt").alias("txt"), F.col("query.img").alias("img")),
+        F.struct(F.lit("pos_cand").alias("role"), F.col("pos_cand.txt").alias("txt"),
+                 F.col("pos_cand.img").alias("img")))).alias("it"))
+    items = items.select("batch_id", "pos", "it.role", "it.txt", "it.img",
+                         T.text_mask("it.txt").alias("txt_mask"), T.binary_mask("it.img").alias("img_mask"))
+    items = encode.encode_batch(items, "txt", "txt_vec", text_encoder or encode.hashing_encoder(salt=encode.TEXT_SALT))
+    items = encode.encode_batch(items, "img", "img_vec",
+                                image_encoder or encode.hashing_encoder(salt=encode.IMAGE_SALT))
+    img = V.mask_gate("img_vec", "img_mask")
+    txt = V.mask_gate("txt_vec", "txt_mask")
+    vec = views.fused(img, txt, fusion, text_weight)
+    fused = items.select("batch_id", "pos", "role", vec.alias("vec"))
+    q = fused.where(F.col("role") == "query").select("batch_id", "pos", "vec")
+    p = fused.where(F.col("role") == "pos_cand").select("batch_id", F.col("pos").alias("col"), "vec")
+    return q, p

@@ -635,3 +635,14 @@ def q_eval_report_tsv(spark, sf):
 
 
 QUERIES.update({"eval_report_tsv": q_eval_report_tsv})
+
+
+def q_pair_contrastive_eval(spark, sf):
+    """Validation on real pairs: corpus -> pairs -> seeded batches -> encode both items -> loss, accuracy."""
+    p = pairs.train_pairs(B.load_corpus(spark, sf), SEED, epoch=0, questions=B.load_user_questions(spark, sf))
+    b = E.write_once(pairs.epoch_batches(p, "id", 8, SEED, 0, rows_per_shard=SHARD_ROWS))
+    q, pos = pairs.encode_pair_items(b)
+    return pairs.contrastive_eval(q, pos, LOGIT_SCALE)
+
+
+QUERIES.update({"pair_contrastive_eval": q_pair_contrastive_eval})

@@ -483,3 +483,35 @@ FROM perq GROUP BY q_mod, c_mod"""
 SQL.update({"corpus_eval_report": _CORPUS_REPORT})
 
 SQL.update({"eval_report_tsv": SQL["eval_report_wide"]})
+
+
+# ---- contrastive evaluation on real pairs ---------------------------------------------
+
+_PAIR_CONTRASTIVE = f"""WITH {CORPUS}, {_pairs(False)}, {_batches('pairs', 'id', 8, 42, 0, 128)},
+items AS (
+  SELECT b.batch_id, b.pos, 'query' AS role, coalesce(b.q_txt, '') AS txt,
+         CASE WHEN b.q_txt IS NULL OR b.q_txt = '' THEN 0 ELSE 1 END AS tm, b.q_has_img AS im,
+         CASE WHEN b.q_has_img = 1 THEN c.caption ELSE '' END AS imtext
+  FROM b JOIN corpus c ON c.id = b.id
+  UNION ALL
+  SELECT b.batch_id, b.pos, 'pos_cand', coalesce(b.c_txt, ''),
+         CASE WHEN b.c_txt IS NULL OR b.c_txt = '' THEN 0 ELSE 1 END, b.c_has_img,
+         CASE WHEN b.c_has_img = 1 THEN c.caption ELSE '' END
+  FROM b JOIN corpus c ON c.id = b.id),
+ik AS (SELECT *, batch_id::VARCHAR || '-' || pos::VARCHAR || '-' || role AS ikey FROM items),
+{_hash_encode('ik', 'ikey', 'txt', '', 'te')},
+{_hash_encode('ik', 'ikey', 'imtext', 'img:', 'ie')},
+raw AS (SELECT ik.batch_id, ik.pos, ik.role, ik.im, ik.tm, ie.vec::DOUBLE[] AS iv, te.vec::DOUBLE[] AS tv
+        FROM ik JOIN te ON te.id = ik.ikey JOIN ie ON ie.id = ik.ikey),
+fv AS (SELECT batch_id, pos, role, list_transform(list_zip(iv, tv), lambda p: p[1] * im + p[2] * tm) AS v FROM raw),
+q AS (SELECT batch_id, batch_id AS g, pos, pos AS target, {_eps('v')} AS qv FROM fv WHERE role = 'query'),
+p AS (SELECT batch_id AS g, pos AS col, {_eps('v')} AS pv FROM fv WHERE role = 'pos_cand'),
+s AS (SELECT q.batch_id, q.pos, q.target, p.col, list_dot_product(q.qv, p.pv) * 100.0 AS s FROM q JOIN p ON q.g = p.g),
+s2 AS (SELECT *, max(s) OVER (PARTITION BY batch_id, pos) AS m FROM s),
+pq AS (SELECT batch_id, pos, max(m) + ln(sum(exp(s - m))) - max(CASE WHEN col = target THEN s END) AS loss,
+              CASE WHEN min(col) FILTER (WHERE s = m) = max(target) THEN 1.0 ELSE 0.0 END AS correct
+       FROM s2 GROUP BY batch_id, pos)
+SELECT batch_id, count(*) AS n, round(avg(loss), 6) + 0.0 AS loss, round(avg(correct), 6) + 0.0 AS accuracy
+FROM pq GROUP BY batch_id"""
+
+SQL.update({"pair_contrastive_eval": _PAIR_CONTRASTIVE})
