@@ -1,9 +1,10 @@
 """The evaluation job: pool -> nine-cell search -> judgments -> report.
 
 One plan covers all 3 x 3 (query modality, candidate modality) cells. The pool
-and the query views are materialised once with ``checkpoint()`` (written to the
-cluster's spark.checkpoint.dir) because each is scanned by several passes; this
-also cuts lineage so a lost executor recomputes from the written table.
+and the query views are normalised once and written once as Parquet under the
+cluster's spark.checkpoint.dir (``session.materialize``), because each is
+scanned by several passes; this also cuts lineage so a lost executor recomputes
+from the written table.
 """
 
 from __future__ import annotations
