@@ -390,12 +390,11 @@ def best_relevant_by_judgments(queries: DataFrame, pool: DataFrame, judgments: D
                        F.col("b.doc_id").alias("best_doc"))
 
 
-def count_before(queries: DataFrame, pool: DataFrame, thresholds: DataFrame, metric: str = "ip",
-                 exclude_self: bool = False, block_bytes: int = DEFAULT_BLOCK_BYTES,
-                 min_blocks: int = 1) -> DataFrame:
-    """Per (query, cell): number of candidates ordered before the threshold candidate."""
+def count_before_joined(tq: DataFrame, pool: DataFrame, metric: str = "ip", exclude_self: bool = False,
+                        block_bytes: int = DEFAULT_BLOCK_BYTES, min_blocks: int = 1) -> DataFrame:
+    """Pass B on thresholds that already carry their query vectors (qid, q_mod, c_mod,
+    best_key, best_doc, vec): candidates ordered before the threshold, per (query, cell)."""
     _check_metric(metric)
-    tq = thresholds.join(queries.select("qid", "q_mod", V.as_double("vec").alias("vec")), ["qid", "q_mod"])
     p = pool.select("doc_id", "c_mod", V.as_double("vec").alias("vec"))
 
     def payload(block):
@@ -407,6 +406,14 @@ def count_before(queries: DataFrame, pool: DataFrame, thresholds: DataFrame, met
     return parts.groupBy("qid", "q_mod", "c_mod").agg(F.sum("n_before").alias("n_before"))
 
 
+def count_before(queries: DataFrame, pool: DataFrame, thresholds: DataFrame, metric: str = "ip",
+                 exclude_self: bool = False, block_bytes: int = DEFAULT_BLOCK_BYTES,
+                 min_blocks: int = 1) -> DataFrame:
+    """Per (query, cell): number of candidates ordered before the threshold candidate."""
+    tq = thresholds.join(queries.select("qid", "q_mod", V.as_double("vec").alias("vec")), ["qid", "q_mod"])
+    return count_before_joined(tq, pool, metric, exclude_self, block_bytes, min_blocks)
+
+
 def modalities_of(df: DataFrame, col: str) -> list[str]:
     """Distinct modality codes (at most a handful) present in a table."""
     return sorted(r[0] for r in df.select(col).distinct().collect())
@@ -426,9 +433,11 @@ def first_relevant_rank(queries: DataFrame, pool: DataFrame, judgments: DataFram
         thr = best_relevant_by_key(queries, pool, metric, exclude_self, block_bytes, min_blocks)
     else:
         thr = best_relevant_by_judgments(queries, pool, judgments, metric, exclude_self)
-    thr = materialize(thr)   # read by the size check, the block collects and the final join
-    cnt = count_before(queries, pool, thr, metric, exclude_self, block_bytes, min_blocks)
-    ranked = thr.join(cnt, ["qid", "q_mod", "c_mod"], "left").select(
+    # thresholds with their query vectors, written once: read by the size check, the
+    # block collect (or the co-group) and, without the vectors, by the final join
+    tq = materialize(thr.join(queries.select("qid", "q_mod", V.as_double("vec").alias("vec")), ["qid", "q_mod"]))
+    cnt = count_before_joined(tq, pool, metric, exclude_self, block_bytes, min_blocks)
+    ranked = tq.select("qid", "q_mod", "c_mod").join(cnt, ["qid", "q_mod", "c_mod"], "left").select(
         "qid", "q_mod", "c_mod", (F.coalesce("n_before", F.lit(0)) + 1).alias("first_rank"))
     c_mods = modalities_of(pool, "c_mod")
     grid = queries.select("qid", "q_mod", F.explode(F.array(*[F.lit(m) for m in c_mods])).alias("c_mod"))
