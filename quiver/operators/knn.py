@@ -155,7 +155,7 @@ def _bounded_tasks(pool: DataFrame) -> DataFrame:
 
 def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payload_fn, kernel,
                 schema: str, block_bytes: int = DEFAULT_BLOCK_BYTES, min_blocks: int = 1,
-                shard_bytes: int = DEFAULT_SHARD_BYTES) -> DataFrame:
+                shard_bytes: int = DEFAULT_SHARD_BYTES, queries_written: bool = False) -> DataFrame:
     """Run ``kernel(payload_fn(query_block), pool_batches)`` over every (query, pool) pair of blocks.
 
     * One block (its size checked first): the block is broadcast and the pool is
@@ -186,7 +186,7 @@ def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payl
                 if len(qpdf):
                     yield from kernel(payload_fn(qpdf), iter([bc.value]))
         return spread(queries).mapInPandas(scan_queries, schema)
-    q = materialize(queries)
+    q = queries if queries_written else materialize(queries)
     _, n_shards = _block_count(pool, "vec", shard_bytes)
     qb = (q.withColumn("_qb", F.pmod(F.xxhash64(*query_keys), F.lit(n_blocks)).cast("int"))
            .withColumn("_ps", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))))
@@ -391,7 +391,8 @@ def best_relevant_by_judgments(queries: DataFrame, pool: DataFrame, judgments: D
 
 
 def count_before_joined(tq: DataFrame, pool: DataFrame, metric: str = "ip", exclude_self: bool = False,
-                        block_bytes: int = DEFAULT_BLOCK_BYTES, min_blocks: int = 1) -> DataFrame:
+                        block_bytes: int = DEFAULT_BLOCK_BYTES, min_blocks: int = 1,
+                        tq_written: bool = False) -> DataFrame:
     """Pass B on thresholds that already carry their query vectors (qid, q_mod, c_mod,
     best_key, best_doc, vec): candidates ordered before the threshold, per (query, cell)."""
     _check_metric(metric)
@@ -402,7 +403,7 @@ def count_before_joined(tq: DataFrame, pool: DataFrame, metric: str = "ip", excl
                        g["best_key"].to_numpy(np.float64), g["best_doc"].to_numpy(np.int64))
                 for cell, g in block.groupby(["q_mod", "c_mod"], sort=False)}
     parts = run_blocked(tq, p, ["qid", "q_mod", "c_mod"], payload, _count_before_kernel(metric, exclude_self),
-                        CNT_SCHEMA, block_bytes, min_blocks)
+                        CNT_SCHEMA, block_bytes, min_blocks, queries_written=tq_written)
     return parts.groupBy("qid", "q_mod", "c_mod").agg(F.sum("n_before").alias("n_before"))
 
 
@@ -436,7 +437,7 @@ def first_relevant_rank(queries: DataFrame, pool: DataFrame, judgments: DataFram
     # thresholds with their query vectors, written once: read by the size check, the
     # block collect (or the co-group) and, without the vectors, by the final join
     tq = materialize(thr.join(queries.select("qid", "q_mod", V.as_double("vec").alias("vec")), ["qid", "q_mod"]))
-    cnt = count_before_joined(tq, pool, metric, exclude_self, block_bytes, min_blocks)
+    cnt = count_before_joined(tq, pool, metric, exclude_self, block_bytes, min_blocks, tq_written=True)
     ranked = tq.select("qid", "q_mod", "c_mod").join(cnt, ["qid", "q_mod", "c_mod"], "left").select(
         "qid", "q_mod", "c_mod", (F.coalesce("n_before", F.lit(0)) + 1).alias("first_rank"))
     c_mods = modalities_of(pool, "c_mod")
