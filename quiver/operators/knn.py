@@ -63,60 +63,78 @@ def _score_from_key(key: np.ndarray, metric: str) -> np.ndarray:
     return s + 0.0  # folds -0.0 into 0.0
 
 
-def _topk_rows(rows, keys, docs, k):
-    """Keep the k best (key asc, doc asc) entries of each row id."""
-    if len(rows) == 0:
-        return rows, keys, docs
-    order = np.lexsort((docs, keys, rows))
-    rows, keys, docs = rows[order], keys[order], docs[order]
-    starts = np.r_[0, np.flatnonzero(rows[1:] != rows[:-1]) + 1]
-    counts = np.diff(np.r_[starts, len(rows)])
-    rank = np.arange(len(rows)) - np.repeat(starts, counts)
-    keep = rank < k
-    return rows[keep], keys[keep], docs[keep]
-
-
 def _row_chunks(n_rows: int, n_cols: int):
     step = max(1, TILE_ELEMS // max(1, n_cols))
     for s in range(0, n_rows, step):
         yield s, min(n_rows, s + step)
 
 
-def topk_dense(Q: np.ndarray, qids: np.ndarray, C: np.ndarray, docs: np.ndarray, k: int, metric: str,
+def topk_merge(Q: np.ndarray, qids: np.ndarray, C: np.ndarray, docs: np.ndarray, k: int, metric: str,
                exclude_self: bool, acc=None):
-    """Top-k of a query block against a candidate block, tiled so a score tile stays small.
+    """Merge a candidate block into a running top-k per query row.
 
-    Returns (rows, keys, docs) merged with ``acc`` (a previous result of the same
-    query block), at most k per row, ordered by (key, doc).
+    ``acc`` is dense: (keys n x k, docs n x k), padded with +inf / INT64_MAX. Each
+    score tile contributes its exact (key, doc) top-k -- every key below the k-th,
+    then the lowest-doc ties at the k-th (columns are put in doc order) -- and
+    the merge is a row-wise lexsort of 2k entries.
     """
-    parts = [acc] if acc is not None else []
-    for s, e in _row_chunks(len(qids), len(docs)):
+    n = len(qids)
+    if acc is None:
+        acc = (np.full((n, k), np.inf), np.full((n, k), INT64_MAX, np.int64))
+    acc_k, acc_d = acc
+    if len(docs) == 0 or n == 0:
+        return acc_k, acc_d
+    perm = np.argsort(docs, kind="stable")
+    C, docs = C[perm], docs[perm]
+    nc = len(docs)
+    for s, e in _row_chunks(n, nc):
         K = _keys(Q[s:e], C, metric)
         if exclude_self:
             K[qids[s:e, None] == docs[None, :]] = np.inf
-        if K.shape[1] > k:
-            part = np.argpartition(K, k - 1, axis=1)[:, :k]
-            kth = np.take_along_axis(K, part, axis=1).max(axis=1)
-            mask = (K <= kth[:, None]) & np.isfinite(K)
+        if nc > k:
+            kth = np.partition(K, k - 1, axis=1)[:, k - 1]
+            lt = K < kth[:, None]
+            eq = K == kth[:, None]
+            need = k - lt.sum(axis=1)
+            sel = lt | (eq & (np.cumsum(eq, axis=1) <= need[:, None]))
+            idx = np.argpartition(~sel, k - 1, axis=1)[:, :k]
         else:
-            mask = np.isfinite(K)
-        r, c = np.nonzero(mask)
-        parts.append((r + s, K[r, c], docs[c]))
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
-    rows = np.concatenate([p[0] for p in parts])
-    keys = np.concatenate([p[1] for p in parts])
-    dd = np.concatenate([p[2] for p in parts])
-    return _topk_rows(rows, keys, dd, k)
+            idx = np.broadcast_to(np.arange(nc), (e - s, nc))
+        bk = np.take_along_axis(K, idx, axis=1)
+        bd = np.where(np.isfinite(bk), docs[idx], INT64_MAX)
+        bk = np.where(np.isfinite(bk), bk, np.inf)
+        K2 = np.concatenate([acc_k[s:e], bk], axis=1)
+        D2 = np.concatenate([acc_d[s:e], bd], axis=1)
+        o = np.lexsort((D2, K2), axis=-1)[:, :k]
+        acc_k[s:e] = np.take_along_axis(K2, o, axis=1)
+        acc_d[s:e] = np.take_along_axis(D2, o, axis=1)
+    return acc_k, acc_d
+
+
+def dense_to_rows(acc):
+    """(rows, keys, docs) of the filled entries of a dense top-k."""
+    acc_k, acc_d = acc
+    r, c = np.nonzero(np.isfinite(acc_k))
+    return r, acc_k[r, c], acc_d[r, c]
+
+
+def topk_dense(Q: np.ndarray, qids: np.ndarray, C: np.ndarray, docs: np.ndarray, k: int, metric: str,
+               exclude_self: bool):
+    """Top-k of a query block against one candidate block: (rows, keys, docs)."""
+    return dense_to_rows(topk_merge(Q, qids, C, docs, k, metric, exclude_self))
 
 
 # ---- query blocks ---------------------------------------------------------------
 
-def _block_count(df: DataFrame, vec: str, budget_bytes: int) -> tuple[int, int]:
-    """(rows, blocks) for a query side, from a size check that collects nothing big."""
+def _block_count(df: DataFrame, vec: str, budget_bytes: int, extra_row_bytes: int = 0) -> tuple[int, int]:
+    """(rows, blocks) for a query side, from a size check that collects nothing big.
+
+    ``extra_row_bytes`` is the per-row working memory of the kernel (e.g. a k-deep
+    top-k buffer per pool modality), so a block bounds memory, not only the broadcast.
+    """
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
     n, d = int(stats["n"] or 0), int(stats["d"] or 0)
-    row_bytes = 8 * max(d, 1) + 96
+    row_bytes = 8 * max(d, 1) + 96 + extra_row_bytes
     per_block = max(1, budget_bytes // row_bytes)
     return n, max(1, math.ceil(n / per_block))
 
@@ -155,7 +173,8 @@ def _bounded_tasks(pool: DataFrame) -> DataFrame:
 
 def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payload_fn, kernel,
                 schema: str, block_bytes: int = DEFAULT_BLOCK_BYTES, min_blocks: int = 1,
-                shard_bytes: int = DEFAULT_SHARD_BYTES, queries_written: bool = False) -> DataFrame:
+                shard_bytes: int = DEFAULT_SHARD_BYTES, queries_written: bool = False,
+                extra_row_bytes: int = 0) -> DataFrame:
     """Run ``kernel(payload_fn(query_block), pool_batches)`` over every (query, pool) pair of blocks.
 
     * One block (its size checked first): the block is broadcast and the pool is
@@ -170,7 +189,7 @@ def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payl
       (window top-k, min, sum), exactly as across pool partitions.
     """
     spark = queries.sparkSession
-    _, n_blocks = _block_count(queries, "vec", block_bytes)
+    _, n_blocks = _block_count(queries, "vec", block_bytes, extra_row_bytes)
     n_blocks = max(n_blocks, min_blocks)
     if n_blocks <= 1:
         bc = spark.sparkContext.broadcast(payload_fn(queries.toPandas()))
@@ -221,8 +240,9 @@ def _topk_kernel(k: int, metric: str, exclude_self: bool):
                     if len(qids) == 0:
                         continue
                     cell = (q_mod, c_mod)
-                    best[cell] = topk_dense(Q, qids, C, docs, k, metric, exclude_self, best.get(cell))
-        for (q_mod, c_mod), (rows, keys, docs) in best.items():
+                    best[cell] = topk_merge(Q, qids, C, docs, k, metric, exclude_self, best.get(cell))
+        for (q_mod, c_mod), acc in best.items():
+            rows, keys, docs = dense_to_rows(acc)
             qids = blocks[q_mod][0]
             yield pd.DataFrame({
                 "qid": qids[rows].astype(np.int64), "q_mod": q_mod, "c_mod": c_mod,
@@ -257,8 +277,10 @@ def search_topk(queries: DataFrame, pool: DataFrame, k: int, metric: str = "ip",
     spark = queries.sparkSession
     q = queries.select("qid", "q_mod", V.as_double("vec").alias("vec"))
     p = pool.select("doc_id", "c_mod", V.as_double("vec").alias("vec"))
+    # working memory per query row: a k-deep (key, doc) buffer for each of (up to) 3 pool modalities
     cands = run_blocked(q, p, ["qid", "q_mod"], lambda b: _payload_by_mod(b, "qid", "q_mod", "vec"),
-                        _topk_kernel(k, metric, exclude_self), HITS_SCHEMA, block_bytes, min_blocks)
+                        _topk_kernel(k, metric, exclude_self), HITS_SCHEMA, block_bytes, min_blocks,
+                        extra_row_bytes=3 * 16 * k)
     if not with_rank:
         return cands
     _ensure_group_limit(spark, k)

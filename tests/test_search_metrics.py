@@ -277,3 +277,32 @@ def test_pool_broadcast_path(spark):
     a = knn.first_relevant_rank(qk, pk, None, block_bytes=budget)
     b = knn.first_relevant_rank(qk, pk, None)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+@pytest.mark.parametrize("metric,exclude_self", [("ip", False), ("ip", True), ("l2", False)])
+def test_deep_topk_with_ties_across_batches(spark, metric, exclude_self):
+    """Many exact ties, k larger than an Arrow batch, several batches merged per task."""
+    rng = np.random.default_rng(29)
+    base = _unit(rng.normal(size=(6, 3)))
+    C = base[rng.integers(0, 6, 70)]                 # 70 candidates, only 6 distinct vectors
+    docs = rng.permutation(1000)[:70].astype(np.int64)
+    Q = np.vstack([C[:5], np.zeros((1, 3))])
+    qids = np.concatenate([docs[:5], [5000]])
+    qd, pdf = _frames(spark, Q, qids, C, docs)
+    prev = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = knn.search_topk(qd, pdf.repartition(3), 25, metric=metric, exclude_self=exclude_self)
+        rows = got.orderBy("qid", "rank").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
+    got_lists = {}
+    for r in rows:
+        got_lists.setdefault(r.qid, []).append(r.doc_id)
+    if metric == "ip":
+        S = -np.round(Q @ C.T, 6)
+    else:
+        S = np.round(((Q[:, None, :] - C[None, :, :]) ** 2).sum(-1), 6)
+    for i, q in enumerate(qids):
+        cand = sorted((S[i, j], docs[j]) for j in range(70) if not (exclude_self and docs[j] == q))
+        assert got_lists[q] == [d for _, d in cand[:25]], (q, metric)
