@@ -70,7 +70,7 @@ def _row_chunks(n_rows: int, n_cols: int):
 
 
 def topk_merge(Q: np.ndarray, qids: np.ndarray, C: np.ndarray, docs: np.ndarray, k: int, metric: str,
-               exclude_self: bool, acc=None):
+               exclude_self: bool, acc=None, docs_sorted: bool = False):
     """Merge a candidate block into a running top-k per query row.
 
     ``acc`` is dense: (keys n x k, docs n x k), padded with +inf / INT64_MAX. Each
@@ -84,8 +84,9 @@ def topk_merge(Q: np.ndarray, qids: np.ndarray, C: np.ndarray, docs: np.ndarray,
     acc_k, acc_d = acc
     if len(docs) == 0 or n == 0:
         return acc_k, acc_d
-    perm = np.argsort(docs, kind="stable")
-    C, docs = C[perm], docs[perm]
+    if not docs_sorted:
+        perm = np.argsort(docs, kind="stable")
+        C, docs = C[perm], docs[perm]
     nc = len(docs)
     for s, e in _row_chunks(n, nc):
         K = _keys(Q[s:e], C, metric)
@@ -234,13 +235,15 @@ def _topk_kernel(k: int, metric: str, exclude_self: bool):
             if pdf.empty:
                 continue
             for c_mod, g in pdf.groupby("c_mod", sort=False):
+                g = g.sort_values("doc_id", kind="stable")      # doc order once per batch
                 C = _stack(g["vec"])
                 docs = g["doc_id"].to_numpy(np.int64)
                 for q_mod, (qids, Q) in blocks.items():
                     if len(qids) == 0:
                         continue
                     cell = (q_mod, c_mod)
-                    best[cell] = topk_merge(Q, qids, C, docs, k, metric, exclude_self, best.get(cell))
+                    best[cell] = topk_merge(Q, qids, C, docs, k, metric, exclude_self, best.get(cell),
+                                            docs_sorted=True)
         for (q_mod, c_mod), acc in best.items():
             rows, keys, docs = dense_to_rows(acc)
             qids = blocks[q_mod][0]
