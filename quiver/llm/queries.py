@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.llm import packing, pii, secrets, simhash
+from quiver.llm import packing, pii, quality, secrets, simhash
 from quiver.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_pii_spans": op6_pii_spans,
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
 }
 
