@@ -1,4 +1,8 @@
-"""The corpus pipeline: STAGES applied in order, each over what the stage before it kept."""
+"""The corpus pipeline: STAGES applied in order, each over what the stage before it kept.
+
+All stages but the last return the columns of ``documents``; the last returns
+the packed pieces.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.llm import simhash
-from quiver.llm.common import store, table
+from quiver.llm import decontam, packing, quality, secrets, simhash
+from quiver.llm.common import drop, store, table
+from quiver.session import ship_package
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it learns from the labels of the documents it gets."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,15 +25,41 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_representatives(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text are replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces in training sequences."""
+    return packing.pack(docs)
+
+
+def _shipped(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("near_dedup", near_dedup),
+    (stage.__name__, _shipped(stage)) for stage in (quality_filter, near_dedup, decontaminate, redact_secrets, pack)
 ]
 
-ORACLE_SQL = None                  # fingerprints, models and packing have no SQL form
+ORACLE_SQL = None                  # models, fingerprints and packing have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each but the last is written as Parquet and read again."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs, _ = store(stage(spark, docs, sf_dir), "stage")
+        kept, kept_path = store(stage(spark, docs, sf_dir), "stage")
+        if path:
+            drop(spark, path)
+        docs, path = kept, kept_path
     return STAGES[-1][1](spark, docs, sf_dir)
