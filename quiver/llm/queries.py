@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.llm import decontam, minhash, packing, pii, quality, secrets, simhash, warc
+from quiver.llm import decontam, html_crf, minhash, packing, pii, quality, secrets, simhash, warc
 from quiver.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_html_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_fingerprints": op5_minhash_fingerprints,
     "op6_pii_spans": op6_pii_spans,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_html_crf_extraction": op8_html_crf_extraction,
     "op9_warc_capture_index": op9_warc_capture_index,
     "op10_secret_scan": op10_secret_scan,
 }
