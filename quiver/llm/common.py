@@ -48,3 +48,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    It does so when the driver's JVM finds a shuffle unreachable, which without
+    a nudge may be long after the files of several steps fill the disks.
+    """
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
