@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.llm import decontam, html_crf, minhash, packing, pii, quality, secrets, simhash, suffix_dedup, warc
+from quiver.llm import decontam, html_crf, minhash, oracle, packing, pii, quality, secrets, simhash, suffix_dedup, warc
 from quiver.llm.common import table
 
 
@@ -65,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where it can express the query; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
