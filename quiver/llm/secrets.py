@@ -44,7 +44,8 @@ CLASSES = [
 #: harmless strings: identifiers of a public form, placeholders, counted-up or repeated characters, paths
 ALLOWED = (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
            r"|(?i:example|sample|dummy|placeholder|changeme|redacted|lorem)"
-           r"|(.)\1{5}|0123456|1234567|(?i:abcdefg)|^(?:/?[A-Za-z_-]{2,}[0-9]{0,4})+/?=*$")
+           r"|(.)\1{5}|0123456|1234567|(?i:abcdefg)"
+           r"|^/?(?:[A-Za-z_-]{2,}[0-9]{0,4}/)*[A-Za-z_-]+[0-9]{0,4}/?$")
 #: words just before a string that say it is a checksum or a revision
 ALLOWED_BEFORE = r"(?i:sha-?1|sha-?256|sha-?384|sha-?512|md5|checksum|digest|commit|revision|integrity)\W{0,3}$"
 
