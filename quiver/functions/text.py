@@ -57,8 +57,8 @@ def binary_mask(img: ColumnOrName) -> Column:
 
 
 def strip_ws(c: ColumnOrName) -> Column:
-    """Strip leading and trailing whitespace (space, tab, newline, CR, FF, VT), like str.strip()."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Strip leading and trailing white space: Unicode's, and the separators U+001C to U+001F."""
+    return F.regexp_replace(_c(c), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def valid_questions(questions: ColumnOrName) -> Column:

@@ -149,10 +149,10 @@ def base_vectors_from_corpus(corpus: DataFrame, side: str = "cand", text_encoder
 
 
 def encode_fused(corpus: DataFrame, side: str = "cand", fusion: str = "sum", text_weight: float = 0.5,
-                 text_encoder=None, image_encoder=None) -> DataFrame:
+                 text_encoder=None, image_encoder=None, mlp_weights=None) -> DataFrame:
     """Three fused modality vectors per record (id, modality, vec) from two encoder passes."""
     base = base_vectors_from_corpus(corpus, side, text_encoder, image_encoder)
-    return views.modality_vectors(base, fusion, text_weight)
+    return views.modality_vectors(base, fusion, text_weight, mlp_weights=mlp_weights)
 
 
 # ---- MLP fusion --------------------------------------------------------------------------

@@ -157,21 +157,6 @@ def _empty_frame(schema: str) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([], dtype=_PD_TYPES[t]) for n, t in cols})
 
 
-TASKS_PER_CORE = 4
-
-
-def _bounded_tasks(pool: DataFrame) -> DataFrame:
-    """At most TASKS_PER_CORE tasks per core scan the pool (coalesce: no shuffle).
-
-    Every scanning task emits a partial result per query (k rows, one count, one
-    best), so the merge shuffle grows with the number of tasks, not with the pool:
-    with many small pool partitions, fewer and longer tasks stream more batches
-    through the same running top-k and keep that shuffle bounded.
-    """
-    cap = TASKS_PER_CORE * pool.sparkSession.sparkContext.defaultParallelism
-    return pool.coalesce(cap) if pool.rdd.getNumPartitions() > cap else pool
-
-
 def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payload_fn, kernel,
                 schema: str, block_bytes: int = DEFAULT_BLOCK_BYTES, min_blocks: int = 1,
                 shard_bytes: int = DEFAULT_SHARD_BYTES, queries_written: bool = False,
@@ -194,7 +179,7 @@ def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payl
     n_blocks = max(n_blocks, min_blocks)
     if n_blocks <= 1:
         bc = spark.sparkContext.broadcast(payload_fn(queries.toPandas()))
-        return _bounded_tasks(pool).mapInPandas(lambda it: kernel(bc.value, it), schema)
+        return pool.mapInPandas(lambda it: kernel(bc.value, it), schema)
     _, n_pool_blocks = _block_count(pool, "vec", block_bytes)
     if n_pool_blocks <= 1 and min_blocks <= 1:
         # many queries, small pool: broadcast the pool (its size checked) and scan the
@@ -223,6 +208,30 @@ def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payl
     return qb.groupBy("_qb", "_ps").cogroup(pb.groupBy("_qb", "_ps")).applyInPandas(tile, schema)
 
 
+# ---- repeated query ids ----------------------------------------------------------
+
+REPEAT_MARK = "\x01"
+
+
+def split_repeats(queries: DataFrame) -> DataFrame:
+    """Queries whose (qid, q_mod) occurs once, or else told apart by a number behind q_mod.
+
+    Every query row is searched and scored by itself, so two rows with one id must
+    not share a result list; :func:`join_repeats` takes the number off again.
+    """
+    keys = ["qid", "q_mod"]
+    if queries.groupBy(keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return queries
+    order = Window.partitionBy(*keys).orderBy("vec", *[c for c in queries.columns if c not in (*keys, "vec")])
+    nth = F.row_number().over(order)
+    return queries.withColumn("q_mod", F.when(nth == 1, F.col("q_mod")).otherwise(
+        F.concat(F.col("q_mod"), F.lit(REPEAT_MARK), nth.cast("string"))))
+
+
+def join_repeats(found: DataFrame) -> DataFrame:
+    return found.withColumn("q_mod", F.substring_index("q_mod", REPEAT_MARK, 1))
+
+
 # ---- top-k search ---------------------------------------------------------------
 
 HITS_SCHEMA = "qid long, q_mod string, c_mod string, doc_id long, score double"
@@ -278,18 +287,18 @@ def search_topk(queries: DataFrame, pool: DataFrame, k: int, metric: str = "ip",
     if k < 1:
         raise ValueError("k must be >= 1")
     spark = queries.sparkSession
-    q = queries.select("qid", "q_mod", V.as_double("vec").alias("vec"))
+    q = split_repeats(queries.select("qid", "q_mod", V.as_double("vec").alias("vec")))
     p = pool.select("doc_id", "c_mod", V.as_double("vec").alias("vec"))
     # working memory per query row: a k-deep (key, doc) buffer for each of (up to) 3 pool modalities
     cands = run_blocked(q, p, ["qid", "q_mod"], lambda b: _payload_by_mod(b, "qid", "q_mod", "vec"),
                         _topk_kernel(k, metric, exclude_self), HITS_SCHEMA, block_bytes, min_blocks,
                         extra_row_bytes=3 * 16 * k)
     if not with_rank:
-        return cands
+        return join_repeats(cands)
     _ensure_group_limit(spark, k)
     order = F.desc("score") if metric == "ip" else F.asc("score")
     w = Window.partitionBy("qid", "q_mod", "c_mod").orderBy(order, F.asc("doc_id"))
-    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return join_repeats(cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
 
 # ---- first relevant rank ---------------------------------------------------------
@@ -387,13 +396,28 @@ def best_relevant_by_key(queries: DataFrame, pool: DataFrame, metric: str = "ip"
                        F.col("b.best_doc").alias("best_doc"))
 
 
+def _pair_key(metric: str):
+    """Sort key of vector pairs, by the formula and rounding of :func:`_keys`."""
+    @F.pandas_udf("double")
+    def key(q: pd.Series, c: pd.Series) -> pd.Series:
+        if len(q) == 0:
+            return pd.Series([], dtype="float64")
+        Q, C = _stack(q), _stack(c)
+        dot = np.einsum("ij,ij->i", Q, C)
+        if metric == "ip":
+            return pd.Series(-np.round(dot, V.SCORE_DIGITS))
+        d = (Q * Q).sum(1) + (C * C).sum(1) - 2.0 * dot
+        return pd.Series(np.round(np.maximum(d, 0.0), V.SCORE_DIGITS))
+    return key
+
+
 def best_relevant_by_judgments(queries: DataFrame, pool: DataFrame, judgments: DataFrame,
                                metric: str = "ip", exclude_self: bool = False) -> DataFrame:
     """Best judged-relevant candidate per (query, cell) from explicit judgments.
 
     judgments: (qid STRING, doc_id STRING) positive pairs. Ids match as strings.
     Two equi-joins (AQE splits a hot document or query); the score of each judged
-    pair is computed once, JVM-side.
+    pair is computed once, rounded like those of the scan so that both agree on ties.
     """
     _check_metric(metric)
     j = judgments.select(F.col("qid").alias("j_qid"), F.col("doc_id").alias("j_doc")).distinct()
@@ -404,10 +428,7 @@ def best_relevant_by_judgments(queries: DataFrame, pool: DataFrame, judgments: D
     pairs = j.join(q, "j_qid").join(p, "j_doc")
     if exclude_self:
         pairs = pairs.where(F.col("doc_id") != F.col("qid"))
-    if metric == "ip":
-        key = -V.round_score(V.dot("qvec", "cvec"))
-    else:
-        key = V.round_score(V.sq_l2_distance("qvec", "cvec"))
+    key = _pair_key(metric)("qvec", "cvec")
     best = (pairs.select("qid", "q_mod", "c_mod", (key + F.lit(0.0)).alias("best_key"), "doc_id")
                  .groupBy("qid", "q_mod", "c_mod")
                  .agg(F.min(F.struct("best_key", "doc_id")).alias("b")))
@@ -455,6 +476,7 @@ def first_relevant_rank(queries: DataFrame, pool: DataFrame, judgments: DataFram
     candidate in the pool get a null rank (they still count in every mean).
     Output: (qid, q_mod, c_mod, first_rank).
     """
+    queries = split_repeats(queries)
     if judgments is None:
         thr = best_relevant_by_key(queries, pool, metric, exclude_self, block_bytes, min_blocks)
     else:
@@ -467,4 +489,4 @@ def first_relevant_rank(queries: DataFrame, pool: DataFrame, judgments: DataFram
         "qid", "q_mod", "c_mod", (F.coalesce("n_before", F.lit(0)) + 1).alias("first_rank"))
     c_mods = modalities_of(pool, "c_mod")
     grid = queries.select("qid", "q_mod", F.explode(F.array(*[F.lit(m) for m in c_mods])).alias("c_mod"))
-    return grid.join(ranked, ["qid", "q_mod", "c_mod"], "left")
+    return join_repeats(grid.join(ranked, ["qid", "q_mod", "c_mod"], "left"))

@@ -2,13 +2,15 @@
 
 A pair is (query item, positive candidate item) built from one corpus record
 with a query modality and a target modality drawn independently from a seeded
-hash (reruns agree, unlike a global RNG). Batches are cut per hash shard so no
-global sort is needed. Contrastive scores are an equi-join on the batch id:
+hash (reruns agree, unlike a global RNG). Batches are cut by a global position
+made of counts per range of the draw, so no single task sorts the table. Contrastive scores are an equi-join on the batch id:
 a batch has at most ``batch_size`` rows, so each join group is bounded.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,35 +60,29 @@ def train_pairs(corpus: DataFrame, seed: int, epoch: int = 0, modes: list[str] |
     )
 
 
-DEFAULT_SHARD_ROWS = 1 << 20
-
-
-def shard_count(df: DataFrame, rows_per_shard: int = DEFAULT_SHARD_ROWS) -> int:
-    """Shards needed so that a shard holds about ``rows_per_shard`` rows (one count)."""
-    n = df.count()
-    return max(1, -(-n // rows_per_shard))
+DRAW_BITS = 32               # of the seeded draw
+DRAW_BUCKETS = 1 << 12       # ranges of the draw; each is ordered by itself
 
 
 def epoch_batches(df: DataFrame, id_col: str, batch_size: int, seed: int, epoch: int,
-                  n_shards: int | None = None, rows_per_shard: int = DEFAULT_SHARD_ROWS) -> DataFrame:
-    """Seeded shuffle into batches: (.., shard, batch_id, pos).
+                  buckets: int = DRAW_BUCKETS) -> DataFrame:
+    """Seeded shuffle into batches: (.., batch_id, pos); all batches but the last are full.
 
-    Rows are hashed to shards and ordered inside a shard by a seeded draw (id
-    breaks ties), so each window holds one shard, never the whole table. The
-    shard count grows with the table (``rows_per_shard``) unless given.
-    ``batch_id`` is ``shard * 2^32 + batch number in shard``.
+    Rows are ordered by a seeded draw (the id breaks ties). The draw's range is
+    cut into ``buckets``; a row's position is the number of rows in earlier
+    buckets plus its place in its own, so no window holds the whole table and
+    the batches don't depend on the number of buckets.
     """
-    if n_shards is None:
-        n_shards = shard_count(df, rows_per_shard)
     draw = T.hash_draw(id_col, F.lit(seed), F.lit(epoch))
-    d = df.withColumn("_draw", draw).withColumn("shard", (F.col("_draw") % n_shards).cast("int"))
-    w = Window.partitionBy("shard").orderBy("_draw", id_col)
-    rn = F.row_number().over(w) - 1
-    d = d.withColumn("_rn", rn)
-    return (d.withColumn("batch_id", F.col("shard").cast("bigint") * F.lit(1 << 32)
-                         + F.floor(F.col("_rn") / batch_size).cast("bigint"))
-             .withColumn("pos", (F.col("_rn") % batch_size).cast("int"))
-             .drop("_draw", "_rn"))
+    d = df.withColumn("_draw", draw).withColumn("_bucket", F.floor(F.col("_draw") * buckets / (1 << DRAW_BITS)))
+    counts = d.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_bucket", F.coalesce(F.sum("_n").over(          # one row per bucket
+        Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_draw", id_col)) - 1
+    d = d.withColumn("_place", place).join(before, "_bucket").withColumn("_at", F.col("_before") + F.col("_place"))
+    return (d.withColumn("batch_id", F.floor(F.col("_at") / batch_size).cast("bigint"))
+             .withColumn("pos", (F.col("_at") % batch_size).cast("int"))
+             .drop("_draw", "_bucket", "_place", "_before", "_at"))
 
 
 def pair_flatten(pairs: DataFrame) -> DataFrame:
@@ -113,7 +109,8 @@ def contrastive_eval(q: DataFrame, p: DataFrame, logit_scale: float, group_col:
     q: (batch_id, pos, vec) queries; p: (<group_col>, col, vec) positives, where
     ``col`` is the logit column index of a positive and the target of query
     ``pos`` is ``pos + offset`` (offset 0 in-batch; rank*bs when positives are
-    gathered across batches). Vectors are eps-normalised here. Loss is the cross
+    gathered across batches). ``logit_scale`` is the stored (logarithmic) scale of
+    the logits. Vectors are eps-normalised here. Loss is the cross
     entropy against the target (stable log-sum-exp); accuracy counts argmax ==
     target, ties to the lowest column.
     """
@@ -124,7 +121,7 @@ def contrastive_eval(q: DataFrame, p: DataFrame, logit_scale: float, group_col:
     else:
         qn = qn.withColumn("target", F.col("pos") + col_offset)
     s = qn.join(pn, group_col).select(
-        "batch_id", "pos", "target", "col", (V.dot("qv", "pv") * F.lit(float(logit_scale))).alias("s"))
+        "batch_id", "pos", "target", "col", (V.dot("qv", "pv") * F.lit(math.exp(logit_scale))).alias("s"))
     s = s.withColumn("m", F.max("s").over(Window.partitionBy("batch_id", "pos")))
     per_q = s.groupBy("batch_id", "pos", "target").agg(
         F.max("m").alias("m"),
@@ -151,7 +148,8 @@ def argmax_accuracy(df: DataFrame, logits: str, label: str, reduction: str = "me
 
 
 def encode_pair_items(batched_pairs: DataFrame, text_encoder=None, image_encoder=None,
-                      fusion: str = "sum", text_weight: float = 0.5) -> tuple[DataFrame, DataFrame]:
+                      fusion: str = "sum", text_weight: float = 0.5,
+                      mlp_weights=None) -> tuple[DataFrame, DataFrame]:
     """Encode both items of every batched pair once: (queries, positives) for ``contrastive_eval``.
 
     Items are stacked (one row per item), each base input is encoded in one pass,
@@ -169,7 +167,7 @@ def encode_pair_items(batched_pairs: DataFrame, text_encoder=None, image_encoder
                                 image_encoder or encode.hashing_encoder(salt=encode.IMAGE_SALT))
     img = V.mask_gate("img_vec", "img_mask")
     txt = V.mask_gate("txt_vec", "txt_mask")
-    vec = views.fused(img, txt, fusion, text_weight)
+    vec = views.fused(img, txt, fusion, text_weight, mlp_weights)
     fused = items.select("batch_id", "pos", "role", vec.alias("vec"))
     q = fused.where(F.col("role") == "query").select("batch_id", "pos", "vec")
     p = fused.where(F.col("role") == "pos_cand").select("batch_id", F.col("pos").alias("col"), "vec")

@@ -151,11 +151,12 @@ def best_epoch(stats: DataFrame, run: str = "run_id", epoch: str = "epoch", loss
                eval_freq: int = 1) -> DataFrame:
     """Per run, the evaluated epoch with the lowest loss; ties go to the later epoch.
 
-    Only epochs with ``epoch % eval_freq == 0`` are evaluated; a null (unparsable)
-    loss counts as +inf.
+    Only epochs with ``epoch % eval_freq == 0`` are evaluated; a null, unparsable
+    or NaN loss counts as +inf.
     """
+    worst = F.lit(float("inf"))
     s = stats.where(F.col(epoch) % eval_freq == 0).withColumn(
-        "_l", F.coalesce(F.col(loss).cast("double"), F.lit(float("inf"))))
+        "_l", F.coalesce(F.nanvl(F.col(loss).try_cast("double"), worst), worst))
     return s.groupBy(run).agg(
         F.max_by(epoch, F.struct(-F.col("_l"), F.col(epoch))).alias("best_epoch"),
         F.min("_l").alias("best_loss"))

@@ -39,7 +39,7 @@ def candidate_view(corpus: DataFrame, mode: str, keep: list[str] | None = None)
 def query_view(corpus: DataFrame, mode: str, keep: list[str] | None = None) -> DataFrame:
     """Query item per record with the first valid question as text."""
     if mode not in MODALITIES:
-        raise ValueError(f"Unknown query mode: {mode}")
+        raise ValueError(f"a query shows one of {MODALITIES}, not {mode!r}")
     return _item(corpus, T.question_of(corpus), mode, keep or ["id"])
 
 

@@ -1,12 +1,12 @@
 """Registered queries: each binds an operator to the driver tables.
 
-Every function takes (spark, sf_dir) and returns a lazy DataFrame over whole
-tables. Column names match the SQL oracle in ``quiver.plans.oracle``.
+Every function takes (spark, sf_dir) and returns a DataFrame over whole tables;
+searches write their vectors once, and so run jobs, before they return. Column names match the SQL oracle in ``quiver.plans.oracle``.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from quiver.functions import vectors as V
 from quiver.operators import encode, ivf, knn, lookup, pairs, project, runlog, views
 from quiver.operators import metrics as M
 from quiver.plans import evaluate as E
-from quiver.session import checkpoint_dir, spread
+from quiver.session import scratch_path, spread
 from quiver.sources import bindings as B
 from quiver.sources import qrels as QR
 from quiver.streaming import search as stream_search
@@ -205,11 +205,12 @@ def q_grid_missing_modality(spark, sf):
 
 def q_eval_report(spark, sf):
     q, p = _eval_sides(spark, sf)
-    return E.evaluate(q, p, _lines(spark, sf))
+    return M.rounded(E.evaluate(q, p, _lines(spark, sf)))
 
 
 def q_eval_report_wide(spark, sf):
-    return M.wide_report(q_eval_report(spark, sf), M.parse_metric_list(M.DEFAULT_METRICS))
+    q, p = _eval_sides(spark, sf)
+    return M.wide_report(E.evaluate(q, p, _lines(spark, sf)), M.parse_metric_list(M.DEFAULT_METRICS))
 
 
 def q_unjudged_queries(spark, sf):
@@ -290,9 +291,8 @@ QUERIES.update({
 
 SEED = 42
 BATCH = 32
-SHARD_ROWS = 128          # rows per shuffle shard of the epoch batches
 STEP_BATCHES = 4          # batches whose positives are gathered together
-LOGIT_SCALE = 100.0
+LOGIT_SCALE = math.log(100.0)     # as a model stores it
 CARD_TOP_K = 7
 
 
@@ -364,19 +364,19 @@ def q_train_pairs_fixed_target(spark, sf):
 
 def q_pair_flatten(spark, sf):
     p = pairs.train_pairs(B.load_corpus(spark, sf), SEED, epoch=0, questions=B.load_user_questions(spark, sf))
-    b = pairs.epoch_batches(p, "id", 8, SEED, 0, rows_per_shard=SHARD_ROWS)
+    b = pairs.epoch_batches(p, "id", 8, SEED, 0)
     return pairs.pair_flatten(b)
 
 
 def q_epoch_batches(spark, sf):
     emb = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id")
-    return pairs.epoch_batches(emb, "vec_id", BATCH, SEED, 1, rows_per_shard=SHARD_ROWS).select(
-        "vec_id", "shard", "batch_id", "pos")
+    return pairs.epoch_batches(emb, "vec_id", BATCH, SEED, 1).select(
+        "vec_id", "batch_id", "pos")
 
 
 def _contrastive_sides(spark, sf):
     base = B.load_base_vectors(spark, sf)
-    b = pairs.epoch_batches(base, "id", BATCH, SEED, 0, rows_per_shard=SHARD_ROWS)
+    b = pairs.epoch_batches(base, "id", BATCH, SEED, 0)
     q = b.select("batch_id", "pos", V.mask_gate("img_vec", "img_mask").alias("vec"))
     p = b.select("batch_id", F.col("pos").alias("col"), V.mask_gate("txt_vec", "txt_mask").alias("vec"))
     return b, q, p
@@ -388,11 +388,10 @@ def q_contrastive_eval(spark, sf):
 
 
 def q_contrastive_eval_global(spark, sf):
-    """Positives of STEP_BATCHES consecutive batches of a shard are gathered into one logit row."""
+    """Positives of STEP_BATCHES consecutive batches are gathered into one logit row."""
     b, _, _ = _contrastive_sides(spark, sf)
-    local = F.col("batch_id") % F.lit(1 << 32)
-    b = (b.withColumn("step_id", F.col("batch_id") - local + F.floor(local / STEP_BATCHES).cast("bigint"))
-          .withColumn("rnk", (local % STEP_BATCHES).cast("int")))
+    b = (b.withColumn("step_id", F.floor(F.col("batch_id") / STEP_BATCHES).cast("bigint"))
+          .withColumn("rnk", (F.col("batch_id") % STEP_BATCHES).cast("int")))
     q = b.select("batch_id", "step_id", "pos", "rnk", V.mask_gate("img_vec", "img_mask").alias("vec"))
     p = b.select("step_id", (F.col("rnk") * BATCH + F.col("pos")).alias("col"),
                  V.mask_gate("txt_vec", "txt_mask").alias("vec"))
@@ -401,7 +400,7 @@ def q_contrastive_eval_global(spark, sf):
 
 def q_argmax_accuracy(spark, sf):
     emb = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return pairs.argmax_accuracy(emb.select(F.slice("embedding", 1, 10).alias("logits"), "label"), "logits", "label")
+    return pairs.argmax_accuracy(emb.select(F.col("embedding").alias("logits"), "label"), "logits", "label")
 
 
 # ---- content, cards, vectors of hits ------------------------------------------------------
@@ -593,12 +592,12 @@ def q_neighborhood_pca(spark, sf):
 
 def q_stream_search(spark, sf):
     """The fused-view queries written as files, searched as a stream against the fused pool."""
-    root = f"{checkpoint_dir(spark).rstrip('/')}/quiver-stream-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "quiver-stream")
     u = _unit_views(spark, sf, materialize=True)
-    # two files: the stream runs as two micro-batches (one file per trigger)
-    _queries(u, ["it"]).select("qid", "q_mod", "vec").coalesce(2).write.parquet(f"{root}/queries")
+    # as many files as the table has; a trigger takes four, so a micro-batch is bounded
+    _queries(u, ["it"]).select("qid", "q_mod", "vec").write.parquet(f"{root}/queries")
     return stream_search.run_stream_search(spark, f"{root}/queries", _pool(u, ["it"]), K_SEARCH,
-                                           f"{root}/hits", f"{root}/checkpoint")
+                                           f"{root}/hits", f"{root}/checkpoint", files_per_trigger=4)
 
 
 QUERIES.update({
@@ -615,7 +614,7 @@ def q_corpus_eval_report(spark, sf):
     """Encode the conversation corpus (captions, questions, images), evaluate with identity judgments."""
     from quiver.plans import retrieval
     cfg = E.EvalConfig(dataset="conversations", cand_pool="conversations")
-    return retrieval.evaluate_corpus(B.load_corpus(spark, sf), None, cfg)
+    return M.rounded(retrieval.evaluate_corpus(B.load_corpus(spark, sf), None, cfg))
 
 
 QUERIES.update({"corpus_eval_report": q_corpus_eval_report})
@@ -625,9 +624,9 @@ def q_eval_report_tsv(spark, sf):
     """The report written as a timestamped TSV under the checkpoint folder, read back."""
     from quiver.sources import sinks
     q, p = _eval_sides(spark, sf)
-    out = f"{checkpoint_dir(spark).rstrip('/')}/quiver-reports/{uuid.uuid4().hex}"
+    out = scratch_path(spark, "quiver-reports")
     path = E.evaluate_and_write(q, p, _lines(spark, sf), out)
-    names = M.wide_columns([n for n, _ in M.parse_metric_list(M.DEFAULT_METRICS)] + ["MRR"])
+    names = M.report_columns(M.parse_metric_list(M.DEFAULT_METRICS))
     types = {"TaskID": "int"}
     schema = ", ".join(f"`{c}` {types.get(c, 'double' if c.startswith('Recall@') or c == 'MRR' else 'string')}"
                        for c in names)
@@ -639,8 +638,9 @@ QUERIES.update({"eval_report_tsv": q_eval_report_tsv})
 
 def q_pair_contrastive_eval(spark, sf):
     """Validation on real pairs: corpus -> pairs -> seeded batches -> encode both items -> loss, accuracy."""
-    p = pairs.train_pairs(B.load_corpus(spark, sf), SEED, epoch=0, questions=B.load_user_questions(spark, sf))
-    b = E.write_once(pairs.epoch_batches(p, "id", 8, SEED, 0, rows_per_shard=SHARD_ROWS))
+    p = pairs.train_pairs(B.load_corpus(spark, sf), SEED, epoch=0, modes=["img_txt"],
+                          questions=B.load_user_questions(spark, sf))
+    b = E.write_once(pairs.epoch_batches(p, "id", 8, SEED, 0))
     q, pos = pairs.encode_pair_items(b)
     return pairs.contrastive_eval(q, pos, LOGIT_SCALE)
 

@@ -39,6 +39,7 @@ class DuplicatePoolIds(ValueError):
     pass
 
 
+# Keys of the evaluation config.
 CONFIG_LISTS = ["datasets_name", "correspond_cand_pools_name", "correspond_qrels_name", "correspond_metrics_name"]
 
 
@@ -53,7 +54,7 @@ def eval_config_expand(config: DataFrame) -> DataFrame:
     sizes = F.array(*[F.size(c) for c in CONFIG_LISTS])
     bad = config.where(F.array_min(sizes) != F.array_max(sizes)).limit(1).collect()
     if bad:
-        raise ValueError("Mismatch between datasets and candidate pools and qrels.")
+        raise ValueError("the four config lists must name one entry per evaluation task")
     z = F.arrays_zip(*[F.col(c) for c in CONFIG_LISTS])
     e = config.select("split", F.posexplode(z).alias("task_pos", "t"))
     return e.select(
@@ -102,7 +103,7 @@ def pool_stats(pool: DataFrame):
 def check_unique(pool: DataFrame, stats=None) -> None:
     st = stats or pool_stats(pool)
     if st["dup"] is not None:
-        raise DuplicatePoolIds(f"IDs should be unique for modality {st['dup']['c_mod']}: {st['dup']['doc_id']}")
+        raise DuplicatePoolIds(f"pool id {st['dup']['doc_id']} occurs more than once in modality {st['dup']['c_mod']}")
 
 
 def check_dim(pool: DataFrame, configured: int | None = None, stats=None) -> int:

@@ -142,7 +142,7 @@ report AS (
          CASE WHEN task_id = 0 THEN 'Image-to-Text Retrieval' ELSE 'Unknown Task ' || task_id::VARCHAR END AS task,
          'embeddings' AS dataset, 'test' AS split, 'embeddings' AS cand_pool,
          {_MOD.format(c='q_mod')} AS query_modality, {_MOD.format(c='c_mod')} AS candidate_modality,
-         count(*) AS n, {_SUMS}, round(avg(rr), 6) + 0.0 AS mrr
+         count(*) AS n, {_SUMS}, avg(rr) AS mrr
   FROM pt GROUP BY task_id, q_mod, c_mod)"""
 
 CORPUS = """corpus AS (
@@ -174,13 +174,13 @@ SELECT qid, task_id FROM tasks""",
     "mrr": f"WITH {UNIT}, {_ranked('label', exclude_self=True)} SELECT qid, q_mod, c_mod, round(rr, 6) + 0.0 AS rr FROM perq",
     "eval_grid": _grid(),
     "grid_missing_modality": _grid("c.modality IN ('i', 'it')"),
-    "eval_report": _REPORT + " SELECT * FROM report",
+    "eval_report": _REPORT + " SELECT * REPLACE (round(mrr, 6) + 0.0 AS mrr) FROM report",
     "eval_report_wide": _REPORT + """
 SELECT task_id AS "TaskID", task AS "Task", dataset AS "Dataset", split AS "Split", cand_pool AS "CandPool",
        query_modality AS "QueryModality", candidate_modality AS "CandidateModality", """
     + ", ".join(f'round((hits_{k} / n)::DECIMAL(24, 12), 4)::DOUBLE AS "Recall@{k}"' for k in KS)
     + """, round(mrr::DECIMAL(24, 12), 4)::DOUBLE AS "MRR"
-FROM report ORDER BY 1, 6, 7""",
+FROM report""",
     "unjudged_queries": f"""WITH {UNIT}, {LINES}, {_parsed()}, {_ranked('judg')},
 jq AS (SELECT DISTINCT qid, 1 AS judged FROM judg)
 SELECT q_mod, c_mod, count(*) AS n, count(judged) AS n_judged,
@@ -242,12 +242,15 @@ qitems AS (SELECT id, modality, coalesce(txt, '') AS txt,
 MODES = "['img_txt', 'img_only', 'txt_only']"
 
 
-def _pairs(fixed_target: bool) -> str:
+def _pairs(fixed_target: bool, validation: bool = False) -> str:
     t_mode = "'img_txt'" if fixed_target else f"{MODES}[({_draw('id::VARCHAR', chr(39) + '42' + chr(39), chr(39) + '0' + chr(39), chr(39) + 'target' + chr(39))} % 3) + 1]"
+    q_mode = f"""{MODES}[({_draw('id::VARCHAR', "'42'", "'0'", "'query'")} % 3) + 1]"""
+    if validation:
+        q_mode = t_mode = "'img_txt'"
     return f"""p0 AS (
   SELECT id, caption, caption IS NOT NULL AS has_image,
          {_sampled("concat_ws('-', id::VARCHAR, '0')", "'42'")} AS q,
-         {MODES}[({_draw('id::VARCHAR', "'42'", "'0'", "'query'")} % 3) + 1] AS q_mode,
+         {q_mode} AS q_mode,
          {t_mode} AS t_mode
   FROM corpus),
 pairs AS (
@@ -259,13 +262,10 @@ pairs AS (
   FROM p0)"""
 
 
-def _batches(src: str, id_col: str, bs: int, seed: int, epoch: int, shard_rows: int, name: str = "b") -> str:
+def _batches(src: str, id_col: str, bs: int, seed: int, epoch: int, name: str = "b") -> str:
     return f"""{name}_d AS (SELECT *, {_draw(f'{id_col}::VARCHAR', f"'{seed}'", f"'{epoch}'")} AS _draw FROM {src}),
-{name}_n AS (SELECT greatest(1, CAST(ceil(count(*) / {shard_rows}.0) AS BIGINT)) AS n_shards FROM {src}),
-{name}_s AS (SELECT {name}_d.*, CAST(_draw % n_shards AS INTEGER) AS shard FROM {name}_d, {name}_n),
-{name}_r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY _draw, {id_col}) - 1 AS _rn FROM {name}_s),
-{name} AS (SELECT * EXCLUDE (_draw, _rn), shard::BIGINT * 4294967296 + (_rn // {bs}) AS batch_id,
-                  CAST(_rn % {bs} AS INTEGER) AS pos FROM {name}_r)"""
+{name}_r AS (SELECT *, row_number() OVER (ORDER BY _draw, {id_col}) - 1 AS _rn FROM {name}_d),
+{name} AS (SELECT * EXCLUDE (_draw, _rn), _rn // {bs} AS batch_id, CAST(_rn % {bs} AS INTEGER) AS pos FROM {name}_r)"""
 
 
 def _eps(v: str) -> str:
@@ -274,15 +274,14 @@ def _eps(v: str) -> str:
 
 def _contrastive(global_: bool) -> str:
     if global_:
-        step = """b2 AS (SELECT *, batch_id - (batch_id % 4294967296) + ((batch_id % 4294967296) // 4) AS step_id,
-                     CAST((batch_id % 4294967296) % 4 AS INTEGER) AS rnk FROM b),"""
+        step = "b2 AS (SELECT *, batch_id // 4 AS step_id, CAST(batch_id % 4 AS INTEGER) AS rnk FROM b),"
         q = f"SELECT batch_id, step_id AS g, pos, rnk * 32 + pos AS target, {_eps('list_transform(img_vec, lambda x: x * img_mask)')} AS qv FROM b2"
         p = f"SELECT step_id AS g, rnk * 32 + pos AS col, {_eps('list_transform(txt_vec, lambda x: x * txt_mask)')} AS pv FROM b2"
     else:
         step = ""
         q = f"SELECT batch_id, batch_id AS g, pos, pos AS target, {_eps('list_transform(img_vec, lambda x: x * img_mask)')} AS qv FROM b"
         p = f"SELECT batch_id AS g, pos AS col, {_eps('list_transform(txt_vec, lambda x: x * txt_mask)')} AS pv FROM b"
-    return f"""WITH {BASE}, {_batches('base', 'id', 32, 42, 0, 128)}, {step}
+    return f"""WITH {BASE}, {_batches('base', 'id', 32, 42, 0)}, {step}
 q AS ({q}), p AS ({p}),
 s AS (SELECT q.batch_id, q.pos, q.target, p.col, list_dot_product(q.qv, p.pv) * 100.0 AS s FROM q JOIN p ON q.g = p.g),
 s2 AS (SELECT *, max(s) OVER (PARTITION BY batch_id, pos) AS m FROM s),
@@ -312,20 +311,20 @@ SQL.update({
 SELECT id, modality, CASE WHEN txt_mask = 1 OR img_mask = 1 THEN 'ok' ELSE 'rejected' END AS status FROM qitems""",
     "train_pairs": f"WITH {CORPUS}, {_pairs(False)} SELECT * FROM pairs",
     "train_pairs_fixed_target": f"WITH {CORPUS}, {_pairs(True)} SELECT * FROM pairs",
-    "pair_flatten": f"""WITH {CORPUS}, {_pairs(False)}, {_batches('pairs', 'id', 8, 42, 0, 128)}
+    "pair_flatten": f"""WITH {CORPUS}, {_pairs(False)}, {_batches('pairs', 'id', 8, 42, 0)}
 SELECT batch_id, pos * 2 AS idx, 'query' AS role, coalesce(q_txt, '') AS txt,
        CASE WHEN q_txt IS NULL OR q_txt = '' THEN 0 ELSE 1 END AS txt_mask, q_has_img AS img_mask FROM b
 UNION ALL
 SELECT batch_id, pos * 2 + 1, 'pos_cand', coalesce(c_txt, ''),
        CASE WHEN c_txt IS NULL OR c_txt = '' THEN 0 ELSE 1 END, c_has_img FROM b""",
-    "epoch_batches": f"""WITH e AS (SELECT vec_id FROM embeddings), {_batches('e', 'vec_id', 32, 42, 1, 128)}
-SELECT vec_id, shard, batch_id, pos FROM b""",
+    "epoch_batches": f"""WITH e AS (SELECT vec_id FROM embeddings), {_batches('e', 'vec_id', 32, 42, 1)}
+SELECT vec_id, batch_id, pos FROM b""",
     "contrastive_eval": _contrastive(False),
     "contrastive_eval_global": _contrastive(True),
     "argmax_accuracy": """SELECT count(*) AS n,
        CAST(sum(CASE WHEN list_position(l, list_max(l)) - 1 = label THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
        avg(CASE WHEN list_position(l, list_max(l)) - 1 = label THEN 1.0 ELSE 0.0 END) AS accuracy
-FROM (SELECT embedding[1:10] AS l, label FROM embeddings)""",
+FROM (SELECT embedding AS l, label FROM embeddings)""",
     "content_lookup": f"""WITH {UNIT}, {CORPUS}, {_it_hits(10)}
 SELECT h.*, CASE WHEN c.id IS NULL THEN 'missing' ELSE 'found' END AS type,
        CASE WHEN c.id IS NULL THEN 'Content not found for ID: ' || h.doc_id::VARCHAR ELSE c.caption END AS text_content
@@ -487,7 +486,7 @@ SQL.update({"eval_report_tsv": SQL["eval_report_wide"]})
 
 # ---- contrastive evaluation on real pairs ---------------------------------------------
 
-_PAIR_CONTRASTIVE = f"""WITH {CORPUS}, {_pairs(False)}, {_batches('pairs', 'id', 8, 42, 0, 128)},
+_PAIR_CONTRASTIVE = f"""WITH {CORPUS}, {_pairs(False, validation=True)}, {_batches('pairs', 'id', 8, 42, 0)},
 items AS (
   SELECT b.batch_id, b.pos, 'query' AS role, coalesce(b.q_txt, '') AS txt,
          CASE WHEN b.q_txt IS NULL OR b.q_txt = '' THEN 0 ELSE 1 END AS tm, b.q_has_img AS im,

@@ -35,29 +35,32 @@ def encode_corpus(corpus: DataFrame, text_encoder=None, image_encoder=None,
     return materialize(d.select("id", "cap_vec", "q_vec", "img_vec", "cap_mask", "q_mask", "img_mask"))
 
 
-def side_views(encoded: DataFrame, side: str, fusion: str = "sum", text_weight: float = 0.5) -> DataFrame:
+def side_views(encoded: DataFrame, side: str, fusion: str = "sum", text_weight: float = 0.5,
+               mlp_weights=None) -> DataFrame:
     """The three modality vectors of one side (cand: caption, query: question)."""
     txt, mask = ("cap_vec", "cap_mask") if side == "cand" else ("q_vec", "q_mask")
     base = encoded.select("id", F.col(txt).alias("txt_vec"), "img_vec", F.col(mask).alias("txt_mask"), "img_mask")
-    return views.modality_vectors(base, fusion, text_weight)
+    return views.modality_vectors(base, fusion, text_weight, mlp_weights=mlp_weights)
 
 
-def store_embeddings(encoded: DataFrame, path: str, split: str = "test", fusion: str = "sum") -> None:
+def store_embeddings(encoded: DataFrame, path: str, split: str = "test", fusion: str = "sum",
+                     text_weight: float = 0.5, mlp_weights=None) -> None:
     """The embedding store: one file set per side x split x modality."""
     parts = []
     for side in ("query", "cand"):
-        v = side_views(encoded, side, fusion)
+        v = side_views(encoded, side, fusion, text_weight, mlp_weights)
         parts.append(v.select(F.lit(side).alias("side"), F.lit(split).alias("split"), "modality", "id",
                               F.col("vec").cast("array<float>").alias("vector")))
     sinks.write_embeddings(parts[0].unionByName(parts[1]), path)
 
 
 def evaluate_corpus(corpus: DataFrame, judgment_lines: DataFrame | None = None, cfg: E.EvalConfig | None = None,
-                    text_encoder=None, image_encoder=None, fusion: str = "sum") -> DataFrame:
+                    text_encoder=None, image_encoder=None, fusion: str = "sum",
+                    text_weight: float = 0.5, mlp_weights=None) -> DataFrame:
     """Long report for a corpus; without judgments, the identity judgments of every record."""
     encoded = encode_corpus(corpus, text_encoder, image_encoder)
-    pool = E.build_pool(side_views(encoded, "cand", fusion))
-    queries = E.query_table(side_views(encoded, "query", fusion))
+    pool = E.build_pool(side_views(encoded, "cand", fusion, text_weight, mlp_weights))
+    queries = E.query_table(side_views(encoded, "query", fusion, text_weight, mlp_weights))
     if judgment_lines is None:
         # ids from the written encoding, not from the corpus plan (read once, not recomputed)
         lines = Q.generate_identity_qrels(encoded.select("id"), "id")

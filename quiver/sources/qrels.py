@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 # Fixed values.
 DEFAULT_TASK = "0"
 MIN_FIELDS = 4
+BLANKS = r"(?U)[\s\x1c-\x1f]+"     # all that separates fields: Unicode white space and the four separators
 
 
 def read_qrels_text(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +28,7 @@ def read_qrels_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _fields(value: str = "value"):
-    return F.split(F.trim(F.regexp_replace(F.col(value), r"\s+", " ")), " ")
+    return F.split(F.trim(F.regexp_replace(F.col(value), BLANKS, " ")), " ")
 
 
 def tokenize(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quiver.plans import catalog, oracle
 from quiver.sources.tables import DRIVER_TABLES
 from tests.conftest import SF_SMALL
 
@@ -41,12 +42,12 @@ def con():
 
 
 def test_every_query_is_registered_with_an_oracle_or_a_reason():
-    rows_only = set(QUERIES) - set(ORACLES)
+    rows_only = set(catalog.QUERIES) - set(ORACLES)
     assert rows_only <= {"knn_ivf", "neighborhood_pca"}
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]

@@ -16,7 +16,7 @@ def test_contrastive_matches_numpy(spark):
     Q, P = rng.normal(size=(bs, d)), rng.normal(size=(bs, d))
     q = spark.createDataFrame([(0, i, [float(x) for x in Q[i]]) for i in range(bs)], "batch_id long, pos int, vec array<double>")
     p = spark.createDataFrame([(0, i, [float(x) for x in P[i]]) for i in range(bs)], "batch_id long, col int, vec array<double>")
-    got = pairs.contrastive_eval(q, p, scale).collect()[0]
+    got = pairs.contrastive_eval(q, p, np.log(scale)).collect()[0]
     qn = Q / np.maximum(np.linalg.norm(Q, axis=1, keepdims=True), 1e-6)
     pn = P / np.maximum(np.linalg.norm(P, axis=1, keepdims=True), 1e-6)
     S = scale * qn @ pn.T
@@ -36,14 +36,15 @@ def test_argmax_accuracy_reductions(spark):
 
 def test_epoch_batches_deterministic_and_complete(spark):
     ids = spark.range(0, 203).withColumnRenamed("id", "vid")
-    a = pairs.epoch_batches(ids, "vid", 16, seed=3, epoch=0, n_shards=4)
-    b = pairs.epoch_batches(ids.repartition(5), "vid", 16, seed=3, epoch=0, n_shards=4)
+    a = pairs.epoch_batches(ids, "vid", 16, seed=3, epoch=0, buckets=4)
+    b = pairs.epoch_batches(ids.repartition(5), "vid", 16, seed=3, epoch=0, buckets=4)
     ra = sorted(map(tuple, a.collect()))
     assert ra == sorted(map(tuple, b.collect()))
     assert len({r[0] for r in ra}) == 203
-    sizes = a.groupBy("batch_id").count().collect()
-    assert max(r["count"] for r in sizes) <= 16
-    c = pairs.epoch_batches(ids, "vid", 16, seed=3, epoch=1, n_shards=4)
+    sizes = {r["batch_id"]: r["count"] for r in a.groupBy("batch_id").count().collect()}
+    assert sizes == {i: 16 for i in range(12)} | {12: 11}             # one short batch, the last
+    assert ra == sorted(map(tuple, pairs.epoch_batches(ids, "vid", 16, seed=3, epoch=0, buckets=64).collect()))
+    c = pairs.epoch_batches(ids, "vid", 16, seed=3, epoch=1, buckets=4)
     assert sorted(map(tuple, c.collect())) != ra
 
 
