@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -81,22 +82,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def apply_defaults(spark: SparkSession) -> None:
-    """Fill engine defaults into an existing session where they are unset."""
-    for k, v in _DEFAULTS.items():
-        if spark.conf.get(k, None) is None:
-            spark.conf.set(k, v)
+SPREAD_BYTES = 16 << 20          # a core's share of a table below which it is dealt out anew
 
 
 def spread(df):
-    """Round-robin a table that arrives in fewer partitions than the cluster has cores.
+    """Round-robin a small table over all cores before CPU-heavy row work.
 
-    A small or single file is read as one or a few partitions; CPU-heavy row work
-    (encoders, dense search) then runs on a few cores only. Large inputs already have
-    more partitions than cores and are left as they are (no shuffle).
+    A small or single file is read as one or a few partitions; encoders or dense
+    search would then run on a few cores only. The size is the optimizer's
+    estimate, so nothing runs to find it; large inputs have partitions enough and
+    are left as they are (no shuffle).
     """
     par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(par) if size < par * SPREAD_BYTES else df
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder, deleted when the driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def materialize(df):
@@ -104,12 +111,12 @@ def materialize(df):
 
     The table goes to a fresh folder under spark.checkpoint.dir (the cluster's
     shared folder) as Parquet: computed once, readable after an executor loss,
-    and later scans get column pruning and filter pushdown. A table arriving in
-    fewer partitions than the cluster has cores is spread first so the written
-    table has at least one file per core; a large table keeps its partitioning.
+    and later scans get column pruning and filter pushdown. A small table is
+    spread first so the written table has a file per core; a large one keeps its
+    partitioning. The folder is deleted when the driver ends: a lazy result may
+    read it until then.
     """
-    import uuid
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/quiver-tables/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "quiver-table")
     spread(df).write.parquet(path)
     return spark.read.parquet(path)
