@@ -28,16 +28,33 @@ WINDOW_SIZE = 20
 EXACT = "decimal(38,12)"
 DEFAULT_CHUNK_STEPS = 1 << 16    # step range of one chunk (rows per chunk <= this for unique steps)
 DEFAULT_BLOCK_ROWS = 1 << 14     # rows per frame block
+CHUNKS_TOGETHER = 1 << 12        # chunks whose prefix is one window
 
 
 def _chunked(df: DataFrame, order: str, chunk_steps: int) -> DataFrame:
     return df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_steps)).cast("bigint"))
 
 
-def _prefix_over_chunks(parts: DataFrame, keys: list[str], cols: dict[str, Column]) -> DataFrame:
-    """Exclusive prefix aggregates over the chunks of each key (one row per chunk)."""
-    w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select(*keys, "_chunk", *[c.over(w).alias(n) for n, c in cols.items()])
+def _prefix_over_chunks(parts: DataFrame, keys: list[str], cols: dict[str, tuple[str, str]]) -> DataFrame:
+    """Exclusive prefix aggregates over the chunks of each key: out -> ("sum" or "min", column).
+
+    Two levels: a prefix over the chunks inside a group of CHUNKS_TOGETHER, and
+    one over the groups, so a series of very many chunks isn't one window.
+    """
+    fold = {"sum": F.sum, "min": F.min}
+    d = parts.withColumn("_group", F.floor(F.col("_chunk") / CHUNKS_TOGETHER).cast("bigint"))
+    earlier = (Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*keys, "_group").orderBy("_chunk").rowsBetween(*earlier)
+    outer = Window.partitionBy(*keys).orderBy("_group").rowsBetween(*earlier)
+    totals = d.groupBy(*keys, "_group").agg(*[fold[f](c).alias(f"_t{n}") for n, (f, c) in cols.items()])
+    groups = totals.select(*keys, "_group", *[fold[f](f"_t{n}").over(outer).alias(f"_o{n}") for n, (f, _) in cols.items()])
+    chunks = d.select(*keys, "_chunk", "_group", *[fold[f](c).over(inner).alias(f"_i{n}") for n, (f, c) in cols.items()])
+
+    def both(n: str, f: str) -> Column:
+        i, o = F.col(f"_i{n}"), F.col(f"_o{n}")
+        return F.least(i, o) if f == "min" else F.coalesce(i + o, i, o)      # least passes over nulls
+    return chunks.join(groups, [*keys, "_group"], "left").select(
+        *keys, "_chunk", *[both(n, f).alias(n) for n, (f, _) in cols.items()])
 
 
 def row_index(df: DataFrame, keys: list[str], order: str, tiebreak: list[str] | None = None,
@@ -45,7 +62,7 @@ def row_index(df: DataFrame, keys: list[str], order: str, tiebreak: list[str] |
     """Adds ``_r``: the 0-based position of each row in its series ordered by ``order``."""
     d = _chunked(df, order, chunk_steps)
     counts = d.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = _prefix_over_chunks(counts, keys, {"_before": F.sum("_cnt")})
+    before = _prefix_over_chunks(counts, keys, {"_before": ("sum", "_cnt")})
     w = Window.partitionBy(*keys, "_chunk").orderBy(order, *(tiebreak or []))
     d = d.withColumn("_within", F.row_number().over(w) - 1)
     return (d.join(before, [*keys, "_chunk"], "left")
@@ -90,12 +107,12 @@ def rolling_meter(log: DataFrame, keys: list[str], order: str = "step", value: s
 
 
 def _running(log: DataFrame, keys: list[str], order: str, chunk_steps: int,
-             partial: dict[str, Column], combine: dict[str, tuple[Column, str]], within: dict[str, Column],
+             partial: dict[str, Column], combine: dict[str, tuple[str, str]], within: dict[str, Column],
              tiebreak: list[str] | None = None) -> DataFrame:
     """Generic prefix aggregate: per-chunk partials, exclusive prefix over chunks, running within chunk."""
     d = _chunked(log, order, chunk_steps)
     parts = d.groupBy(*keys, "_chunk").agg(*[c.alias(n) for n, c in partial.items()])
-    before = _prefix_over_chunks(parts, keys, {n: c for n, (c, _) in combine.items()})
+    before = _prefix_over_chunks(parts, keys, combine)
     w = (Window.partitionBy(*keys, "_chunk").orderBy(order, *(tiebreak or []))
          .rowsBetween(Window.unboundedPreceding, 0))
     d = d.select("*", *[c.over(w).alias(n) for n, c in within.items()])
@@ -109,7 +126,7 @@ def cumulative_avg(log: DataFrame, keys: list[str], order: str = "step", value:
     r = _running(
         d, keys, order, chunk_steps,
         partial={"_pt": F.sum("_vn"), "_pn": F.sum(weight)},
-        combine={"_bt": (F.sum("_pt"), "_pt"), "_bn": (F.sum("_pn"), "_pn")},
+        combine={"_bt": ("sum", "_pt"), "_bn": ("sum", "_pn")},
         within={"_wt": F.sum("_vn"), "_wn": F.sum(weight)},
     )
     total = F.coalesce("_bt", F.lit(0).cast(EXACT)) + F.col("_wt")
@@ -124,7 +141,7 @@ def running_best(stats: DataFrame, keys: list[str], order: str = "epoch", loss:
     r = _running(
         stats, keys, order, chunk_steps,
         partial={"_pm": F.min(loss)},
-        combine={"_bm": (F.min("_pm"), "_pm")},
+        combine={"_bm": ("min", "_pm")},
         within={"_wm": F.min(loss)},
     )
     best = F.least(F.coalesce("_bm", F.lit(float("inf"))), F.col("_wm"))

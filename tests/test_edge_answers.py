@@ -91,3 +91,21 @@ def test_logit_scale_is_taken_as_stored(spark):
     got = pairs.contrastive_eval(q, p, math.log(2.0)).first()
     want = np.mean([np.log(np.exp(2 * np.array(s)).sum()) - 2 * s[i] for i, s in enumerate([[1.0, 0.6], [0.0, 0.8]])])
     assert abs(got.loss - want) < 1e-6 and got.accuracy == 1.0
+
+
+def test_prefixes_over_many_chunk_groups(spark, monkeypatch):
+    """Chunks of 3 steps in groups of 2: running means and minima as over one plain window."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(runlog, "CHUNKS_TOGETHER", 2)
+    draw = np.random.default_rng(3)
+    log = spark.createDataFrame([(k, i, float(draw.integers(0, 100)) / 4, int(draw.integers(1, 4))) for k in "ab" for i in range(60)],
+                                "k string, step long, value double, n long")
+    w = Window.partitionBy("k").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    want = log.select("k", "step", (F.sum(F.col("value") * F.col("n")).over(w) / F.sum("n").over(w)).alias("m"), F.min("value").over(w).alias("b"))
+    want = {(r.k, r.step): (r.m, r.b) for r in want.collect()}
+    means = {(r.k, r.step): r.cum_avg for r in runlog.cumulative_avg(log, ["k"], chunk_steps=3).collect()}
+    best = {(r.k, r.step): r.best_so_far for r in runlog.running_best(log, ["k"], order="step", chunk_steps=3).collect()}
+    assert all(abs(means[x] - m) < 1e-9 and best[x] == b for x, (m, b) in want.items()) and len(means) == len(want) == len(best)
+    at = runlog.row_index(log, ["k"], "step", chunk_steps=3)
+    assert all(r._r == r.step for r in at.collect())
