@@ -646,3 +646,45 @@ def q_pair_contrastive_eval(spark, sf):
 
 
 QUERIES.update({"pair_contrastive_eval": q_pair_contrastive_eval})
+
+
+# ---- round trips through files, by split --------------------------------------------------
+
+
+def _split_of(c):
+    """Every tenth record validates, every next one tests, the others train."""
+    return F.when(c % 10 == 0, "validation").when(c % 10 == 1, "test").otherwise("train")
+
+
+def q_qrels_files(spark, sf):
+    """Judgments with several documents, repeats and rel 0, written per split, read as text and parsed."""
+    v, label = F.col("vec_id"), F.col("label")
+
+    def line(doc, rel, task):
+        return F.concat_ws(" ", v, F.lit(0), doc, F.lit(rel), task)
+    lines = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", _split_of(v).alias("split"), F.posexplode(F.array(
+        line(v, 1, label % 2), line(v, 2, label % 3), line(2 * v, 0, label % 4), line(2 * v + 1, 1, label % 5))).alias("k", "value"))
+    path = scratch_path(spark, "quiver-judgments")
+    QR.write_qrels(lines.withColumn("line_no", F.struct("vec_id", "k")), path)
+    parts = []
+    for split in ("train", "validation", "test"):
+        parsed = QR.parse_qrels(QR.read_qrels_text(spark, f"{path}/split={split}"))
+        sets = QR.qrel_sets(parsed).join(QR.task_map(parsed), "qid")
+        parts.append(sets.select(F.lit(split).alias("split"), "qid", F.array_join("doc_ids", ",").alias("doc_ids"), "n_docs", "task_id"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def q_embedding_store(spark, sf):
+    """Vectors of both sides stored by split in half precision; the test split read back and searched."""
+    from quiver.sources import sinks
+    base = spark.read.parquet(f"{sf}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), _split_of(F.col("vec_id")).alias("split"), F.col("embedding").cast("array<float>").alias("vector"))
+    sides = base.select("id", "split", "vector", F.explode(F.array(F.lit("query"), F.lit("cand"))).alias("side"), F.lit("i").alias("modality"))
+    path = scratch_path(spark, "quiver-embeddings")
+    sinks.write_embeddings(sides, path, half=True)
+    read = {side: V.with_l2_normalized(sinks.read_embeddings(spark, path, side, "test", ["i"]), "vec") for side in ("query", "cand")}
+    return _hits_out(knn.search_topk(read["query"].select(F.col("id").alias("qid"), F.col("modality").alias("q_mod"), "vec"),
+                                     read["cand"].select(F.col("id").alias("doc_id"), F.col("modality").alias("c_mod"), "vec"), K_SEARCH))
+
+
+QUERIES.update({"qrels_files": q_qrels_files, "embedding_store": q_embedding_store})

@@ -514,3 +514,22 @@ SELECT batch_id, count(*) AS n, round(avg(loss), 6) + 0.0 AS loss, round(avg(cor
 FROM pq GROUP BY batch_id"""
 
 SQL.update({"pair_contrastive_eval": _PAIR_CONTRASTIVE})
+
+
+# ---- round trips through files, by split --------------------------------------------------
+
+_SPLIT = "CASE WHEN vec_id % 10 = 0 THEN 'validation' WHEN vec_id % 10 = 1 THEN 'test' ELSE 'train' END"
+
+SQL.update({
+    # the first document is judged twice, the second has rel 0; the last line has the task
+    "qrels_files": f"""SELECT {_SPLIT} AS split, vec_id::VARCHAR AS qid,
+       array_to_string(list_sort(list_distinct([vec_id::VARCHAR, (2 * vec_id + 1)::VARCHAR])), ',') AS doc_ids,
+       CAST(2 AS BIGINT) AS n_docs, (label % 5)::VARCHAR AS task_id FROM embeddings""",
+    "embedding_store": f"""WITH h AS (SELECT vec_id AS id, list_transform({_FP16}, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 10 = 1),
+n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM h),
+u AS (SELECT id, CASE WHEN s > 0 THEN list_transform(v, lambda x: x / s) ELSE v END AS v FROM n),
+scored AS (SELECT q.id AS qid, 'i' AS q_mod, 'i' AS c_mod, c.id AS doc_id, round(list_dot_product(q.v, c.v), 6) + 0.0 AS score
+           FROM u q CROSS JOIN u c)
+SELECT qid, q_mod, c_mod, doc_id, score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored) WHERE rank <= 10""",
+})

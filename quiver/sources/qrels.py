@@ -19,12 +19,14 @@ BLANKS = r"(?U)[\s\x1c-\x1f]+"     # all that separates fields: Unicode white sp
 
 
 def read_qrels_text(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) from a judgment file; a missing path raises.
+    """(line_no, value) from a judgment file or folder of files; a missing path raises.
 
-    ``line_no`` follows file order for a single file (split offsets increase with
-    partition index, and ids increase within a partition).
+    ``line_no`` sorts like the lines: by file, by the block of the file that a
+    task reads, and by the place in the block.
     """
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(place.alias("line_no"), "value")
 
 
 def _fields(value: str = "value"):
@@ -81,6 +83,11 @@ def generate_identity_qrels(records: DataFrame, id_col: str = "id", split_col: s
 
 
 def write_qrels(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One text file set per split (partition column ``split``)."""
-    w = lines.select("split", "value").write.mode(mode)
-    w.partitionBy("split").text(path)
+    """One text file set per split (partition column ``split``).
+
+    With a ``line_no`` the lines of a task keep that order in their file: lines
+    of one query must arrive in one partition for "the last line wins" to hold.
+    """
+    if "line_no" in lines.columns:
+        lines = lines.sortWithinPartitions("split", "line_no")
+    lines.select("split", "value").write.mode(mode).partitionBy("split").text(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_pool(pool: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -14,11 +15,25 @@ def write_pool(pool: DataFrame, path: str, mode: str = "overwrite") -> None:
          .write.mode(mode).partitionBy("c_mod").parquet(path))
 
 
-def write_embeddings(store: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Embedding store (side, split, modality, id, vector): one file set per side x split x modality."""
+def write_embeddings(store: DataFrame, path: str, mode: str = "overwrite", half: bool = False) -> None:
+    """Embedding store (side, split, modality, id, vector): one file set per side x split x modality.
+
+    ``half`` rounds the vectors to half precision first.
+    """
+    if half:
+        from quiver.operators.encode import quantize_fp16
+        store = store.withColumn("vector", quantize_fp16(F.col("vector")))
     store.write.mode(mode).partitionBy("side", "split", "modality").parquet(path)
 
 
+def read_embeddings(spark, path: str, side: str, split: str, modalities: list[str] | None = None) -> DataFrame:
+    """(id, modality, vec) of one side and split; only their folders are read."""
+    found = spark.read.parquet(path).where((F.col("side") == side) & (F.col("split") == split))
+    if modalities is not None:
+        found = found.where(F.col("modality").isin(modalities))
+    return found.select("id", "modality", F.col("vector").cast("array<double>").alias("vec"))
+
+
 def report_file_name(now: datetime | None = None) -> str:
     return f"evaluation_results_{(now or datetime.now()).strftime('%Y%m%d_%H%M%S')}.tsv"
 
