@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.session import checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder, removed when the driver ends."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/quiver-llm/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+from quiver.session import scratch_path
 
 
 def store(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
@@ -26,7 +16,7 @@ def store(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     path, so that a caller can :func:`drop` it as soon as nothing reads it.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, f"quiver-llm-{name}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
