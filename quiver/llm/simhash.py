@@ -4,13 +4,16 @@ A document's fingerprint has 64 bits. To find all pairs of fingerprints that
 differ in at most four bits, the fingerprint is cut into three segments of 22,
 21 and 21 bits, each read as a word of the perfect binary Golay code (23, 12, 7):
 every 23-bit word has exactly one codeword within three bits, named by a 12-bit
-index. Four differing bits leave some pair of segments with at most two of them
-(pigeonhole). Two words at distance two or less over such a pair have a midpoint
-at distance one or less from both, so decoding every word at distance one or less
-from a fingerprint's pair gives keys of which two linked fingerprints share one.
-A word has six such keys per segment at most, hence at most eleven per pair.
-
-Fingerprints under one key are compared directly while the key has few of them.
+index. Two fingerprints at distance four or less have a midpoint at distance two
+or less from both; by the pigeonhole rule its errors fall on one segment (one or
+two of them) or on two segments (one each). So the keys of a fingerprint are the
+index triples of every word at distance two or less: its own triple with one
+segment decoded to an index two bits away, or two segments to indices one bit
+away. Few are distinct, since a word has six indices within one bit and 22 within
+two: about 140 keys of 36 bits, of which two linked fingerprints share one.
+
+Fingerprints under one key are compared directly while the key has few of them,
+and what is linked there is tied to its first (no list of pairs is written).
 A key with many (dense clusters) goes another exact way: two fingerprints differ
 in at most ``2 r`` bits if and only if some 64-bit word lies within ``r`` bits of
 both, so each such fingerprint is listed under every word of its ball and linked
@@ -35,6 +38,8 @@ SEED = 42
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 DIRECT_LIMIT = 64            # fingerprints under one key that are compared pair by pair
+ONE_BIT_KEYS = 6             # distinct indices of a word and the words one bit away, at most
+TWO_BIT_KEYS = 24            # and two bits away, at most (1 + 5 + 16, or 1 + 21 near a codeword)
 SEGMENTS = ((0, 22), (22, 21), (43, 21))     # (first bit, bits) of each segment
 GOLAY_POLYNOMIAL = 0xC75     # generator of the (23, 12) Golay code, degree 11
 
@@ -99,45 +104,73 @@ def golay_index(words: np.ndarray) -> np.ndarray:
     return (words ^ errors[upper[words >> 11] ^ lower[words & 0x7FF]]) >> 11
 
 
+def _distinct_first(values: np.ndarray, most: int) -> np.ndarray:
+    """The distinct values of each row in ``most`` columns, filled up with the row's first column."""
+    own, ordered = values[:, :1], np.sort(values, axis=1)
+    fresh = np.ones(ordered.shape, bool)
+    fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    found = np.repeat(own, most, axis=1)
+    rows, columns = np.nonzero(fresh)
+    found[rows, (np.cumsum(fresh, axis=1) - 1)[rows, columns]] = ordered[rows, columns]
+    return found
+
+
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every key of every fingerprint, each key once per row."""
     fps = fps.view(np.uint64)
-    near = []                            # per segment: index of the word and of its one-bit neighbours
+    own, one, two = [], [], []           # per segment: index of the word, and of the words one or two bits away
     for first, width in SEGMENTS:
-        word = ((fps >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64)
-        flips = np.concatenate(([0], 1 << np.arange(width)))
-        near.append(golay_index(word[:, None] ^ flips[None, :]))
-    rows, keys = [], []
-    for tag, (x, y) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        found = np.concatenate(((near[x] << 12) | near[y][:, :1], (near[x][:, :1] << 12) | near[y][:, 1:]), axis=1)
-        found = np.sort(found, axis=1)
-        fresh = np.ones(found.shape, bool)
-        fresh[:, 1:] = found[:, 1:] != found[:, :-1]
-        r, _ = np.nonzero(fresh)
-        rows.append(r)
-        keys.append(found[fresh] | (tag << 24))
-    return np.concatenate(rows), np.concatenate(keys)
+        word = ((fps >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64)[:, None]
+        bits = 1 << np.arange(width)
+        x, y = np.triu_indices(width, 1)
+        singles = golay_index(word ^ np.concatenate(([0], bits)))
+        doubles = golay_index(word ^ (bits[x] | bits[y]))
+        own.append(singles[:, :1])
+        one.append(_distinct_first(singles, ONE_BIT_KEYS))
+        two.append(_distinct_first(np.concatenate((singles, doubles), axis=1), TWO_BIT_KEYS))
+    places = (24, 12, 0)
+    base = sum(o << p for o, p in zip(own, places))
+    keys = [base ^ ((two[s] ^ own[s]) << places[s]) for s in range(3)]
+    for s, t in combinations(range(3), 2):
+        both = ((one[s] ^ own[s]) << places[s])[:, :, None] ^ ((one[t] ^ own[t]) << places[t])[:, None, :]
+        keys.append(base ^ both.reshape(len(fps), -1))
+    keys = np.sort(np.concatenate(keys, axis=1), axis=1)
+    fresh = np.ones(keys.shape, bool)
+    fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
+    return np.nonzero(fresh)[0], keys[fresh]
 
 
 def _emit_keys(batches):
     for batch in batches:
         fps = batch.column("fp").to_numpy(zero_copy_only=False)
-        for at in range(0, len(fps), 4096):
-            part = fps[at: at + 4096]
+        for at in range(0, len(fps), 2048):
+            part = fps[at: at + 2048]
             rows, keys = golay_keys(part)
             yield pa.record_batch({"key": pa.array(keys), "fp": pa.array(part[rows])})
 
 
+def _smallest_linked(fps: np.ndarray, max_bits: int) -> np.ndarray:
+    """For each fingerprint, its place or that of the first one it reaches over links within the key."""
+    close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= max_bits
+    label = np.arange(len(fps))
+    while True:
+        least = np.where(close, label[None, :], len(fps)).min(axis=1)
+        if (least == label).all():
+            return label
+        label = least
+
+
 def _direct_links(max_bits: int):
+    """Compares all fingerprints of a key; what is linked there is tied to its first, not pair by pair."""
     def run(batches):
         for batch in batches:
             left, right = [], []
             for members in batch.column("members").to_pylist():
-                fps = np.array(members, np.int64).view(np.uint64)
-                i, j = np.triu_indices(len(fps), 1)
-                close = np.bitwise_count(fps[i] ^ fps[j]) <= max_bits
-                left.append(fps[i[close]])
-                right.append(fps[j[close]])
+                fps = np.array(sorted(members), np.int64).view(np.uint64)
+                first = _smallest_linked(fps, max_bits)
+                tied = np.nonzero(first != np.arange(len(fps)))[0]
+                left.append(fps[tied])
+                right.append(fps[first[tied]])
             if left:
                 yield pa.record_batch({"a": pa.array(np.concatenate(left).view(np.int64)),
                                        "b": pa.array(np.concatenate(right).view(np.int64))})
@@ -164,17 +197,18 @@ def _emit_ball(radius: int):
 
 
 def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
-    """Links (a, b) that connect exactly the fingerprints within ``max_bits`` bits of each other.
+    """Links (a, b) with the same components as all pairs within ``max_bits`` bits of each other.
 
-    ``max_bits`` is 1 to 4 (the keys are built for four). Sparse keys give the
-    pairs themselves, dense keys links to a shared smallest fingerprint: the
-    components are those of all pairs in either case.
+    ``max_bits`` is 1 to 4 (the keys are built for four). Under sparse keys all
+    pairs are compared and linked ones tied to the first; dense keys tie the
+    fingerprints around a word to the smallest there. Rows stay below the number
+    of fingerprints times keys in either case.
     """
     if not 1 <= max_bits <= MAX_BITS:
         raise ValueError(f"max_bits must be 1 to {MAX_BITS}")
     keys = distinct_fps.mapInArrow(_emit_keys, "key long, fp long")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sized = keys.join(counts, "key")
+    sized = keys.join(counts.hint("merge"), "key")       # sizes before the key step mislead the planner
     direct = (sized.filter(F.col("n") <= direct_limit).groupBy("key").agg(F.collect_list("fp").alias("members"))
               .mapInArrow(_direct_links(max_bits), "a long, b long"))
     crowded = sized.filter(F.col("n") > direct_limit).select("fp").distinct()
@@ -184,7 +218,7 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, direct_limit: int =
     heads = narrow.groupBy("word").agg(F.min("fp").alias("head"))
     if max_bits % 2 == 0:
         heads = narrow.groupBy("word").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    starred = wide.join(heads, "word").filter("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    starred = wide.join(heads.hint("merge"), "word").filter("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
     return direct.union(starred).distinct()
 
 
