@@ -153,11 +153,15 @@ def write_archive(pages: DataFrame, folder: str) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"),
                         F.sha1(payload).alias("digest"))
-    # digests are taken from a scan of their own, so that only they are grouped
-    heads = (rows.filter(F.octet_length("payload") >= REVISIT_BYTES).groupBy(F.col("digest").alias("same"))
-             .agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    keyed = rows.join(heads, rows["digest"] == heads["same"], "left").drop("same").withColumn(
-        "key", url_key(F.col("url"))).withColumn("order_id", F.coalesce("page_id", F.lit(NO_ID)))
+    # which pages revisit which is found on digests alone; few pages do, so Spark can
+    # mostly broadcast them and sorts the payloads in one shuffle
+    digests = rows.filter(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", "digest")
+    heads = (digests.groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
+             .filter("n > 1").drop("n"))
+    revisits, _ = store(digests.join(heads, "digest").filter(~F.col("page_id").eqNullSafe(F.col("response_id")))
+                        .select(F.col("page_id").alias("of"), F.col("digest").alias("same"), "response_id").distinct(), "warc-revisits")
+    keyed = (rows.join(revisits, rows["page_id"].eqNullSafe(revisits["of"]) & (rows["digest"] == revisits["same"]), "left")
+             .drop("of", "same").withColumn("key", url_key(F.col("url"))).withColumn("order_id", F.coalesce("page_id", F.lit(NO_ID))))
 
     def write(batches):
         shard = None
@@ -256,7 +260,9 @@ def look_up(wanted: DataFrame, folder: str, shards: DataFrame) -> DataFrame:
                     ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
     places = wanted.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id")).distinct()
-    ordered = places.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    # rows are few bytes but each reads a record: a fixed number of tasks, not one by the size of the rows
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = places.repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id")
     return ordered.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
