@@ -158,17 +158,22 @@ def repeated_stretches(texts: DataFrame, width: int, sorted_together: int) -> li
     """Tables (doc, first, last) of stretches covered by windows that also start earlier; they may overlap."""
     spark = texts.sparkSession
     every = texts.select("doc", "version", "text").mapInArrow(_runs_of(width), RUNS)
-    again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # both sides of this join are plain tables, so that Spark can split the rows of a hot anchor
+    again, again_path = store(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "anchors")
+    release(spark)
     shared, shared_path = store(every.join(again.hint("merge"), "anchor", "left_semi"), "shared-runs")
-    del every, again
+    drop(spark, again_path)
     release(spark)
 
     place = F.struct("doc", "start")
     contents, contents_path = store(shared.groupBy("anchor", "content").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("number").alias("number"), F.first("at").alias("at")), "contents")
+    release(spark)
     whole, _ = store(shared.join(contents.filter("n > 1").select("anchor", "content", "first").hint("merge"), ["anchor", "content"])
                      .filter(place > F.col("first"))
                      .select("doc", F.col("start").alias("first"), (F.col("start") + F.col("number") + width - 1).alias("last")), "whole")
+    drop(spark, shared_path)
+    release(spark)
     several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     wanted = (contents.join(several.hint("merge"), "anchor").select(
         F.col("first.doc").alias("doc"), F.struct("anchor", (F.col("kinds") > sorted_together).alias("many"), F.col("first.start").alias("start"),
@@ -177,17 +182,17 @@ def repeated_stretches(texts: DataFrame, width: int, sorted_together: int) -> li
     of_doc = wanted.groupBy("doc", "version").agg(F.collect_list("w").alias("wanted"))   # runs of one text
     contexts, contexts_path = store(texts.select("doc", "version", "text").join(of_doc.hint("merge"), ["doc", "version"])
                                     .mapInArrow(_contexts(width), CONTEXTS), "contexts")
-    for path in (shared_path, contents_path):
-        drop(spark, path)
-    del shared, contents, several, wanted, of_doc
+    drop(spark, contents_path)
     release(spark)
 
     few = contexts.filter("not many").drop("many").repartition("anchor").sortWithinPartitions("anchor", "doc", "start")
     sorted_, _ = store(few.mapInArrow(_sorted_stretches(width), STRETCHES), "sorted-stretches")
     digests = contexts.filter("many").select("doc", "start", "context").mapInArrow(_windows_of(width), "key binary, doc long, start long")
-    heads = digests.groupBy("key").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    heads, heads_path = store(digests.groupBy("key").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n"))
+                              .filter("n > 1").drop("n"), "window-heads")
     by_digest, _ = store(digests.join(heads.hint("merge"), "key").filter(place > F.col("head"))
                          .select("doc", F.col("start").alias("first"), (F.col("start") + width).alias("last")), "digest-stretches")
+    drop(spark, heads_path)
     drop(spark, contexts_path)
     release(spark)
     return [whole, sorted_, by_digest]

@@ -13,7 +13,7 @@ import xxhash
 
 from quiver.llm.polyhash import SPREAD, prefixes, stretch
 
-GRAM = 32
+GRAM = 28
 
 
 def anchors(raw: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
