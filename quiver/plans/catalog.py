@@ -7,6 +7,7 @@ searches write their vectors once, and so run jobs, before they return. Column n
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -674,17 +675,33 @@ def q_qrels_files(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def q_embedding_store(spark, sf):
-    """Vectors of both sides stored by split in half precision; the test split read back and searched."""
+def _stored_by_split(spark, sf):
+    """The vectors of both sides, stored by split in half precision; a reader of (side, split) as unit vectors."""
     from quiver.sources import sinks
     base = spark.read.parquet(f"{sf}/embeddings.parquet").select(
         F.col("vec_id").alias("id"), _split_of(F.col("vec_id")).alias("split"), F.col("embedding").cast("array<float>").alias("vector"))
     sides = base.select("id", "split", "vector", F.explode(F.array(F.lit("query"), F.lit("cand"))).alias("side"), F.lit("i").alias("modality"))
     path = scratch_path(spark, "quiver-embeddings")
     sinks.write_embeddings(sides, path, half=True)
-    read = {side: V.with_l2_normalized(sinks.read_embeddings(spark, path, side, "test", ["i"]), "vec") for side in ("query", "cand")}
-    return _hits_out(knn.search_topk(read["query"].select(F.col("id").alias("qid"), F.col("modality").alias("q_mod"), "vec"),
-                                     read["cand"].select(F.col("id").alias("doc_id"), F.col("modality").alias("c_mod"), "vec"), K_SEARCH))
+    return lambda side, split: V.with_l2_normalized(sinks.read_embeddings(spark, path, side, split, ["i"]), "vec")
+
+
+def q_embedding_store(spark, sf):
+    """The test split of the store read back and searched; embedding_store_splits does so for all splits."""
+    read = _stored_by_split(spark, sf)
+    return _hits_out(knn.search_topk(read("query", "test").select(F.col("id").alias("qid"), F.col("modality").alias("q_mod"), "vec"),
+                                     read("cand", "test").select(F.col("id").alias("doc_id"), F.col("modality").alias("c_mod"), "vec"), K_SEARCH))
+
+
+def q_embedding_store_splits(spark, sf):
+    """All splits of the store read back, the queries of each searched against the candidates of all."""
+    read, splits = _stored_by_split(spark, sf), ("train", "validation", "test")
+    pool = reduce(DataFrame.unionByName, [read("cand", s) for s in splits]).select(
+        F.col("id").alias("doc_id"), F.col("modality").alias("c_mod"), "vec")
+    parts = [_hits_out(knn.search_topk(read("query", s).select(F.col("id").alias("qid"), F.col("modality").alias("q_mod"), "vec"),
+                                       pool, K_SEARCH)).withColumn("split", F.lit(s)) for s in splits]
+    return reduce(DataFrame.unionByName, parts)
 
 
-QUERIES.update({"qrels_files": q_qrels_files, "embedding_store": q_embedding_store})
+QUERIES.update({"qrels_files": q_qrels_files, "embedding_store": q_embedding_store,
+                "embedding_store_splits": q_embedding_store_splits})

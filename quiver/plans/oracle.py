@@ -533,3 +533,13 @@ scored AS (SELECT q.id AS qid, 'i' AS q_mod, 'i' AS c_mod, c.id AS doc_id, round
 SELECT qid, q_mod, c_mod, doc_id, score, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored) WHERE rank <= 10""",
 })
+
+SQL.update({
+    "embedding_store_splits": f"""WITH h AS (SELECT vec_id AS id, {_SPLIT} AS split, list_transform({_FP16}, lambda x: x::DOUBLE) AS v FROM embeddings),
+n AS (SELECT id, split, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM h),
+u AS (SELECT id, split, CASE WHEN s > 0 THEN list_transform(v, lambda x: x / s) ELSE v END AS v FROM n),
+scored AS (SELECT q.split, q.id AS qid, 'i' AS q_mod, 'i' AS c_mod, c.id AS doc_id, round(list_dot_product(q.v, c.v), 6) + 0.0 AS score
+           FROM u q CROSS JOIN u c)
+SELECT split, qid, q_mod, c_mod, doc_id, score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored) WHERE rank <= 10""",
+})

@@ -80,3 +80,23 @@ def test_corpus_encoding_and_store(spark, tmp_path):
     assert sorted(r.side for r in st.select("side").distinct().collect()) == ["cand", "query"]
     rep = retrieval.evaluate_corpus(corpus).collect()
     assert len(rep) == 9 and all(r.n == 3 for r in rep)
+
+
+def test_every_stored_split_is_read_back_and_searched(spark):
+    """All rows as queries and as candidates, by brute force over numpy's half precision."""
+    from quiver.plans import catalog
+    from tests.conftest import SF_SMALL
+    rows = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids = np.array([r.vec_id for r in rows])
+    x = np.array([r.embedding for r in rows], np.float32).astype(np.float16).astype(np.float64)
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, norms, out=x, where=norms > 0)
+    scores = np.round(x @ x.T, 6)
+    got = {}
+    for r in catalog.QUERIES["embedding_store_splits"](spark, SF_SMALL).collect():
+        got.setdefault((r.split, r.qid), []).append((r.rank, r.doc_id))
+    for i, qid in enumerate(ids):
+        split = {0: "validation", 1: "test"}.get(qid % 10, "train")
+        best = ids[np.lexsort((ids, -scores[i]))[:10]]
+        assert [d for _, d in sorted(got.pop((split, qid)))] == list(best)
+    assert not got
