@@ -2,12 +2,15 @@
 
 Words become a template: numbers, units after a number and names (capitalised
 words inside a sentence) are replaced by typed placeholders, everything else is
-lower-cased. Windows of five template words are hashed and joined with the
-windows of the benchmark items, so a question whose numbers, names or units were
-changed still meets its original. A document is reported for an item if at least
-0.8 of the item's distinct windows occur in it and the slots agree: along the
-item's best alignment, one slot value of the item must stand for one value of
-the document.
+lower-cased. Windows of five words are hashed and joined with the windows of the
+benchmark items: as they are (lower-cased), and as templates, so a question whose
+numbers, names or units were changed still meets its original. A template says
+something only with enough literal words; a window with too few is widened to
+either side until it has them, and always meets its exact copy. A document is
+reported for an item if at least 0.8 of the item's distinct windows occur in it
+in one of these forms and the slots agree: along the item's best alignment, one
+slot value of the item must stand for one value of the document. Slots need not
+agree where 0.8 of the windows occur word for word.
 
 Documents are not shuffled: their windows meet a broadcast table of benchmark
 windows as long as that has at most BROADCAST_WINDOWS rows; a larger benchmark is
@@ -24,7 +27,8 @@ from quiver.llm.spans import let
 
 WINDOW_WORDS = 5
 LEAST_SHARE = 0.8            # of the item's distinct windows, and of slots that agree
-LEAST_LITERALS = 3           # windows with fewer literal words say nothing and are left out
+LEAST_LITERALS = 3           # templates with fewer literal words say nothing; such windows are widened
+WIDEST = 20                  # words of a widened template, at most; beyond, only the exact copy is met
 BROADCAST_WINDOWS = 500_000  # benchmark windows that are broadcast, at most; each takes about 100 bytes
 
 #: a word, with the mark or line break after it that ends a sentence
@@ -42,7 +46,7 @@ PLAIN_WORD = r"[\p{L}\p{N}]+"
 
 
 def _canonical(words: Column) -> Column:
-    """Words with their closing marks -> structs t (template word) and v (slot value, null for literal words)."""
+    """Words with their closing marks -> structs low (lower-cased), t (template word) and v (slot value, null for literal words)."""
     units = F.array(*map(F.lit, UNITS))
 
     def one(word: Column, i: Column) -> Column:
@@ -54,46 +58,106 @@ def _canonical(words: Column) -> Column:
         # a capital differs from its lower case; words in capitals throughout are no names
         name = (inside & (F.substring(word, 1, 1) != F.substring(low, 1, 1)) & (word != F.upper(word)))
         kind = F.when(number, "<num>").when(unit, "<unit>").when(name, "<name>")
-        return F.struct(F.coalesce(kind, low).alias("t"), F.when(kind.isNotNull(), low).alias("v"))
+        return F.struct(low.alias("low"), F.coalesce(kind, low).alias("t"), F.when(kind.isNotNull(), low).alias("v"))
 
     return F.transform(words, one)
 
 
-def windows(docs: DataFrame, id_column: str) -> DataFrame:
-    """(id, at, hash, slots): a row per window of each text; slots has the values of its placeholders.
+def windows(docs: DataFrame, id_column: str, short: tuple[int, ...] = ()) -> DataFrame:
+    """(id, at, hash, slots, window): the windows of each text, word for word and as templates.
 
-    A text of one to four words is one window. A text that can't hold a
-    placeholder takes a shorter way to the same windows.
+    ``window`` is the hash of the words that a row stands for; where it equals
+    ``hash`` the row is the window word for word, else a template whose
+    placeholders have the values ``slots``. ``at`` is where the hashed words
+    begin. A text of one to four words is one window; ``short`` has the lengths
+    below five of which windows are wanted from longer texts too. A text that
+    can't hold a placeholder takes a shorter way to the same windows.
     """
     k = WINDOW_WORDS
+    row = "struct<at:int,hash:bigint,slots:array<string>,window:bigint>"
+    none = F.expr(f"cast(array() as array<{row}>)")
 
-    row = "struct<at:int,hash:bigint,slots:array<string>>"
+    def part(words: Column, start: Column, width) -> Column:
+        return F.slice(words, start + 1, F.lit(width) if isinstance(width, int) else width)
 
-    def spots(words: Column) -> Column:
-        return F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0)))
+    def spots(words: Column, width: int) -> Column:
+        every = F.sequence(F.lit(0), F.greatest(F.size(words) - width, F.lit(0)))
+        # a text shorter than five words is the one window of its own length
+        return every if width == k else F.when(F.size(words) > width, every).otherwise(F.expr("cast(array() as array<int>)"))
 
-    def with_slots(words: Column) -> Column:
+    def literal(words: Column, width: int) -> Column:
         def one(i: Column) -> Column:
-            parts = [F.get(words, i + j) for j in range(k)]
-            slots = F.filter(F.array(*[p["v"] for p in parts]), lambda v: v.isNotNull())
-            return F.struct(i.alias("at"), F.xxhash64(*[p["t"] for p in parts]).alias("hash"), slots.alias("slots"))
-        return F.filter(F.transform(spots(words), one), lambda w: F.size(w["slots"]) <= k - LEAST_LITERALS)
-
-    def literal(words: Column) -> Column:
-        return F.transform(spots(words), lambda i: F.struct(
-            i.alias("at"), F.xxhash64(*[F.get(words, i + j) for j in range(k)]).alias("hash"),
-            F.expr("cast(array() as array<string>)").alias("slots")))
+            return let(F.xxhash64(part(words, i, width)), lambda h: F.struct(
+                i.alias("at"), h.alias("hash"), F.expr("cast(array() as array<string>)").alias("slots"), h.alias("window")))
+        return F.transform(spots(words, width), one)
+
+    def values(v: Column) -> Column:
+        return F.filter(v, lambda x: x.isNotNull())
+
+    def template(c: Column, at: Column, width: Column, window: Column, end: Column | None = None) -> Column:
+        t = part(c["t"], at, width)
+        return F.struct(at.alias("at"), F.xxhash64(t if end is None else F.concat(t, end)).alias("hash"),
+                        values(part(c["v"], at, width)).alias("slots"), window.alias("window"))
+
+    def enough(v: Column) -> Column:
+        """How many of the first words hold LEAST_LITERALS literal ones; null if all of them do not."""
+        state = F.aggregate(v, F.struct(F.lit(0).alias("n"), F.lit(0).alias("seen")), lambda s, x: F.struct(
+            (s["n"] + (s["seen"] < LEAST_LITERALS).cast("int")).alias("n"), (s["seen"] + x.isNull().cast("int")).alias("seen")))
+        return F.when(state["seen"] >= LEAST_LITERALS, state["n"])
+
+    def templates(c: Column, width: int) -> Column:
+        """Of windows with placeholders: the template, or if that says nothing those of the widened windows."""
+        def one(i: Column) -> Column:
+            v = part(c["v"], i, width)
+            window = F.xxhash64(part(c["low"], i, width))
+            n_literal = F.size(F.filter(v, lambda x: x.isNull()))
+            size = F.size(c["v"])
+            if width < k:
+                return F.when(n_literal >= LEAST_LITERALS, F.array(template(c, i, F.lit(width), window))).otherwise(none)
+
+            def widened(_: Column) -> Column:
+                end = F.least(i + k, size)
+                first = F.greatest(end - WIDEST, F.lit(0))
+                right, left = enough(part(c["v"], i, WIDEST)), enough(F.reverse(part(c["v"], first, end - first)))
+                return F.concat(let(right, lambda n: F.when(n.isNotNull(), F.array(template(c, i, n, window))).otherwise(none)),
+                                let(left, lambda n: F.when(n.isNotNull(), F.array(template(c, end - n, n, window))).otherwise(none)))
+            rich = F.when(size >= k, let(i, widened)).otherwise(none)
+            # short texts as a whole meet each other's templates as long as these have at most two placeholders
+            whole = F.when((size < k) & (F.size(v) - n_literal <= k - LEAST_LITERALS), F.array(
+                template(c, i, F.lit(k), window, F.array(F.lit("<whole>"))))).otherwise(none)
+            return F.concat(F.when(n_literal >= LEAST_LITERALS, F.array(template(c, i, F.lit(k), window))).otherwise(rich), whole)
+
+        filled = F.filter(spots(c["v"], width), lambda i: F.exists(part(c["v"], i, width), lambda x: x.isNotNull()))
+        return F.flatten(F.transform(filled, one))
+
+    def plain_rows(words: Column) -> Column:
+        return F.concat(*[literal(words, w) for w in (k, *short)])
+
+    def filled_rows(words: Column) -> Column:
+        def both(c: Column) -> Column:
+            return F.concat(plain_rows(c["low"]), *[templates(c, w) for w in (k, *short)])
+        return let(_canonical(words), lambda w: let(F.struct(
+            F.transform(w, lambda x: x["low"]).alias("low"), F.transform(w, lambda x: x["t"]).alias("t"),
+            F.transform(w, lambda x: x["v"]).alias("v")), both))
 
     def if_any(words: Column, build) -> Column:
-        return let(words, lambda w: F.when(F.size(w) > 0, build(w)).otherwise(F.expr(f"cast(array() as array<{row}>)")))
+        return let(words, lambda w: F.when(F.size(w) > 0, build(w)).otherwise(none))
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    filled = if_any(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: let(_canonical(w), with_slots))
-    plain = if_any(F.regexp_extract_all(F.lower(text), F.lit(PLAIN_WORD), F.lit(0)), literal)
+    filled = if_any(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), filled_rows)
+    plain = if_any(F.regexp_extract_all(F.lower(text), F.lit(PLAIN_WORD), F.lit(0)), plain_rows)
     found = F.when(F.regexp_like(text, F.lit(PERHAPS_FILLED)), filled).otherwise(plain)
     return docs.select(F.col(id_column).cast("long").alias("id"), F.explode(found).alias("w")).select("id", "w.*")
 
 
+def _short_lengths(benchmark: DataFrame) -> tuple[int, ...]:
+    """The numbers of words below WINDOW_WORDS that items have (at most four)."""
+    n = F.size(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0)))
+    found = benchmark.filter("item_id is not null").select(n.alias("n")).filter(
+        F.col("n").between(1, WINDOW_WORDS - 1)).distinct().collect()
+    return tuple(sorted(r["n"] for r in found))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, share, n_slots, slot_share), one row per reported pair.
 
@@ -103,18 +167,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     gives no rows.
     """
     items, _ = store(windows(benchmark.filter("item_id is not null"), "item_id").select(
-        F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")).distinct(),
+        F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "window").distinct(),
         "benchmark-windows")
     small = items.count() <= BROADCAST_WINDOWS
-    asked = windows(docs.filter("doc_id is not null"), "doc_id").withColumnRenamed("id", "doc_id")
+    asked = windows(docs.filter("doc_id is not null"), "doc_id", _short_lengths(benchmark)).drop("window").withColumnRenamed("id", "doc_id")
     hits, _ = store(asked.join(F.broadcast(items) if small else items, "hash"), "window-hits")
-    sizes = items.groupBy("item_id").agg(F.countDistinct("hash").alias("item_windows"))
-    shares = (hits.select("doc_id", "item_id", "hash").distinct().groupBy("doc_id", "item_id")
-              .agg(F.count(F.lit(1)).alias("n_windows")).join(sizes, "item_id")
-              .withColumn("share", F.col("n_windows") / F.col("item_windows")).filter(F.col("share") >= LEAST_SHARE))
-    return shares.join(_slot_shares(hits, shares), ["doc_id", "item_id"], "left").select(
-        "doc_id", "item_id", "n_windows", "item_windows", "share", F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
-        F.coalesce("slot_share", F.lit(1.0)).alias("slot_share")).filter(F.col("slot_share") >= LEAST_SHARE)
+    sizes = items.groupBy("item_id").agg(F.countDistinct("window").alias("item_windows"))
+    shares = (hits.groupBy("doc_id", "item_id", "window").agg(F.max((F.col("hash") == F.col("window")).cast("int")).alias("literal"))
+              .groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("literal").alias("n_literal"))
+              .join(sizes, "item_id").withColumn("share", F.col("n_windows") / F.col("item_windows"))
+              .filter(F.col("share") >= LEAST_SHARE))
+    return (shares.join(_slot_shares(hits, shares), ["doc_id", "item_id"], "left")
+            .filter((F.coalesce("slot_share", F.lit(1.0)) >= LEAST_SHARE) | (F.col("n_literal") >= LEAST_SHARE * F.col("item_windows")))
+            .select("doc_id", "item_id", "n_windows", "item_windows", "share", F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
+                    F.coalesce("slot_share", F.lit(1.0)).alias("slot_share")))
 
 
 def _slot_shares(hits: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -200,6 +200,28 @@ def test_both_ways_of_joining_agree(spark, monkeypatch):
     assert sorted(map(tuple, decontam.contaminated(docs, items).collect())) == broadcast
 
 
+def _reported(spark, texts, items):
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontam.contaminated(table, benchmark).collect()}
+
+
+def test_items_dense_with_placeholders_and_short_items(spark):
+    sums, names = "3 + 4 = 7, 5 + 6 = 11, 8 + 9 = 17", "Who met Anna Berta Carl Dora Emil Frida Gustav Hans in Rome and Oslo and Bonn"
+    plain = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    items = [sums, names, plain, "never odd or even", "zyzzyva"]
+    texts = ["so it is said that " + sums + " and no more", "here: " + names + " said they", "this is " + plain.title() + " again",
+             "it was never odd or even he said", "what a zyzzyva is that", "1 2 3 4 5 6 7 8 9 10", "never even or odd",
+             "here: " + names.replace("Berta", "Bella").replace("Hans", "Hugo") + " said they"]
+    assert _reported(spark, texts, items) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (7, 1)}
+
+
+def test_share_is_of_all_windows(spark):
+    """The few windows with enough literal words do not stand for the whole item."""
+    item = "12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 are what we call"
+    assert _reported(spark, ["those 26 are what we call", "see " + item], [item]) == {(1, 0)}
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages_keep_columns_and_shrink(spark):
