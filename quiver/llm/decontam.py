@@ -39,9 +39,10 @@ UNITS = ("mg g kg t ml cl l mm cm m km inch inches foot feet yard yards mile mil
          "cent cents dollar dollars euro euros percent degrees celsius watt watts volt volts").split()
 
 
-#: what a text without any placeholder lacks: a digit, a capital inside a sentence; and the one capital whose
-#: lower case is two characters
-PERHAPS_FILLED = r"\p{N}|[\p{L}\p{N},;)\"'-] *\p{Lu}|\u0130"
+#: what a text without any placeholder lacks: a digit, a capital that begins a word after another word without a
+#: closing mark, whatever stands between them; and the capitals whose lower case is two characters or goes by what
+#: stands around them
+PERHAPS_FILLED = r"\p{N}|[\p{L}\p{N}][^\p{L}\p{N}.!?:\n][^\p{L}\p{N}]*+[\p{Lu}\p{Lt}]|[İΣ]"
 PLAIN_WORD = r"[\p{L}\p{N}]+"
 
 

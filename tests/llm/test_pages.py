@@ -222,6 +222,23 @@ def test_share_is_of_all_windows(spark):
     assert _reported(spark, ["those 26 are what we call", "see " + item], [item]) == {(1, 0)}
 
 
+def test_the_shorter_way_gives_the_same_windows(spark, monkeypatch):
+    """Whatever stands between a word and a capital after it, and whether or not a digit stands anywhere."""
+    between = [" (", " [", " \u201c", "\u2014", "/", "\t", " \u00ab", "\u00a0", ", '", ". ", "! ", '" ', " .", "\n", " \n", "\u0301 "]
+    texts = [f"we all went to the{b}Bar {w} and sat there until late" for b in between for w in ("house", "\u0391\u03a3.\u0392")]
+    texts += ["USA won it all and so did I", "\u01c5eljo met \u01c5eljo at the old house", "one (Bar", "\u0130stanbul is where we went then"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    short = sorted(map(str, decontam.windows(table, "doc_id").collect()))
+    monkeypatch.setattr(decontam, "PERHAPS_FILLED", "")
+    assert short == sorted(map(str, decontam.windows(table, "doc_id").collect()))
+
+
+def test_a_digit_elsewhere_does_not_hide_a_copy(spark):
+    item = "we all met in the old (Bar) by the sea and went on to the house (Inn) near the wood"
+    other = item.replace("Bar", "Pub").replace("Inn", "Spa")
+    assert _reported(spark, ["in 1999 " + item, "they say " + other, "in 1999 " + other], [item]) == {(0, 0), (1, 0), (2, 0)}
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages_keep_columns_and_shrink(spark):
