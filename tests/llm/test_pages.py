@@ -32,6 +32,22 @@ def test_blocks_of_broken_markup():
     assert blocks("") == [] and blocks("<p></p><!-- open") == [] and [b.text for b in blocks("plain")] == ["plain"]
 
 
+def test_blocks_after_hidden_elements_that_stay_open():
+    def texts(html):
+        return [b.text for b in blocks(html)]
+    for head in ("<head><title>no</title><body>", "<head><meta charset=x><noscript><p>no</noscript>", "<head><title>no</title>"):
+        assert texts("<html>" + head + "<article><p>one<p>two</article>") == ["one", "two"]
+    assert texts("<head><title>no</title>plain words<p>two") == ["plain words", "two"]
+    for odd in ("<select><option>no", "<svg><path d=x>", "<template>", "<svg><g>", "<head><title>no</title>", "<object>", "<math>"):
+        assert texts(f"<div><p>one</p>{odd}<p>two</p><p>three</p></div><p>four")[-4:] == ["one", "two", "three", "four"]
+        assert texts(f"<p>one</p>{odd}<p>two</p><template>no</template><svg><text>no</text></svg><p>three")[-3:] == ["one", "two", "three"]
+    assert texts("<p>one</p><select><option>no<p>two</p><select><option>no</select><p>three")[-1] == "three"
+    assert "two" in texts("<p>one</p><select><option>no<p>two</p>")
+    assert texts("<template><div>no</div></template><svg><foreignObject><div>no</div></foreignObject></svg><select><option>no</select>yes") == ["yes"]
+    assert texts("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be") == ["let x=2 be"]
+    assert texts("<article><object data=x><p>instead</object><noscript><p>shown <b>too</b></noscript></article>") == ["instead", "shown too"]
+
+
 def test_extraction_of_pages_that_mark_their_article(pages):
     got = {r.page_id: r for r in html_crf.extract(pages).collect()}
     assert len(got) == pages.count()
