@@ -8,8 +8,10 @@ candidate strings are unbroken runs of key characters, at least WINDOW long. A
 window of WINDOW characters slides over each; the counts of its characters are
 updated by the character that enters and the one that leaves, and with them the
 sum of n log2 n, which gives the window's Shannon entropy without a second look
-at the window. Each character class has its own threshold. The allow-list
-suppresses what is random-looking but known to be harmless.
+at the window. Each character class has its own thresholds, higher ones for
+strings with fewer digits or changes of case. The allow-list suppresses what is
+random-looking but known to be harmless: whole strings of some forms, and the
+windows that touch a harmless stretch; the other windows are judged.
 """
 
 from __future__ import annotations
@@ -34,30 +36,48 @@ HEX = r"[0-9a-f]{24,}+"                              # a whole run of 24 or more
 WINDOW = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-="
-#: class of a candidate -> (what all of it matches, what it must hold, least entropy in bits of some window)
+#: class of a candidate -> (what all of it matches, [(what it must hold so many times, least entropy in bits of some window)])
 CLASSES = [
-    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", r"[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]", 2.8),
-    ("lower", r"^[0-9a-z_=-]+$", r"[0-9].*[a-z].*[0-9].*[a-z].*[0-9]", 3.5),
-    ("upper", r"^[0-9A-Z_=-]+$", r"[0-9].*[A-Z].*[0-9].*[A-Z].*[0-9]", 3.5),
-    ("mixed", r"^.+$", r"(?=.*[0-9].*[0-9])(?=.*[A-Z].*[A-Z])(?=.*[a-z].*[a-z])", 3.6),
+    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", [({r"[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]": 1}, 2.8)]),
+    ("lower", r"^[0-9a-z_=-]+$", [({r"[0-9].*[a-z].*[0-9].*[a-z].*[0-9]": 1}, 3.5), ({r"[0-9](?=[a-z])": 1, r"[a-z](?=[0-9])": 1, r"[_-]": 0}, 3.8)]),
+    ("upper", r"^[0-9A-Z_=-]+$", [({r"[0-9].*[A-Z].*[0-9].*[A-Z].*[0-9]": 1}, 3.5), ({r"[0-9](?=[A-Z])": 1, r"[A-Z](?=[0-9])": 1, r"[_-]": 0}, 3.8)]),
+    ("mixed", r"^.+$", [({r"(?=.*[0-9].*[0-9])(?=.*[A-Z].*[A-Z])(?=.*[a-z].*[a-z])": 1}, 3.6),
+                        ({r"[0-9]": 1, r"[A-Z]": 1, r"[a-z]": 1, r"[a-z](?=[A-Z0-9])|[0-9](?=[a-z])": 3}, 3.7),
+                        ({r"[a-z](?=[A-Z])": 3, r"[A-Z](?=[A-Z])": 1}, 3.7)]),
 ]
-#: harmless strings: identifiers of a public form, placeholders, counted-up or repeated characters, paths
-ALLOWED = (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-           r"|(?i:example|sample|dummy|placeholder|changeme|redacted|lorem)"
-           r"|(.)\1{5}|0123456|1234567|(?i:abcdefg)"
-           r"|^/?(?:[A-Za-z_-]{2,}[0-9]{0,4}/)*[A-Za-z_-]+[0-9]{0,4}/?$")
+
+
+def _run(characters: str, least: int) -> str:
+    """A pattern of the first ``least`` characters and as many of the others as follow."""
+    return characters[:least] + "".join(f"(?:{c}" for c in characters[least:]) + ")?" * (len(characters) - least)
+
+
+#: harmless as a whole: identifiers of a public form; paths, unless their letters change case like those of a key
+ALLOWED = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+ALLOWED_PATH = r"^/?(?:[A-Za-z_-]{2,}[0-9]{0,4}/)*[A-Za-z_-]+[0-9]{0,4}/?$"
+KEY_LIKE = (r"[a-z](?=[A-Z])", 3), (r"[A-Z](?=[A-Z])", 1)
+#: harmless stretches, whose windows are not judged: placeholders, repeated or counted-up characters
+ALLOWED_STRETCH = (r"(.)\1{5,}|(?i:(?:example|sample|dummy|placeholder|changeme|redacted|lorem)[_-]?(?:key|token|secret|password|value|id)?)"
+                   rf"|{_run('0123456789', 7)}|{_run('1234567890', 7)}|(?i:{_run('abcdefghijklmnopqrstuvwxyz', 7)})")
 #: words just before a string that say it is a checksum or a revision
 ALLOWED_BEFORE = r"(?i:sha-?1|sha-?256|sha-?384|sha-?512|md5|checksum|digest|commit|revision|integrity)\W{0,3}$"
 
 
-def window_entropy(text: Column) -> Column:
-    """The largest Shannon entropy (bits a character) of any WINDOW characters of ``text``; shorter: 0."""
+def window_entropy(text: Column, spared: Column | None = None) -> Column:
+    """The largest Shannon entropy (bits a character) of any WINDOW characters of ``text``; shorter: 0.
+
+    Windows that share a character with one of the spans ``spared`` do not count.
+    """
+    def counts_at(i: Column) -> Column:
+        full = i >= WINDOW - 1
+        return full if spared is None else full & ~F.exists(spared, lambda s: (s["start"] <= i) & (s["end"] > i - (WINDOW - 1)))
+
     gain = F.array(*[F.lit(0.0 if n < 2 else n * math.log2(n)) for n in range(WINDOW + 2)])
     characters = F.filter(F.split(text, ""), lambda c: c != "")
     codes = F.transform(characters, lambda c: F.position(c, F.lit(ALPHABET)))
     pairs = spans.let(codes, lambda all_: F.transform(all_, lambda c, i: F.struct(
         c.alias("enters"), F.when(i >= WINDOW, F.get(all_, i - WINDOW)).otherwise(-1).alias("leaves"),
-        (i >= WINDOW - 1).alias("full"))))
+        counts_at(i).alias("full"))))
 
     def step(state: Column, pair: Column) -> Column:
         enters, leaves = pair["enters"], pair["leaves"]
@@ -77,13 +97,33 @@ def window_entropy(text: Column) -> Column:
     return F.aggregate(pairs, first, step, lambda s: s["best"])
 
 
+def _holds(match: Column, what: dict[str, int]) -> Column:
+    """Every pattern occurs at least so many times; not at all for 0."""
+    found = F.lit(True)
+    for pattern, least in what.items():
+        if least == 1:
+            found = found & F.regexp_like(match, F.lit(pattern))
+        elif least == 0:
+            found = found & ~F.regexp_like(match, F.lit(pattern))
+        else:
+            found = found & (F.regexp_count(match, F.lit(pattern)) >= least)
+    return found
+
+
 def _is_random(match: Column) -> Column:
-    entropy = window_entropy(match)
-    kinds = F.lit(False)
-    for _, whole, holds, least in reversed(CLASSES):
-        kinds = F.when(F.regexp_like(match, F.lit(whole)),
-                       F.regexp_like(match, F.lit(holds)) & (entropy >= least)).otherwise(kinds)
-    return kinds
+    least = F.lit(None).cast("double")              # the lowest threshold whose conditions hold; null: none
+    for _, whole, tiers in reversed(CLASSES):
+        of_class = F.lit(None).cast("double")
+        for what, entropy in reversed(tiers):
+            of_class = F.when(_holds(match, what), entropy).otherwise(of_class)
+        least = F.when(F.regexp_like(match, F.lit(whole)), of_class).otherwise(least)
+    judged = spans.let(spans.find_all(match, ALLOWED_STRETCH, 0), lambda spared: window_entropy(match, spared))
+    return spans.let(least, lambda t: F.when(t.isNotNull(), judged >= t).otherwise(False))
+
+
+def _allowed(match: Column) -> Column:
+    key_like = _holds(match, dict(KEY_LIKE)) & ~F.contains(match, F.lit("/"))
+    return F.regexp_like(match, F.lit(ALLOWED)) | F.regexp_like(match, F.lit(ALLOWED_PATH)) & ~key_like
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
@@ -94,7 +134,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     access, hexes = spans.find_all(text, ACCESS, 1, ("AKIA",)), spans.find_all(text, HEX, 2)
     found = docs.withColumn("_base", F.concat(assign, access, hexes))
     found = found.withColumn("_long", spans.find_all(text, CANDIDATE, 3))
-    added = F.filter("_long", lambda s: ~spans.overlaps(s, F.col("_base")) & ~F.regexp_like(s["match"], F.lit(ALLOWED))
+    added = F.filter("_long", lambda s: ~spans.overlaps(s, F.col("_base")) & ~_allowed(s["match"])
                      & ~F.regexp_like(F.substring(text, F.greatest(s["start"] - 15, F.lit(1)),
                                                   F.least(s["start"], F.lit(16))), F.lit(ALLOWED_BEFORE))
                      & _is_random(s["match"]))

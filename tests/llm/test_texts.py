@@ -282,6 +282,25 @@ def test_entropy_adds_random_strings_and_spares_harmless_ones(spark):
     assert got[0] == "entropy:4:28" and not any(got[d] for d in range(1, 7))
 
 
+def test_entropy_judges_each_window(spark):
+    """A harmless stretch spares its windows, not the whole string; few digits do not spare a random one."""
+    texts = ["b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZWQyNTUxOQ", "in sample/Zx9Kq2Lw8Rt5Yu1Pn7Vb3Mc6",
+             "Zx9KqLwHRtsYuDPnGVbW", "a QwZxKqLwHRtsYuDPnGVb b", "qz9xkvwhrtjyubpngc4m", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+             "getElementsByClassName", "internationalization_module", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAAA0b", "top-10-best-places-to-visit"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(table).collect()}
+    assert all(got[d].startswith("entropy:") for d in range(5)) and not any(got[d] for d in range(5, 10))
+
+
+def test_few_random_keys_are_missed(spark):
+    import string
+    draw = np.random.default_rng(7)
+    keys = ["".join(draw.choice(list(string.ascii_letters + string.digits), 20)) for _ in range(500)]
+    table = spark.createDataFrame(list(enumerate(keys)), "doc_id long, text string")
+    missed = sum(not r.spans for r in secrets.scan(table).collect())
+    assert missed <= 0.04 * len(keys)
+
+
 def test_window_entropy_is_the_largest_of_all_windows(spark):
     from math import log2
     draw = np.random.default_rng(4)
