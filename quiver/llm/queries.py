@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.llm import decontam, html_crf, minhash, oracle, packing, pii, quality, secrets, simhash, suffix_dedup, url_filter, warc
+from quiver.llm import decontam, html_crf, minhash, oracle, packing, pii, quality, resample, secrets, simhash, suffix_dedup, url_filter, warc
 from quiver.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template_decontamination": op1_template_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_capture_index": op9_warc_capture_index,
     "op10_secret_scan": op10_secret_scan,
     "op11_url_filter": op11_url_filter,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 #: DuckDB SQL where it can express the query; the others are tested against brute force.
