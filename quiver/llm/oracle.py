@@ -56,4 +56,26 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT)
        CAST(CASE WHEN place <= wanted THEN place END AS BIGINT) AS rank FROM drawn
 """
 
-SQL = {"op9_warc_capture_index": OP9, "op12_importance_resampling": OP12}
+OP13 = f"""
+WITH {CRC_TABLE},
+turns AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, list(sha256(length(role) || ':' || role || text) ORDER BY turn NULLS FIRST) AS d,
+                 list(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) ORDER BY turn NULLS FIRST) AS w FROM turns GROUP BY c),
+taken AS (SELECT v.*, {_crc32('v.c::VARCHAR')} % 4 AS h, b.d AS bd, b.w AS bw FROM crc_table, convs v LEFT JOIN convs b ON b.c = v.c - v.c % 20),
+rebuilt AS (SELECT c, list_concat(coalesce(list_slice(bd, 1, h), []), list_slice(d, h + 1, len(d))) AS d,
+                   list_concat(coalesce(list_slice(bw, 1, h), []), list_slice(w, h + 1, len(w))) AS w FROM taken),
+prefixes AS (SELECT c, depth, len(d) AS n, sha256(depth || ':' || array_to_string(list_slice(d, 1, depth), ',')) AS key, coalesce(w[depth], 0) AS words
+             FROM (SELECT *, unnest(range(len(d) + 1)) AS depth FROM rebuilt)),
+linked AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY depth) AS up FROM prefixes),
+nodes AS (SELECT key, depth, min(c) AS rep, count(*) AS n_convs, any_value(up) AS up, any_value(words) AS words,
+                 string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE depth = n) AS ends FROM linked GROUP BY key, depth),
+families AS (SELECT up, count(*) AS n_children FROM nodes GROUP BY up),
+valued AS (SELECT n.*, p.rep AS parent, coalesce(f.n_children, 0) AS n_children FROM nodes n LEFT JOIN nodes p ON p.key = n.up LEFT JOIN families f ON f.up = n.key),
+sums AS (SELECT a.key, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.words) AS saved
+         FROM valued v JOIN prefixes a ON a.c = v.rep AND a.depth <= v.depth GROUP BY a.key)
+SELECT rep AS conv_id, CAST(depth AS BIGINT) AS depth, parent AS parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM valued JOIN sums USING (key)
+"""
+
+SQL = {"op9_warc_capture_index": OP9, "op12_importance_resampling": OP12, "op13_conversation_trie": OP13}

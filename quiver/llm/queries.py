@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiver.llm import decontam, html_crf, minhash, oracle, packing, pii, quality, resample, secrets, simhash, suffix_dedup, url_filter, warc
+from quiver.llm import decontam, html_crf, minhash, oracle, packing, pii, prefix_trie, quality, resample, secrets, simhash, suffix_dedup, url_filter, warc
 from quiver.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_template_decontamination": op1_template_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_url_filter": op11_url_filter,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 #: DuckDB SQL where it can express the query; the others are tested against brute force.
