@@ -8,8 +8,8 @@ Physical design (no cross join, no all-pairs rows):
   (numpy BLAS, tiled so one score tile stays small) and keeps only a running
   top-k per query. Only those rows leave the task.
 * If it does not fit, nothing goes through the driver: query blocks and pool
-  shards meet in a co-group on (block, shard), each group bounded on both sides,
-  running the same kernel (``run_blocked``).
+  shards are stored once and meet in pairs, each bounded on both sides, running
+  the same kernel (``run_blocked``, ``tiles``).
 * A ``row_number`` window merges the per-task lists; for k <= the window group
   limit threshold Spark adds a partial WindowGroupLimit before the shuffle.
 * Evaluation does not need the hit list at all: the rank of the first relevant
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiver.functions import vectors as V
+from quiver.operators import tiles
 from quiver.session import materialize, spread
 
 # Fixed values.
@@ -70,9 +71,12 @@ def _row_chunks(n_rows: int, n_cols: int):
 
 
 def topk_merge(Q: np.ndarray, qids: np.ndarray, C: np.ndarray, docs: np.ndarray, k: int, metric: str,
-               exclude_self: bool, acc=None, docs_sorted: bool = False):
+               exclude_self: bool, acc=None, docs_sorted: bool = False, key=None):
     """Merge a candidate block into a running top-k per query row.
 
+    ``key`` (first row, last row -> sort keys) takes the place of ``C`` where
+    candidates aren't vectors.
+
     ``acc`` is dense: (keys n x k, docs n x k), padded with +inf / INT64_MAX. Each
     score tile contributes its exact (key, doc) top-k -- every key below the k-th,
     then the lowest-doc ties at the k-th (columns are put in doc order) -- and
@@ -89,7 +93,7 @@ def topk_merge(Q: np.ndarray, qids: np.ndarray, C: np.ndarray, docs: np.ndarray,
         C, docs = C[perm], docs[perm]
     nc = len(docs)
     for s, e in _row_chunks(n, nc):
-        K = _keys(Q[s:e], C, metric)
+        K = _keys(Q[s:e], C, metric) if key is None else key(s, e)
         if exclude_self:
             K[qids[s:e, None] == docs[None, :]] = np.inf
         if nc > k:
@@ -149,38 +153,29 @@ def _ensure_group_limit(spark: SparkSession, k: int) -> None:
 
 DEFAULT_SHARD_BYTES = 128 << 20     # pool bytes per shard when neither side can be broadcast
 
-_PD_TYPES = {"long": "int64", "int": "int32", "double": "float64", "string": "object"}
-
-
-def _empty_frame(schema: str) -> pd.DataFrame:
-    cols = [c.strip().split(" ") for c in schema.split(",")]
-    return pd.DataFrame({n: pd.Series([], dtype=_PD_TYPES[t]) for n, t in cols})
-
 
 def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payload_fn, kernel,
                 schema: str, block_bytes: int = DEFAULT_BLOCK_BYTES, min_blocks: int = 1,
-                shard_bytes: int = DEFAULT_SHARD_BYTES, queries_written: bool = False,
-                extra_row_bytes: int = 0) -> DataFrame:
+                shard_bytes: int = DEFAULT_SHARD_BYTES, extra_row_bytes: int = 0) -> DataFrame:
     """Run ``kernel(payload_fn(query_block), pool_batches)`` over every (query, pool) pair of blocks.
 
     * One block (its size checked first): the block is broadcast and the pool is
       scanned once by ``mapInPandas`` -- no shuffle of the pool.
     * Queries over the budget but a pool within it: the pool is broadcast and the
       queries are scanned; each task holds the whole pool, so results are final.
-    * Neither side within the budget: nothing goes through the driver. Query rows
-      get a block number and pool rows a shard number (hashes); each side is replicated to
-      the partners it must meet (``explode(sequence(..))``) and a co-group on
-      (block, shard) hands each task one bounded query block and one bounded
-      pool shard. Results are partial per shard and are merged by the caller
-      (window top-k, min, sum), exactly as across pool partitions.
+    * Neither side within the budget: nothing goes through the driver. Both sides
+      are stored in tiles, and tasks read the pairs of one query block and a run
+      of pool shards by path (``tiles.meet``), so no row is copied per partner.
+      Results are partial per run and are merged by the caller (window top-k,
+      min, sum), exactly as across pool partitions.
     """
     spark = queries.sparkSession
-    _, n_blocks = _block_count(queries, "vec", block_bytes, extra_row_bytes)
+    n, n_blocks = _block_count(queries, "vec", block_bytes, extra_row_bytes)
     n_blocks = max(n_blocks, min_blocks)
     if n_blocks <= 1:
         bc = spark.sparkContext.broadcast(payload_fn(queries.toPandas()))
         return pool.mapInPandas(lambda it: kernel(bc.value, it), schema)
-    _, n_pool_blocks = _block_count(pool, "vec", block_bytes)
+    n_pool, n_pool_blocks = _block_count(pool, "vec", block_bytes)
     if n_pool_blocks <= 1 and min_blocks <= 1:
         # many queries, small pool: broadcast the pool (its size checked) and scan the
         # queries; every task sees the whole pool, so its results are already final
@@ -191,21 +186,10 @@ def run_blocked(queries: DataFrame, pool: DataFrame, query_keys: list[str], payl
                 if len(qpdf):
                     yield from kernel(payload_fn(qpdf), iter([bc.value]))
         return spread(queries).mapInPandas(scan_queries, schema)
-    q = queries if queries_written else materialize(queries)
-    _, n_shards = _block_count(pool, "vec", shard_bytes)
-    qb = (q.withColumn("_qb", F.pmod(F.xxhash64(*query_keys), F.lit(n_blocks)).cast("int"))
-           .withColumn("_ps", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))))
-    pb = (pool.withColumn("_ps", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
-              .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    empty = _empty_frame(schema)
-
-    def tile(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or pdf.empty:
-            return empty
-        out = list(kernel(payload_fn(qdf), iter([pdf])))
-        return pd.concat(out, ignore_index=True) if out else empty
-
-    return qb.groupBy("_qb", "_ps").cogroup(pb.groupBy("_qb", "_ps")).applyInPandas(tile, schema)
+    n_shards = max(1, math.ceil(n_pool_blocks * block_bytes / shard_bytes))
+    blocks = tiles.tiled(queries, "query-blocks", max(1, -(-n // n_blocks)), query_keys)
+    shards = tiles.tiled(pool, "pool-shards", max(1, -(-n_pool // n_shards)), ["doc_id"])
+    return tiles.meet(blocks, shards, payload_fn, kernel, schema)
 
 
 # ---- repeated query ids ----------------------------------------------------------
@@ -280,8 +264,8 @@ def search_topk(queries: DataFrame, pool: DataFrame, k: int, metric: str = "ip",
     returns: (qid, q_mod, c_mod, doc_id, score, rank) with rank 1..k; a pool
     smaller than k gives fewer rows; ``exclude_self`` drops doc_id == qid.
     Vectors are searched as given (normalise first for cosine). The strategy
-    (broadcast queries, broadcast pool, or co-group of query blocks and pool
-    shards) follows the byte budget; ``min_blocks`` > 1 forces the co-group.
+    (broadcast queries, broadcast pool, or stored query blocks and pool shards)
+    follows the byte budget; ``min_blocks`` > 1 forces the last.
     """
     _check_metric(metric)
     if k < 1:
@@ -437,8 +421,7 @@ def best_relevant_by_judgments(queries: DataFrame, pool: DataFrame, judgments: D
 
 
 def count_before_joined(tq: DataFrame, pool: DataFrame, metric: str = "ip", exclude_self: bool = False,
-                        block_bytes: int = DEFAULT_BLOCK_BYTES, min_blocks: int = 1,
-                        tq_written: bool = False) -> DataFrame:
+                        block_bytes: int = DEFAULT_BLOCK_BYTES, min_blocks: int = 1) -> DataFrame:
     """Pass B on thresholds that already carry their query vectors (qid, q_mod, c_mod,
     best_key, best_doc, vec): candidates ordered before the threshold, per (query, cell)."""
     _check_metric(metric)
@@ -449,7 +432,7 @@ def count_before_joined(tq: DataFrame, pool: DataFrame, metric: str = "ip", excl
                        g["best_key"].to_numpy(np.float64), g["best_doc"].to_numpy(np.int64))
                 for cell, g in block.groupby(["q_mod", "c_mod"], sort=False)}
     parts = run_blocked(tq, p, ["qid", "q_mod", "c_mod"], payload, _count_before_kernel(metric, exclude_self),
-                        CNT_SCHEMA, block_bytes, min_blocks, queries_written=tq_written)
+                        CNT_SCHEMA, block_bytes, min_blocks)
     return parts.groupBy("qid", "q_mod", "c_mod").agg(F.sum("n_before").alias("n_before"))
 
 
@@ -484,7 +467,7 @@ def first_relevant_rank(queries: DataFrame, pool: DataFrame, judgments: DataFram
     # thresholds with their query vectors, written once: read by the size check, the
     # block collect (or the co-group) and, without the vectors, by the final join
     tq = materialize(thr.join(queries.select("qid", "q_mod", V.as_double("vec").alias("vec")), ["qid", "q_mod"]))
-    cnt = count_before_joined(tq, pool, metric, exclude_self, block_bytes, min_blocks, tq_written=True)
+    cnt = count_before_joined(tq, pool, metric, exclude_self, block_bytes, min_blocks)
     ranked = tq.select("qid", "q_mod", "c_mod").join(cnt, ["qid", "q_mod", "c_mod"], "left").select(
         "qid", "q_mod", "c_mod", (F.coalesce("n_before", F.lit(0)) + 1).alias("first_rank"))
     c_mods = modalities_of(pool, "c_mod")

@@ -3,19 +3,22 @@
 A pair is (query item, positive candidate item) built from one corpus record
 with a query modality and a target modality drawn independently from a seeded
 hash (reruns agree, unlike a global RNG). Batches are cut by a global position
-made of counts per range of the draw, so no single task sorts the table. Contrastive scores are an equi-join on the batch id:
-a batch has at most ``batch_size`` rows, so each join group is bounded.
+made of counts per range of the draw, so no single task sorts the table. Contrastive
+scores are matrix products of tiles of queries and positives of a batch or step.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.functions import text as T
 from quiver.functions import vectors as V
+from quiver.operators import tiles
 
 # Training query modes in draw order.
 TRAIN_MODES = ["img_txt", "img_only", "txt_only"]
@@ -102,8 +105,68 @@ def pair_flatten(pairs: DataFrame) -> DataFrame:
         T.binary_mask("it.img").alias("img_mask"))
 
 
+GROUP_ROWS = 1 << 15         # rows of one side that a contrastive tile has, at most
+SCORE_TILE = 1 << 22         # scores that a task holds at once
+ARGMAX_DIGITS = 10           # scores that round alike are a tie
+CONTRAST_SCHEMA = "batch_id long, pos long, target long, top double, rest double, best double, arg long, own double"
+
+
+def _unit_rows(vectors, eps: float = V.NORM_EPS) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return x / np.maximum(np.sqrt(np.square(x).sum(axis=1)), eps)[:, None]
+
+
+def _rows_by_group(frame: pd.DataFrame) -> dict:
+    """Group -> (row numbers of the frame)."""
+    return frame.groupby("grp", sort=False).indices
+
+
+def _online(state: tuple, scores: np.ndarray, cols: np.ndarray, target: np.ndarray) -> tuple:
+    """Merge a tile of scores (queries x columns) into running (maximum, scaled sum of exponents, best column, own score)."""
+    top, rest, best, arg, own = state
+    new_top = np.maximum(top, scores.max(axis=1))
+    # a maximum of -inf has nothing summed below it
+    rest = rest * np.exp(np.where(np.isfinite(top), top - new_top, 0.0)) + np.exp(scores - new_top[:, None]).sum(axis=1)
+    rounded = np.round(scores, ARGMAX_DIGITS)
+    tile_best = rounded.max(axis=1)
+    tile_arg = np.where(rounded == tile_best[:, None], cols[None, :], np.iinfo(np.int64).max).min(axis=1)
+    better = (tile_best > best) | ((tile_best == best) & (tile_arg < arg))
+    at = cols[None, :] == target[:, None]
+    own = np.where(at.any(axis=1), np.where(at, scores, -np.inf).max(axis=1), own)
+    return new_top, rest, np.where(better, tile_best, best), np.where(better, tile_arg, arg), own
+
+
+def _contrast_kernel(scale: float):
+    """One matrix product per (group, run of positives); a query's sums go on over the tiles of its group."""
+    def run(queries, frames):
+        frame, unit, rows_of = queries
+        state = {g: [np.full(len(r), -np.inf), np.zeros(len(r)), np.full(len(r), -np.inf), np.full(len(r), -1, np.int64), np.full(len(r), np.nan)]
+                 for g, r in rows_of.items()}
+        target = frame["target"].to_numpy(np.int64)
+        for positives in frames:
+            other, cols = _unit_rows(positives["vec"]), positives["col"].to_numpy(np.int64)
+            for g, theirs in _rows_by_group(positives).items():
+                mine = rows_of.get(g)
+                if mine is None:
+                    continue
+                step = max(1, SCORE_TILE // len(theirs))
+                for i in range(0, len(mine), step):
+                    rows = mine[i: i + step]
+                    scores = unit[rows] @ other[theirs].T * scale
+                    merged = _online(tuple(c[i: i + step] for c in state[g]), scores, cols[theirs], target[rows])
+                    for column, values in zip(state[g], merged):
+                        column[i: i + step] = values
+        for g, rows in rows_of.items():
+            top, rest, best, arg, own = state[g]
+            met = np.isfinite(top)
+            if met.any():
+                ids = {c: frame[c].to_numpy(np.int64)[rows][met] for c in ("batch_id", "pos", "target")}
+                yield pd.DataFrame(ids | {"top": top[met], "rest": rest[met], "best": best[met], "arg": arg[met], "own": own[met]})
+    return run
+
+
 def contrastive_eval(q: DataFrame, p: DataFrame, logit_scale: float, group_col: str = "batch_id",
-                     col_offset: Column | None = None) -> DataFrame:
+                     col_offset: Column | None = None, tile_rows: int = GROUP_ROWS) -> DataFrame:
     """In-batch contrastive loss and accuracy per batch.
 
     q: (batch_id, pos, vec) queries; p: (<group_col>, col, vec) positives, where
@@ -113,23 +176,33 @@ def contrastive_eval(q: DataFrame, p: DataFrame, logit_scale: float, group_col:
     the logits. Vectors are eps-normalised here. Loss is the cross
     entropy against the target (stable log-sum-exp); accuracy counts argmax ==
     target, ties to the lowest column.
+
+    Both sides are stored once, many small groups to a tile or a large group in
+    several; a task multiplies a tile of queries with tiles of positives and keeps
+    a running log-sum-exp and argmax per query, so no (query, positive) pair
+    becomes a row. What is shuffled is each item once and one row per query and
+    run of tiles.
     """
-    qn = V.with_l2_normalized_eps(q, "vec").withColumnRenamed("vec", "qv")
-    pn = V.with_l2_normalized_eps(p, "vec").withColumnRenamed("vec", "pv")
-    if col_offset is None:
-        qn = qn.withColumn("target", F.col("pos"))
-    else:
-        qn = qn.withColumn("target", F.col("pos") + col_offset)
-    s = qn.join(pn, group_col).select(
-        "batch_id", "pos", "target", "col", (V.dot("qv", "pv") * F.lit(math.exp(logit_scale))).alias("s"))
-    s = s.withColumn("m", F.max("s").over(Window.partitionBy("batch_id", "pos")))
-    per_q = s.groupBy("batch_id", "pos", "target").agg(
-        F.max("m").alias("m"),
-        F.sum(F.exp(F.col("s") - F.col("m"))).alias("z"),
-        F.max_by("col", F.struct(F.col("s"), -F.col("col"))).alias("argmax"),
-        F.max(F.when(F.col("col") == F.col("target"), F.col("s"))).alias("s_pos"),
-    ).select("batch_id", "pos", (F.col("m") + F.log("z") - F.col("s_pos")).alias("loss"),
-             F.when(F.col("argmax") == F.col("target"), 1.0).otherwise(0.0).alias("correct"))
+    target = F.col("pos") if col_offset is None else F.col("pos") + col_offset
+    grp = F.col(group_col).cast("long")
+    rows = p.count()
+    buckets = max(1, -(-2 * rows // tile_rows))
+    bucket = F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int")
+    left = q.select(grp.alias("grp"), F.col("batch_id").cast("long").alias("batch_id"), F.col("pos").cast("long").alias("pos"),
+                    target.cast("long").alias("target"), V.as_double("vec").alias("vec")).withColumn("bucket", bucket)
+    right = p.select(grp.alias("grp"), F.col("col").cast("long").alias("col"), V.as_double("vec").alias("vec")).withColumn("bucket", bucket)
+    found = tiles.meet(
+        tiles.tiled(left, "contrast-queries", tile_rows, ["batch_id", "pos"], "bucket"),
+        tiles.tiled(right, "contrast-positives", tile_rows, ["grp", "col"], "bucket"),
+        lambda frame: (frame, _unit_rows(frame["vec"]), _rows_by_group(frame)), _contrast_kernel(math.exp(logit_scale)), CONTRAST_SCHEMA)
+    # a query's parts come from different runs of tiles: their exponents are scaled to the common maximum
+    parts = found.groupBy("batch_id", "pos", "target").agg(
+        F.max("top").alias("m"), F.collect_list(F.struct("top", "rest")).alias("parts"),
+        F.min(F.struct(-F.col("best"), F.col("arg"))).getField("arg").alias("arg"),
+        F.max(F.when(~F.isnan("own"), F.col("own"))).alias("own"))
+    total = F.aggregate("parts", F.lit(0.0), lambda z, x: z + x["rest"] * F.exp(x["top"] - F.col("m")))
+    per_q = parts.select(
+        "batch_id", (F.col("m") + F.log(total) - F.col("own")).alias("loss"), F.when(F.col("arg") == F.col("target"), 1.0).otherwise(0.0).alias("correct"))
     return per_q.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n"),
         (F.round(F.avg("loss"), 6) + F.lit(0.0)).alias("loss"),

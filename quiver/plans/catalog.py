@@ -565,14 +565,21 @@ QUERIES.update({
 # ---- approximate search, projection, streaming ------------------------------------------
 
 
-IVF_CELLS = 16
-IVF_PROBE = 4
+IVF_CELLS = 16               # the least; cells grow with the pool
+IVF_PROBE = 8
+IVF_REACH = 0.4              # of a cell's radius that its bound counts
 
 
 def q_knn_ivf(spark, sf):
+    """Approximate: the bound counts a part of each cell's radius; every query gets k answers."""
     u = _unit_views(spark, sf, materialize=True)
-    return _hits_out(ivf.search_ivf(_queries(u), _pool(u), K_SEARCH, IVF_CELLS, IVF_PROBE,
-                                    materialize_inputs=False))
+    return _hits_out(ivf.search_ivf(_queries(u), _pool(u), K_SEARCH, None, IVF_PROBE, materialize_inputs=False, reach=IVF_REACH))
+
+
+def q_knn_ivf_exact(spark, sf):
+    """Cells are visited until no unvisited one can hold a better answer."""
+    u = _unit_views(spark, sf, materialize=True)
+    return _hits_out(ivf.search_ivf(_queries(u), _pool(u), K_SEARCH, None, IVF_PROBE, materialize_inputs=False, reach=1.0))
 
 
 def q_knn_ivf_full_probe(spark, sf):
@@ -603,6 +610,7 @@ def q_stream_search(spark, sf):
 
 QUERIES.update({
     "knn_ivf": q_knn_ivf,
+    "knn_ivf_exact": q_knn_ivf_exact,
     "knn_ivf_full_probe": q_knn_ivf_full_probe,
     "neighborhood_pca": q_neighborhood_pca,
     "stream_search": q_stream_search,
