@@ -222,11 +222,16 @@ def _local_rollup(batches):
         yield batch_of()
 
 
-def rollup(nodes: DataFrame, steps: DataFrame, root: int, local_nodes: int = LOCAL_NODES) -> DataFrame:
-    """NODE columns, n_leaves and saved_tokens of every node, summed over its subtree; ``nodes`` and ``steps`` are stored."""
+def whole_tree(nodes: DataFrame, root: int) -> DataFrame:
+    """``nodes`` as one component, whose top is the root, with nothing added yet."""
+    zero = F.lit(0).cast("long")
+    return nodes.withColumns({"comp_rep": F.lit(root).cast("long"), "comp_depth": zero, "add_leaves": zero, "add_saved": zero})
+
+
+def rollup(state: DataFrame, steps: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
+    """NODE columns, n_leaves and saved_tokens of every node, summed over its subtree; ``state`` (:func:`whole_tree`) and ``steps`` are stored."""
     zero, comp = F.lit(0).cast("long"), ["comp_rep", "comp_depth"]
-    state = nodes.withColumns({"comp_rep": F.lit(root).cast("long"), "comp_depth": zero, "add_leaves": zero, "add_saved": zero})
-    small, finished = [], []
+    small, finished, columns = [], [], state.columns
     while True:
         # a component's top has all of it below
         tops = state.where("rep = comp_rep AND depth = comp_depth").where(F.col("size") > local_nodes).select(*comp, F.col("size").alias("comp_size"))
@@ -257,8 +262,8 @@ def rollup(nodes: DataFrame, steps: DataFrame, root: int, local_nodes: int = LOC
             .withColumns({"size": F.col("size") - added["t_size"], "add_leaves": F.col("add_leaves") + added["t_leaves"],
                           "add_saved": F.col("add_saved") + added["t_saved"], "comp_rep": F.when(F.col("under"), F.col("next")).otherwise(F.col("comp_rep")),
                           "comp_depth": F.when(F.col("under"), F.col("c_depth") + 1).otherwise(F.col("comp_depth"))})
-            .select(*nodes.columns, *comp, "add_leaves", "add_saved"), "trie-components")
-        drop(nodes.sparkSession, sided_path)
+            .select(*columns), "trie-components")
+        drop(steps.sparkSession, sided_path)
     rest = small[0]
     for more in small[1:]:
         rest = rest.unionByName(more)
@@ -334,9 +339,9 @@ def trie(conversations: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
     members, _ = members_of(keys, convs)
     drop(conversations.sparkSession, keys_path)
     steps, _ = steps_of(members)
-    nodes, _ = store(nodes_of(members, steps, convs), "trie-nodes")
     root = convs.agg(F.min("conv")).first()[0]
-    done = rollup(nodes, steps, root if root is not None else 0, local_nodes)
+    tree, _ = store(whole_tree(nodes_of(members, steps, convs), root if root is not None else 0), "trie-components")
+    done = rollup(tree, steps, local_nodes)
     none = hashlib.sha256(b"").hexdigest()
     return done.join(ends_of(members, convs), ["rep", "depth"], "left").select(
         F.col("rep").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens",
