@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quiver.functions import text as T
 from quiver.functions import vectors as V
-from quiver.operators import encode, ivf, knn, lookup, pairs, project, runlog, views
+from quiver.operators import encode, index, ivf, knn, lookup, pairs, project, runlog, views
 from quiver.operators import metrics as M
 from quiver.plans import evaluate as E
 from quiver.session import scratch_path, spread
@@ -582,6 +582,28 @@ def q_knn_ivf_exact(spark, sf):
     return _hits_out(ivf.search_ivf(_queries(u), _pool(u), K_SEARCH, None, IVF_PROBE, materialize_inputs=False, reach=1.0))
 
 
+PQ_FACTORY = "IVF,PQ16"      # 16 bytes a vector
+SQ_FACTORY = "PCA32,SQ8"     # 32 bytes a vector
+
+
+def q_knn_pq(spark, sf):
+    """Approximate: cells, product codes of what the centroids leave over, a shortlist scored exactly."""
+    u = _unit_views(spark, sf, materialize=True)
+    return _hits_out(index.Index(_pool(u), PQ_FACTORY).search(_queries(u), K_SEARCH, IVF_PROBE, IVF_REACH))
+
+
+def q_knn_pq_exact(spark, sf):
+    """Product codes, and every vector scored exactly that its code doesn't rule out."""
+    u = _unit_views(spark, sf, materialize=True)
+    return _hits_out(index.Index(_pool(u), "PQ16").search(_queries(u), K_SEARCH, exact=True))
+
+
+def q_knn_sq8_exact(spark, sf):
+    """Bytes per principal component, and every vector scored exactly that its code doesn't rule out."""
+    u = _unit_views(spark, sf, materialize=True)
+    return _hits_out(index.Index(_pool(u), SQ_FACTORY).search(_queries(u), K_SEARCH, exact=True))
+
+
 def q_knn_ivf_full_probe(spark, sf):
     """Probing every cell makes the cell-partitioned search exact."""
     u = _unit_views(spark, sf, materialize=True)
@@ -611,6 +633,9 @@ def q_stream_search(spark, sf):
 QUERIES.update({
     "knn_ivf": q_knn_ivf,
     "knn_ivf_exact": q_knn_ivf_exact,
+    "knn_pq": q_knn_pq,
+    "knn_pq_exact": q_knn_pq_exact,
+    "knn_sq8_exact": q_knn_sq8_exact,
     "knn_ivf_full_probe": q_knn_ivf_full_probe,
     "neighborhood_pca": q_neighborhood_pca,
     "stream_search": q_stream_search,

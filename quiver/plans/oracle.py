@@ -442,6 +442,8 @@ SELECT id, {_rv(_MLP)} AS vec FROM xs""",
 SQL.update({
     "knn_ivf_full_probe": _knn("TRUE", "TRUE", 10),
     "knn_ivf_exact": _knn("TRUE", "TRUE", 10),
+    "knn_pq_exact": _knn("TRUE", "TRUE", 10),
+    "knn_sq8_exact": _knn("TRUE", "TRUE", 10),
     "stream_search": _knn("q.modality = 'it'", "c.modality = 'it'", 10),
 })
 
