@@ -14,6 +14,8 @@ row, without a shuffle.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,34 +30,47 @@ SMOOTHING = 1.0
 COST = 1.0
 EPOCHS = 12
 CALIBRATED_SHARE = 5         # one row in so many is kept for the logistic curve
-PIECE = 1 << 20              # longer texts give their n-grams piece by piece
+PIECE = 1 << 20              # bytes that are hashed at once, about
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 # ---------------------------------------------------------------- features
 
-def _piece_features(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
+def _trigrams(data: bytes) -> np.ndarray:
+    """Numbers of the byte trigrams; pieces share two bytes, so none is lost at a cut."""
     found = []
-    if len(raw) >= 3:
-        wide = raw.astype(np.uint64)
-        found.append(mixed((wide[:-2] << np.uint64(16)) | (wide[1:-1] << np.uint64(8)) | wide[2:], BITS))
-    blank = np.concatenate(([True], (raw == 32) | ((raw >= 9) & (raw <= 13)), [True]))
-    starts = np.nonzero(blank[:-1] & ~blank[1:])[0]
-    if len(starts):
-        words = stretch(prefixes(raw), starts, np.nonzero(~blank[:-1] & blank[1:])[0])
+    for at in range(0, max(1, len(data) - 2), PIECE):
+        wide = np.frombuffer(data[at: at + PIECE + 2], np.uint8).astype(np.uint64)
+        if len(wide) >= 3:
+            found.append(np.unique(mixed((wide[:-2] << np.uint64(16)) | (wide[1:-1] << np.uint64(8)) | wide[2:], BITS)))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    """The hash of every word in order; pieces end at blanks, so no word is cut."""
+    found, at = [], 0
+    while at < len(data):
+        cut = BLANK.search(data, at + PIECE)
+        end = cut.start() if cut else len(data)
+        raw = np.frombuffer(data[at:end], np.uint8)
+        blank = np.concatenate(([True], (raw == 32) | ((raw >= 9) & (raw <= 13)), [True]))
+        starts = np.nonzero(blank[:-1] & ~blank[1:])[0]
+        if len(starts):
+            found.append(stretch(prefixes(raw), starts, np.nonzero(~blank[:-1] & blank[1:])[0]))
+        at = end + 1
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def text_features(data: bytes) -> np.ndarray:
+    """The sorted distinct n-gram numbers of a text, below 2**BITS."""
+    found, words = [_trigrams(data)], _word_hashes(data)
+    if len(words):
         found.append(mixed(words + np.uint64(11), BITS))
         found.append(mixed(words[:-1] * np.uint64(31) + words[1:] + np.uint64(7), BITS))
         same = words[:-1] == words[1:]
         runs = [same.any(), (same[:-1] & same[1:]).any(), (same[:-3] & same[1:-2] & same[2:-1] & same[3:]).any()]
         found.append(np.nonzero(runs)[0].astype(np.uint64))    # indicators 0 to 2: one word 2, 3, 5 times in a row
-    return np.unique(np.concatenate(found)).astype(np.int32) if found else np.zeros(0, np.int32)
-
-
-def text_features(data: bytes) -> np.ndarray:
-    """The sorted distinct n-gram numbers of a text, below 2**BITS."""
-    if len(data) <= PIECE:
-        return _piece_features(data)
-    return np.unique(np.concatenate([_piece_features(data[i: i + PIECE]) for i in range(0, len(data), PIECE)]))
+    return np.unique(np.concatenate(found)).astype(np.int32)
 
 
 # ---------------------------------------------------------------- model
