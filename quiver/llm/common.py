@@ -40,6 +40,18 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have in any case of letters: the given ones, marked and lengthened until they are new."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name)
+        found.append(name)
+    return found
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now.
 

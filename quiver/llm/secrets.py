@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiver.llm import spans
-from quiver.llm.common import text_or_empty
+from quiver.llm.common import fresh_names, text_or_empty
 
 # Fixed values of the contract: kinds in their order, their patterns and least lengths.
 KINDS = ["assign", "access", "hex", "entropy"]
@@ -126,19 +126,20 @@ def _allowed(match: Column) -> Column:
     return F.regexp_like(match, F.lit(ALLOWED)) | F.regexp_like(match, F.lit(ALLOWED_PATH)) & ~key_like
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans`` (base and added), both arrays of spans."""
+def with_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with two further columns, base spans and all spans, and their names, which no column of ``docs`` has."""
+    base, every, long = fresh_names(docs, "base", "spans", "long")
     text = text_or_empty()
     assign = F.filter(spans.find_all(text, ASSIGN, 0, (":", "=")), lambda s: F.length(
         F.regexp_extract(s["match"], ASSIGN_VALUE, 1)) >= ASSIGN_LEAST)
     access, hexes = spans.find_all(text, ACCESS, 1, ("AKIA",)), spans.find_all(text, HEX, 2)
-    found = docs.withColumn("_base", F.concat(assign, access, hexes))
-    found = found.withColumn("_long", spans.find_all(text, CANDIDATE, 3))
-    added = F.filter("_long", lambda s: ~spans.overlaps(s, F.col("_base")) & ~_allowed(s["match"])
+    found = docs.withColumn(base, F.concat(assign, access, hexes))
+    found = found.withColumn(long, spans.find_all(text, CANDIDATE, 3))
+    added = F.filter(long, lambda s: ~spans.overlaps(s, F.col(base)) & ~_allowed(s["match"])
                      & ~F.regexp_like(F.substring(text, F.greatest(s["start"] - 15, F.lit(1)),
                                                   F.least(s["start"], F.lit(16))), F.lit(ALLOWED_BEFORE))
                      & _is_random(s["match"]))
-    return found.withColumn("_spans", F.concat("_base", added)).drop("_long")
+    return found.withColumn(every, F.concat(base, added)).drop(long), base, every
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -148,20 +149,21 @@ def scan(docs: DataFrame) -> DataFrame:
     empty string and an empty ``spans``. Repeated rows and null ids give rows of
     their own; an empty table gives none; other columns are ignored.
     """
-    return with_spans(docs.select("doc_id", "text")).select(
-        "doc_id", *[spans.count_kind(F.col("_base"), k).alias(f"n_{KINDS[k]}") for k in range(3)],
-        F.sha2(spans.joined(F.col("_base"), KINDS, by_kind=False), 256).alias("base_sha256"),
-        spans.joined(F.col("_spans"), KINDS, by_kind=False).alias("spans"))
+    found, base, every = with_spans(docs.select("doc_id", "text"))
+    return found.select(
+        "doc_id", *[spans.count_kind(F.col(base), k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        F.sha2(spans.joined(F.col(base), KINDS, by_kind=False), 256).alias("base_sha256"),
+        spans.joined(F.col(every), KINDS, by_kind=False).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found secret replaced by ``mark`` and n_chars counted anew where text changed.
 
-    All rows and columns stay; null texts stay null.
+    All rows and columns stay, whatever the columns are named; null texts stay null.
     """
-    found = with_spans(docs)
-    hit = F.size("_spans") > 0
-    changed = found.withColumn("text", F.when(hit, spans.redacted(text_or_empty(), F.col("_spans"), mark))
+    found, _, every = with_spans(docs)
+    hit = F.size(every) > 0
+    changed = found.withColumn("text", F.when(hit, spans.redacted(text_or_empty(), F.col(every), mark))
                                .otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType))
