@@ -206,7 +206,9 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, direct_limit: int =
     """
     if not 1 <= max_bits <= MAX_BITS:
         raise ValueError(f"max_bits must be 1 to {MAX_BITS}")
-    keys = distinct_fps.mapInArrow(_emit_keys, "key long, fp long")
+    # a fingerprint is few bytes but gives some hundred keys: as many tasks as shuffles have, not one by the size of the rows
+    tasks = int(distinct_fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = distinct_fps.repartition(tasks).mapInArrow(_emit_keys, "key long, fp long")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sized = keys.join(counts.hint("merge"), "key")       # sizes before the key step mislead the planner
     direct = (sized.filter(F.col("n") <= direct_limit).groupBy("key").agg(F.collect_list("fp").alias("members"))
