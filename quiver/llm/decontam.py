@@ -28,7 +28,7 @@ from quiver.llm.spans import let
 WINDOW_WORDS = 5
 LEAST_SHARE = 0.8            # of the item's distinct windows, and of slots that agree
 LEAST_LITERALS = 3           # templates with fewer literal words say nothing; such windows are widened
-WIDEST = 20                  # words of a widened template, at most; beyond, only the exact copy is met
+WIDEST = 20                  # words that a template is widened over; further on, whole stretches between literal words are taken
 BROADCAST_WINDOWS = 500_000  # benchmark windows that are broadcast, at most; each takes about 100 bytes
 
 #: a word, with the mark or line break after it that ends a sentence
@@ -64,7 +64,7 @@ def _canonical(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def windows(docs: DataFrame, id_column: str, short: tuple[int, ...] = ()) -> DataFrame:
+def windows(docs: DataFrame, id_column: str, short: tuple[int, ...] = (), every: bool = True) -> DataFrame:
     """(id, at, hash, slots, window): the windows of each text, word for word and as templates.
 
     ``window`` is the hash of the words that a row stands for; where it equals
@@ -73,6 +73,12 @@ def windows(docs: DataFrame, id_column: str, short: tuple[int, ...] = ()) -> Dat
     begin. A text of one to four words is one window; ``short`` has the lengths
     below five of which windows are wanted from longer texts too. A text that
     can't hold a placeholder takes a shorter way to the same windows.
+
+    Where WIDEST words hold too few literal ones, the windows between two literal
+    words share one template: the stretch from behind the earlier one to the
+    next that makes it WIDEST words or LEAST_LITERALS literal ones long, and the
+    same to the other side. All of those windows give a row, the first with the
+    slots; without ``every`` only the first does.
     """
     k = WINDOW_WORDS
     row = "struct<at:int,hash:bigint,slots:array<string>,window:bigint>"
@@ -129,7 +135,44 @@ def windows(docs: DataFrame, id_column: str, short: tuple[int, ...] = ()) -> Dat
             return F.concat(F.when(n_literal >= LEAST_LITERALS, F.array(template(c, i, F.lit(k), window))).otherwise(rich), whole)
 
         filled = F.filter(spots(c["v"], width), lambda i: F.exists(part(c["v"], i, width), lambda x: x.isNotNull()))
-        return F.flatten(F.transform(filled, one))
+        near = F.flatten(F.transform(filled, one))
+        return F.concat(near, far(c)) if width == k else near
+
+    def far(c: Column) -> Column:
+        """Rows of windows from which LEAST_LITERALS literal words are further than WIDEST words off."""
+        size = F.size(c["v"])
+
+        def stretch(first: Column, last: Column, begin: Column, end: Column) -> Column:
+            """Rows of the windows that begin at ``first`` to ``last``; their template goes from ``begin`` to ``end``."""
+            def rows(x: Column) -> Column:
+                return F.transform(F.sequence(first, last if every else first), lambda i: F.struct(
+                    x["at"].alias("at"), x["hash"].alias("hash"),
+                    F.when(i == first, x["slots"]).otherwise(F.expr("cast(array() as array<string>)")).alias("slots"),
+                    F.xxhash64(part(c["low"], i, k)).alias("window")))
+            wanted = (first <= last) & begin.isNotNull() & end.isNotNull()
+            return F.when(wanted, let(template(c, begin, end - begin + 1, F.lit(0).cast("long")), rows)).otherwise(none)
+
+        def around(literals: Column) -> Column:
+            def at(j: Column) -> Column:
+                return F.get(literals, j)
+
+            def both(here: Column, j: Column) -> Column:
+                begin, end = F.coalesce(at(j - 1) + 1, F.lit(0)), F.coalesce(at(j + 1) - 1, size - 1)
+                right = F.when(here - begin + 1 >= WIDEST, here).when(at(j + 1) - begin + 1 >= WIDEST, at(j + 1)).otherwise(at(j + 2))
+                left = F.when(end - here + 1 >= WIDEST, here).when(end - at(j - 1) + 1 >= WIDEST, at(j - 1)).otherwise(at(j - 2))
+                ahead = stretch(begin, F.least(here, at(j + 2) - WIDEST, size - k), begin, right)
+                behind = stretch(F.greatest(here, at(j - 2) + WIDEST, F.lit(k - 1)) - (k - 1), end - (k - 1), left, end)
+                return F.concat(ahead, behind)
+            n = F.size(literals)
+            # nothing is far unless so many words lie between a literal one and the third after it, or before the third or after the third last
+            apart = F.exists(F.arrays_zip(literals.alias("x"), F.slice(literals, LEAST_LITERALS + 1, F.greatest(n, F.lit(1))).alias("y")),
+                             lambda p: p["y"] - p["x"] > WIDEST)
+            edge = (F.coalesce(at(F.lit(LEAST_LITERALS - 1)), size) >= WIDEST) | (size - F.coalesce(at(n - LEAST_LITERALS), F.lit(0)) > WIDEST)
+            return F.when((n > 0) & (apart | edge), F.flatten(F.transform(literals, both))).otherwise(none)
+
+        placeholders = F.size(F.filter(c["v"], lambda x: x.isNotNull()))
+        numbered = F.transform(c["v"], lambda x, i: F.when(x.isNull(), i).otherwise(-1))
+        return F.when(placeholders > WIDEST - LEAST_LITERALS, let(F.filter(numbered, lambda i: i >= 0), around)).otherwise(none)
 
     def plain_rows(words: Column) -> Column:
         return F.concat(*[literal(words, w) for w in (k, *short)])
@@ -171,7 +214,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "window").distinct(),
         "benchmark-windows")
     small = items.count() <= BROADCAST_WINDOWS
-    asked = windows(docs.filter("doc_id is not null"), "doc_id", _short_lengths(benchmark)).drop("window").withColumnRenamed("id", "doc_id")
+    asked = windows(docs.filter("doc_id is not null"), "doc_id", _short_lengths(benchmark), every=False).drop("window").withColumnRenamed("id", "doc_id")
     hits, _ = store(asked.join(F.broadcast(items) if small else items, "hash"), "window-hits")
     sizes = items.groupBy("item_id").agg(F.countDistinct("window").alias("item_windows"))
     shares = (hits.groupBy("doc_id", "item_id", "window").agg(F.max((F.col("hash") == F.col("window")).cast("int")).alias("literal"))

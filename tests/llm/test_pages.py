@@ -232,6 +232,27 @@ def test_items_dense_with_placeholders_and_short_items(spark):
     assert _reported(spark, texts, items) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (7, 1)}
 
 
+def test_items_of_long_runs_of_numbers(spark):
+    """Templates go on over a run of any length; its length and what stands beside it must agree."""
+    def sums(numbers, tail="find the next line"):
+        return ", ".join(f"{a} + {b} = {c}" for a, b, c in numbers) + ", " + tail
+    first = [(n, n + 1, 2 * n + 1) for n in range(3, 33, 2)]
+    other = [(n, n + 4, 2 * n + 4) for n in range(100, 145, 3)]
+    items = [sums(first), "list " + " ".join(str(n * n) for n in range(900)) + " done"]
+    texts = [sums(first), "we met it here " + sums(other), "see " + sums(other[:-2]), sums(other, "buy some new lamps"),
+             "my list " + " ".join(str(n * n * n) for n in range(900)) + " done", "list " + " ".join(str(n * n * n) for n in range(899)) + " done"]
+    assert _reported(spark, texts, items) == {(0, 0), (1, 0), (4, 1)}
+
+
+def test_far_templates_are_one_a_stretch(spark):
+    """A run of thousands of numbers gives rows in proportion to it, its slots once."""
+    text = "start " + " ".join(map(str, range(3000))) + " end of it"
+    rows = decontam.windows(spark.createDataFrame([(1, text)], "item_id long, text string"), "item_id").collect()
+    assert len(rows) < 12_000 and sum(len(r.slots) for r in rows) < 200_000
+    rows = decontam.windows(spark.createDataFrame([(1, text)], "item_id long, text string"), "item_id", every=False).collect()
+    assert sum(r.hash != r.window for r in rows) < 100 and max(len(r.slots) for r in rows) == 3000
+
+
 def test_share_is_of_all_windows(spark):
     """The few windows with enough literal words do not stand for the whole item."""
     item = "12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 are what we call"

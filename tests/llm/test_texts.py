@@ -325,6 +325,17 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert got[10].n_chars == len(got[10].text) and got[12].text == TRICKY[2]
 
 
+def test_redaction_under_any_column_names(spark):
+    """Columns named like the ones in use come through as they are; the secret is nowhere in the output."""
+    secret = "AKIA" + "Z9" * 10
+    docs = spark.createDataFrame([(1, f"key {secret} end", 5, "a", "b", "c", "d"), (2, None, None, None, None, None, None)],
+                                 "doc_id long, text string, n_chars long, _base string, _spans string, _long string, _LONG_ string")
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns
+    rows = {r.doc_id: r for r in got.collect()}
+    assert tuple(rows[1]) == (1, "key [SECRET] end", 16, "a", "b", "c", "d") and tuple(rows[2]) == (2, *[None] * 6)
+
+
 @pytest.mark.parametrize("source", ["table", "awkward"])
 def test_personal_data_matches_brute_force(spark, docs, source):
     table = docs if source == "table" else H.awkward_docs(spark, *TRICKY)
@@ -343,6 +354,30 @@ def test_personal_data_matches_brute_force(spark, docs, source):
 
 # ---------------------------------------------------------------- quality
 
+def test_quality_features_of_texts_in_pieces(monkeypatch):
+    """Words, word pairs, runs of one word and byte trigrams over a cut are those of the whole."""
+    draw = np.random.default_rng(6)
+    texts = [" ".join("".join(draw.choice(list("abé"), draw.integers(1, 9))) for _ in range(200)).encode() for _ in range(20)]
+    texts += [b"", b" ", b"ab", b"x" * 500, b" " * 100, b"same " * 40, "a\x0b\x0cb\r\nc ".encode() * 30]
+    whole = [quality.text_features(t).tolist() for t in texts]
+    for piece in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert [quality.text_features(t).tolist() for t in texts] == whole
+
+
+def test_quality_features_of_three_mebibytes():
+    draw = np.random.default_rng(7)
+    words = ["".join(draw.choice(list("abcdefgh"), draw.integers(3, 9))) for _ in range(3000)]
+    text = " ".join(draw.choice(words, 500_000)).encode()
+    assert len(text) > 3 << 20
+    got, piece = quality.text_features(text), quality.PIECE
+    try:
+        quality.PIECE = len(text)
+        assert (quality.text_features(text) == got).all()
+    finally:
+        quality.PIECE = piece
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
