@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quiver.functions import half
 from quiver.operators import views
 from quiver.session import spread
 
@@ -193,12 +194,6 @@ def fuse_mlp(txt: Column, img: Column, weights: dict[str, np.ndarray]) -> Column
 
 # ---- half precision -----------------------------------------------------------------------
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _fp16_round_trip(v: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else np.asarray(x, np.float32).astype(np.float16).astype(np.float32)
-                      for x in v])
-
-
 def quantize_fp16(vec: Column) -> Column:
     """Store-as-half round trip (round to nearest even in float16, back to float)."""
-    return _fp16_round_trip(vec)
+    return half.rounded(vec)

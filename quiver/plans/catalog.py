@@ -592,6 +592,15 @@ def q_knn_pq(spark, sf):
     return _hits_out(index.Index(_pool(u), PQ_FACTORY).search(_queries(u), K_SEARCH, IVF_PROBE, IVF_REACH))
 
 
+LSH_PROBE = 15               # buckets of 16
+
+
+def q_knn_lsh(spark, sf):
+    """Approximate: buckets of hyperplane codes in growing balls, a shortlist by Hamming distance scored exactly."""
+    u = _unit_views(spark, sf, materialize=True)
+    return _hits_out(index.Index(_pool(u), "LSH").search(_queries(u), K_SEARCH, LSH_PROBE))
+
+
 def q_knn_pq_exact(spark, sf):
     """Product codes, and every vector scored exactly that its code doesn't rule out."""
     u = _unit_views(spark, sf, materialize=True)
@@ -633,6 +642,7 @@ def q_stream_search(spark, sf):
 QUERIES.update({
     "knn_ivf": q_knn_ivf,
     "knn_ivf_exact": q_knn_ivf_exact,
+    "knn_lsh": q_knn_lsh,
     "knn_pq": q_knn_pq,
     "knn_pq_exact": q_knn_pq_exact,
     "knn_sq8_exact": q_knn_sq8_exact,
@@ -720,10 +730,8 @@ def _stored_by_split(spark, sf):
 
 
 def q_embedding_store(spark, sf):
-    """The test split of the store read back and searched; embedding_store_splits does so for all splits."""
-    read = _stored_by_split(spark, sf)
-    return _hits_out(knn.search_topk(read("query", "test").select(F.col("id").alias("qid"), F.col("modality").alias("q_mod"), "vec"),
-                                     read("cand", "test").select(F.col("id").alias("doc_id"), F.col("modality").alias("c_mod"), "vec"), K_SEARCH))
+    """Every vector of the store read back and searched against every other, as one list."""
+    return q_embedding_store_splits(spark, sf).drop("split")
 
 
 def q_embedding_store_splits(spark, sf):
@@ -736,5 +744,15 @@ def q_embedding_store_splits(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
-QUERIES.update({"qrels_files": q_qrels_files, "embedding_store": q_embedding_store,
+def q_pool_append(spark, sf):
+    """A pool grown by three batches of interleaved ids, searched by the fused queries."""
+    from quiver.sources.growing import GrowingPool
+    u = _unit_views(spark, sf, materialize=True)
+    pool = GrowingPool(spark, scratch_path(spark, "quiver-growing"))
+    for part in range(3):
+        pool.append(_pool(u, ["it"]).where(F.col("doc_id") % 3 == part))
+    return _hits_out(knn.search_topk(_queries(u, ["it"]), pool.read(), K_SEARCH))
+
+
+QUERIES.update({"pool_append": q_pool_append, "qrels_files": q_qrels_files, "embedding_store": q_embedding_store,
                 "embedding_store_splits": q_embedding_store_splits})

@@ -445,6 +445,7 @@ SQL.update({
     "knn_pq_exact": _knn("TRUE", "TRUE", 10),
     "knn_sq8_exact": _knn("TRUE", "TRUE", 10),
     "stream_search": _knn("q.modality = 'it'", "c.modality = 'it'", 10),
+    "pool_append": _knn("q.modality = 'it'", "c.modality = 'it'", 10),
 })
 
 
@@ -528,7 +529,7 @@ SQL.update({
     "qrels_files": f"""SELECT {_SPLIT} AS split, vec_id::VARCHAR AS qid,
        array_to_string(list_sort(list_distinct([vec_id::VARCHAR, (2 * vec_id + 1)::VARCHAR])), ',') AS doc_ids,
        CAST(2 AS BIGINT) AS n_docs, (label % 5)::VARCHAR AS task_id FROM embeddings""",
-    "embedding_store": f"""WITH h AS (SELECT vec_id AS id, list_transform({_FP16}, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 10 = 1),
+    "embedding_store": f"""WITH h AS (SELECT vec_id AS id, list_transform({_FP16}, lambda x: x::DOUBLE) AS v FROM embeddings),
 n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM h),
 u AS (SELECT id, CASE WHEN s > 0 THEN list_transform(v, lambda x: x / s) ELSE v END AS v FROM n),
 scored AS (SELECT q.id AS qid, 'i' AS q_mod, 'i' AS c_mod, c.id AS doc_id, round(list_dot_product(q.v, c.v), 6) + 0.0 AS score

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiver.functions import half as H
+
 
 def write_pool(pool: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Unit vectors as Parquet, one directory per modality, sorted by id inside files
@@ -18,20 +20,21 @@ def write_pool(pool: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_embeddings(store: DataFrame, path: str, mode: str = "overwrite", half: bool = False) -> None:
     """Embedding store (side, split, modality, id, vector): one file set per side x split x modality.
 
-    ``half`` rounds the vectors to half precision first.
+    ``half`` stores two bytes an element, packed in a binary column whose metadata
+    has the dimension.
     """
-    if half:
-        from quiver.operators.encode import quantize_fp16
-        store = store.withColumn("vector", quantize_fp16(F.col("vector")))
-    store.write.mode(mode).partitionBy("side", "split", "modality").parquet(path)
+    stored = H.with_packed(store, "vector") if half else store
+    stored.write.mode(mode).partitionBy("side", "split", "modality").parquet(path)
 
 
 def read_embeddings(spark, path: str, side: str, split: str, modalities: list[str] | None = None) -> DataFrame:
-    """(id, modality, vec) of one side and split; only their folders are read."""
-    found = spark.read.parquet(path).where((F.col("side") == side) & (F.col("split") == split))
+    """(id, modality, vec) of one side and split, of either kind of store; only their folders are read."""
+    stored = spark.read.parquet(path)
+    vector = H.unpacked(stored, "vector") if H.is_packed(stored, "vector") else F.col("vector")
+    found = stored.where((F.col("side") == side) & (F.col("split") == split))
     if modalities is not None:
         found = found.where(F.col("modality").isin(modalities))
-    return found.select("id", "modality", F.col("vector").cast("array<double>").alias("vec"))
+    return found.select("id", "modality", vector.cast("array<double>").alias("vec"))
 
 
 def report_file_name(now: datetime | None = None) -> str:
