@@ -30,7 +30,7 @@ from quiver.llm.common import drop, store, utf8_list
 from quiver.llm.dom import Block, blocks
 
 TRAIN_PAGES = 500            # labelled pages that the fit sees, at most
-VARIANTS = 3                 # frames that each of them is learnt in besides its own
+VARIANTS = 4                 # frames that each of them is learnt in besides its own
 BITS = 14
 EPOCHS = 6
 RATE = 0.3
@@ -47,9 +47,15 @@ OTHER_FRAMES = [("nav", ()), ("header", ()), ("footer", ()), ("aside", ()), ("fo
                 ("div", ("ad",)), ("div", ("ads",)), ("div", ("advert",)), ("div", ("sponsored",)), ("div", ("promo",)),
                 ("section", ("related",)), ("div", ("share",)), ("div", ("social",)), ("div", ("newsletter",)),
                 ("div", ("login",)), ("div", ("widget",)), ("div", ("copyright",)), ("div", ("popup",)), ("div", ("cookies",)),
-                ("div", ("subscribe",)), ("div", ("search",)), ("aside", ("sidebar",)), ("div", ("consent",))]
+                ("div", ("subscribe",)), ("div", ("search",)), ("aside", ("sidebar",)), ("div", ("consent",)),
+                ("div", ("advertisement",)), ("ins", ("adsense",)), ("div", ("sponsor",)), ("div", ("toolbar",)), ("div", ("pagination",)),
+                ("div", ("teaser",)), ("div", ("signup",)), ("div", ("login", "form")), ("ul", ("links",)), ("div", ("recommended",))]
 COMMENT_FRAMES = [("section", ("comments",)), ("div", ("comments",)), ("div", ("comment", "list")), ("ol", ("comments",)),
-                  ("div", ("responses",)), ("div", ("discussion",)), ("div", ("comment",)), ("div", ("replies",))]
+                  ("div", ("responses",)), ("div", ("discussion",)), ("div", ("comment",)), ("div", ("replies",)),
+                  ("div", ("reactions",)), ("div", ("feedback",)), ("section", ("reviews",)), ("div", ("disqus", "thread")), ("ul", ("commentary",))]
+BARE = 0.15                  # of the drawn pages have no frame around their article, half of these nothing else either
+LINKED, CAPTIONED = 0.04, 0.15   # of the drawn articles' blocks are one link, of the articles have a caption
+RUNNING_WORDS = 8            # words of a block of running text, where no page of a table marks its article
 
 
 # ---------------------------------------------------------------- features
@@ -59,6 +65,7 @@ def _path_features(path: tuple) -> tuple:
     tags, names = [t for t, _ in path], {n for _, parts in path for n in parts}
     found = {f"t:{t}" for t in tags} | {f"c:{n}" for n in names} | {f"p:{t}" for t in tags[-1:]} | {f"d:{min(len(path), 8)}"}
     found |= {f"c:{n[:-1]}" for n in names if n.endswith("s") and len(n) > 3}
+    found |= {f"c5:{n[:5]}" for n in names if len(n) > 5}              # advert, advertisement, adverts
     return tuple(sorted({_number(f) for f in found}))
 
 
@@ -184,13 +191,23 @@ def own_labels(page: list[Block]) -> list[int]:
     return [label(b) for b in page]
 
 
+def running_labels(page: list[Block]) -> list[int]:
+    """1 for blocks of running text outside of navigation and the like; for tables in which no page marks its article."""
+    def label(block: Block) -> int:
+        return int(block.text.count(" ") + 1 >= RUNNING_WORDS and 2 * block.linked < len(block.text)
+                   and not any(t in ASIDE_TAGS for t, _ in block.path))
+    return [label(b) for b in page]
+
+
 def reframed(page: list[Block], labels: list[int], draw: random.Random) -> tuple[list[Block], list[int]]:
     """The same texts in another frame, with other things around and inside the article."""
     main = [b for b, y in zip(page, labels) if y]
     other = [b for b, y in zip(page, labels) if not y] or [Block((), "…", 0)]
-    outer = (("html", ()), ("body", ())) + draw.choice([(), (("div", ("wrapper",)),), (("div", ("container",)), ("div", ())), (("div", ()),)])
-    frame = draw.choice(MAIN_FRAMES)
-    inner = draw.choice([(), (), (("div", ()),), (("section", ()),)])
+    bare = draw.random() < BARE
+    alone = bare and draw.random() < 0.5
+    outer = draw.choice([(("html", ()), ("body", ())), ()]) if bare else (("html", ()), ("body", ())) + draw.choice(
+        [(), (("div", ("wrapper",)),), (("div", ("container",)), ("div", ())), (("div", ()),)])
+    around = () if bare else (draw.choice(MAIN_FRAMES),) + draw.choice([(), (), (("div", ()),), (("section", ()),)])
 
     def junk(place: tuple, n: int) -> list[tuple[Block, int]]:
         box, found = draw.choice(OTHER_FRAMES), []
@@ -201,47 +218,60 @@ def reframed(page: list[Block], labels: list[int], draw: random.Random) -> tuple
         return found
 
     result = []
-    for _ in range(draw.randint(0, 3)):
+    for _ in range(0 if alone else draw.randint(0, 3)):
         result += junk((), draw.randint(1, 5))
-    for block in main:
+    captioned = draw.randint(0, len(main) - 1) if draw.random() < CAPTIONED else None
+    for i, block in enumerate(main):
         tail = block.path[-1:] if block.path and block.path[-1][0] not in MAIN_TAGS else ()
         tail = tail if draw.random() < 0.8 else (draw.choice([("blockquote", ()), ("li", ()), ("h2", ()), ("pre", ()), ("td", ()), ("div", ())]),)
-        result.append((Block(outer + (frame,) + inner + tail, block.text, block.linked), 1))
-        if draw.random() < 0.06:
-            result += junk((frame,) + inner, draw.randint(1, 2))
-    if draw.random() < 0.6:
-        box, place = draw.choice(COMMENT_FRAMES), (frame,) if draw.random() < 0.3 else ()
+        result.append((Block(outer + around + tail, block.text, len(block.text) if draw.random() < LINKED else block.linked), 1))
+        if i == captioned or captioned is not None and i + 1 == len(main) and draw.random() < 0.5:
+            text = " ".join(draw.choice(main).text.split()[: draw.randint(2, 12)])
+            result.append((Block(outer + around + draw.choice([(("figure", ()), ("figcaption", ())), (("figcaption", ()),), (("p", ("caption",)),)]), text, 0), 1))
+        if not bare and draw.random() < 0.06:
+            result += junk(around, draw.randint(1, 2))
+    if not alone and draw.random() < 0.6:
+        box, place = draw.choice(COMMENT_FRAMES), around if draw.random() < 0.3 else ()
         leaf = draw.choice([(("p", ()),), (("div", ("comment",)), ("p", ())), (("li", ()),), (("div", ()),)])
         for _ in range(draw.randint(1, 6)):
             result.append((Block(outer + place + (box,) + leaf, draw.choice(main).text, 0), 0))
-    for _ in range(draw.randint(1, 3)):
+    for _ in range(0 if alone else draw.randint(1, 3)):
         result += junk((), draw.randint(1, 4))
     return [b for b, _ in result], [y for _, y in result]
 
 
-def _fit_in_task(batches):
-    chains = []
-    for batch in batches:
-        for page_id, html in zip(batch.column("page_id").to_pylist(), utf8_list(batch.column("html"))):
-            page = blocks(html.decode())
-            labels = own_labels(page)
-            if any(labels):
-                draw = random.Random(page_id)
-                framed = [(page, labels)] + [reframed(page, labels, draw) for _ in range(VARIANTS)]
-                chains += [(chain_features(p), y) for p, y in framed]
-    field = fit(chains)
-    yield pa.record_batch({"weight": pa.array([field.weight.tobytes()]), "pair": pa.array([field.pair])})
+def _fit_in_task(label):
+    def run(batches):
+        chains = []
+        for batch in batches:
+            for page_id, html in zip(batch.column("page_id").to_pylist(), utf8_list(batch.column("html"))):
+                page = blocks(html.decode())
+                labels = label(page)
+                if any(labels):
+                    draw = random.Random(page_id)
+                    framed = [(page, labels)] + [reframed(page, labels, draw) for _ in range(VARIANTS)]
+                    chains += [(chain_features(p), y) for p, y in framed]
+        field = fit(chains)
+        yield pa.record_batch({"weight": pa.array([field.weight.tobytes()]), "pair": pa.array([field.pair])})
+    return run
 
 
 def train(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Field:
-    """Fit on at most ``train_pages`` pages that mark their article (null ids left out)."""
-    marked = pages.filter(F.col("page_id").isNotNull() & F.regexp_like("html", F.lit("(?i)<(?:article|main)[ >]")))
+    """Fit on at most ``train_pages`` pages that mark their article (null ids left out).
+
+    Where no page does, on pages with running text, which stands for the article.
+    """
+    known = pages.filter(F.col("page_id").isNotNull() & F.col("html").isNotNull())
+    marked = known.filter(F.regexp_like("html", F.lit("(?i)<(?:article|main)[ >]")))
+    label = own_labels
+    if marked.isEmpty():
+        marked, label = known, running_labels
     ids = marked.select(F.col("page_id").cast("long").alias("page_id")).distinct().orderBy(
         F.xxhash64("page_id"), "page_id").limit(train_pages)
     chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").join(
         F.broadcast(ids), "page_id").groupBy("page_id").agg(F.max("html").alias("html"))      # at most train_pages rows
     rows, path = store(chosen, "labelled-pages")
-    found = rows.orderBy("page_id").coalesce(1).mapInArrow(_fit_in_task, "weight binary, pair array<double>").collect()
+    found = rows.orderBy("page_id").coalesce(1).mapInArrow(_fit_in_task(label), "weight binary, pair array<double>").collect()
     drop(pages.sparkSession, path)
     if not found:
         return Field(np.zeros(1 << BITS), [0.0] * 6)
@@ -257,9 +287,9 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of ``pages`` (page_id, url, html).
 
     Null html is an empty page with an empty text. Repeated rows and null ids
-    give rows of their own; an empty table gives none; a table without any page
-    that marks its article gives empty texts, as nothing is learnt; other columns
-    are ignored.
+    give rows of their own; an empty table gives none; in a table without any page
+    that marks its article, blocks of running text outside of navigation are what is
+    learnt from; other columns are ignored.
     """
     field = field or train(pages)
 
