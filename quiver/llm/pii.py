@@ -3,11 +3,11 @@
 DataFrame functions only. Base kinds are found by their patterns and checks.
 Generators of high recall propose further, overlapping spans in the same row;
 each candidate is described by its format and by the words around it. Boosted
-trees learn from a bounded sample of documents which candidates are personal
-data (positive: a base finding covers the same stretch), one half of the sample
-calibrates a threshold per generator, and the trees become one SQL expression
-that scores every candidate of every document in its own row. Nothing but the
-sample is shuffled.
+trees learn from one half of all documents which candidates are personal data
+(positive: a base finding covers the same stretch), the other half calibrates a
+threshold per generator, and the trees become one SQL expression that scores
+every candidate of every document in its own row. No text is shuffled: what is
+kept of a candidate is its numbers.
 """
 
 from __future__ import annotations
@@ -44,7 +44,6 @@ CONTEXT_WORDS = [            # one feature each: is any of these just before the
     r"(?i:order|invoice|\bno\b|nr\.?|version|isbn|page|section|§)",
 ]
 
-SAMPLE_DOCS = 6000           # documents that training and calibration look at (those with the smallest hashes)
 TREES, DEPTH = 12, 4
 PRECISION = 0.98             # least precision of a generator's accepted candidates on the calibration half
 LEAST_POSITIVES = 20         # with fewer in either half a generator adds nothing
@@ -134,22 +133,20 @@ class Model:
         return self.score(x) >= F.get(least, span["kind"])
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on the candidates of the ``sample_docs`` documents with the smallest id hashes.
+def train(docs: DataFrame) -> Model:
+    """Fit on the candidates of all documents.
 
-    Half of them (by another hash) grows the trees, the other calibrates. A
-    sample without both labels gives a model that accepts nothing.
+    Half of them (by a hash of the id) grows the trees, the other calibrates.
+    Documents without both labels give a model that accepts nothing.
     """
     spark = docs.sparkSession
-    ids = (docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-           .withColumn("half", F.pmod(F.hash("doc_id"), F.lit(2))))
-    sampled = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")  # at most sample_docs rows
-    labelled = (sampled.withColumn("base", base_spans(F.col("text")))
+    halved = docs.select(F.pmod(F.hash("doc_id"), F.lit(2)).alias("half"), text_or_empty().alias("text"))
+    labelled = (halved.withColumn("base", base_spans(F.col("text")))
                 .withColumn("found", candidates(F.col("text")))
                 .select("half", "text", "base", F.explode("found").alias("s"))
                 .select("half", F.col("s.kind").alias("generator"), features(F.col("text"), F.col("s")).alias("x"),
                         _flag(_same_stretch(F.col("s"), F.col("base"))).alias("label")))
-    rows, path = store(labelled, "pii-sample")
+    rows, path = store(labelled, "pii-candidates")
     present = {r["label"] for r in rows.filter("half = 0").select("label").distinct().collect()}
     if len(present) < 2:
         drop(spark, path)

@@ -354,6 +354,14 @@ def test_personal_data_matches_brute_force(spark, docs, source):
 
 # ---------------------------------------------------------------- quality
 
+def test_pii_learns_from_all_documents(spark, monkeypatch):
+    docs = spark.range(7000).selectExpr("id AS doc_id", "concat('write to a', id, '@example.org') AS text")
+    seen, kept = [], pii.store
+    monkeypatch.setattr(pii, "store", lambda df, name: (lambda r: (seen.append(r[0].count()), r)[1])(kept(df, name)))
+    pii.train(docs)
+    assert seen[0] >= 7000
+
+
 def test_quality_features_of_texts_in_pieces(monkeypatch):
     """Words, word pairs, runs of one word and byte trigrams over a cut are those of the whole."""
     draw = np.random.default_rng(6)
