@@ -105,8 +105,8 @@ def pair_flatten(pairs: DataFrame) -> DataFrame:
         T.binary_mask("it.img").alias("img_mask"))
 
 
-GROUP_ROWS = 1 << 15         # rows of one side that a contrastive tile has, at most
-SCORE_TILE = 1 << 22         # scores that a task holds at once
+GROUP_ROWS = 1 << 13         # rows of one side that a contrastive tile has, at most
+SCORE_TILE = 1 << 19         # scores that a task holds at once
 ARGMAX_DIGITS = 10           # scores that round alike are a tie
 CONTRAST_SCHEMA = "batch_id long, pos long, target long, top double, rest double, best double, arg long, own double"
 
