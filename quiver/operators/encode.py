@@ -28,6 +28,7 @@ from quiver.session import spread
 # Fixed values.
 ENCODE_BATCH = 16
 HASH_DIM = 64
+CACHED_TOKENS = 1 << 16      # hashes that an encoder keeps, about 10 MB
 TEXT_SALT = ""
 IMAGE_SALT = "img:"
 
@@ -36,7 +37,7 @@ class HashingEncoder:
     """Signed feature hashing: token -> md5 -> bucket (h mod dim) and sign (bit above it).
 
     A batch is tokenised with Arrow compute; md5 runs once per distinct token
-    (cached across batches), and rows are accumulated with one ``bincount``.
+    (the latest ones are kept across batches), and rows are accumulated with one ``bincount``.
     """
 
     def __init__(self, dim: int = HASH_DIM, salt: str = ""):
@@ -53,8 +54,9 @@ class HashingEncoder:
         for i, v in enumerate(vals):
             if v is None:
                 vals[i] = v = self._pack(uniq[i])
-                if len(self._cache) < 2_000_000:
-                    self._cache[uniq[i]] = v
+                if len(self._cache) >= CACHED_TOKENS:
+                    self._cache.clear()
+                self._cache[uniq[i]] = v
         return np.fromiter(vals, np.int64, len(vals))
 
     def encode_text(self, text: str | None) -> np.ndarray:
