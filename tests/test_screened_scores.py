@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quiver.operators import coded, index, ivf, knn, pairs, tiles
+from quiver.operators import coded, encode, index, ivf, knn, pairs, tiles
 from tests.test_cells_tiles import drawn, rows_of
 
 
@@ -88,3 +88,33 @@ def test_next_round_visits_as_many_cells_again():
     at, worst = np.array([0, 2, 3, 3]), np.array([np.inf, np.inf, 0.5, 2.0])
     assert ivf._following(key, at, worst, 2, 1.0).tolist() == [3, 4, 3, 4]
     assert ivf._following(key, at, worst, 2, None).tolist() == [3, 4, 3, 3]
+
+
+def test_new_entries_are_merged_into_sorted_lists(monkeypatch):
+    """Before, a list and its new entries were sorted anew, by three keys."""
+    draw = np.random.default_rng(8)
+    acc, every = knn.empty_topk(30, 9), []
+    for step in range(6):
+        rows, keys, docs = draw.integers(0, 30, 300), draw.integers(-4, 5, 300).astype(float), draw.integers(0, 99, 300)
+        keys[::11] = np.inf
+        knn._insert(*acc, rows, keys, docs)
+        every += list(zip(rows, keys, docs))
+    for i in range(30):
+        want = sorted((k, d) for r, k, d in every if r == i and np.isfinite(k))[:9]
+        assert list(zip(acc[0][i], acc[1][i])) == want
+    sizes, sort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys, axis=-1: (sizes.append(np.asarray(keys[0]).size), sort(keys, axis=axis))[1])
+    acc = knn.empty_topk(50, 200)
+    acc[0][:], acc[1][:] = np.arange(200.0), np.arange(200)
+    knn._insert(*acc, np.arange(50), np.full(50, 3.5), np.full(50, 7))
+    assert sizes == [50] and (acc[0][:, 4] == 3.5).all() and (acc[1][:, 4] == 7).all() and acc[0].max() == 198
+
+
+def test_an_encoder_keeps_few_tokens(monkeypatch):
+    """Before, an encoder kept up to two million tokens, in every worker and for each column."""
+    monkeypatch.setattr(encode, "CACHED_TOKENS", 50)
+    made = encode.HashingEncoder()
+    texts = np.array([" ".join(f"w{i * 7 + j}" for j in range(30)) for i in range(40)], dtype=object)
+    got = np.concatenate([made(texts[a: a + 4]) for a in range(0, 40, 4)])
+    assert len(made._cache) <= 50
+    assert (got == np.stack([encode.HashingEncoder().encode_text(t) for t in texts])).all()
