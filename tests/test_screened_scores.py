@@ -90,6 +90,41 @@ def test_next_round_visits_as_many_cells_again():
     assert ivf._following(key, at, worst, 2, None).tolist() == [3, 4, 3, 3]
 
 
+def test_screen_needs_no_new_tiles():
+    """Before, every tile of numbers and of marks was a new array."""
+    draw = np.random.default_rng(5)
+    X = draw.normal(size=(6000, 8))
+    screen = knn.Screen(X[:40], X, "ip")
+    first = screen.tile(slice(0, 40), 0, 2048)
+    marked = screen.marks("may", np.greater_equal, first, np.zeros(40, np.float32))
+    assert np.shares_memory(screen.tile(slice(0, 40), 2048, 4096), first)
+    assert np.shares_memory(screen.marks("may", np.greater_equal, first, np.zeros(40, np.float32)), marked)
+    odd = screen.tile(slice(3, 10), 5, 1206)                     # a width that isn't one of whole words
+    mask = screen.marks("may", np.greater_equal, odd, np.full(7, 1.5, np.float32))
+    assert mask.shape == (7, 1208) and not mask[:, 1201:].any()
+    assert [x.tolist() for x in knn._marked(mask)] == [x.tolist() for x in np.nonzero(odd >= 1.5)]
+
+
+@pytest.mark.parametrize("width", [5, 8, 2048, 8 * 600])
+def test_rows_are_counted_by_words(width):
+    draw = np.random.default_rng(6)
+    for share in (0.0, 0.01, 1.0):
+        mask = draw.random((9, width)) < share
+        assert knn._per_row(mask).tolist() == mask.sum(axis=1).tolist()
+
+
+def test_few_and_many_marks():
+    draw = np.random.default_rng(7)
+    for empty in (0, 30):                                        # with most rows marked, and with few
+        mask = np.zeros((40, 256), bool)
+        mask[empty:, :5] = True
+        mask[35] = draw.random(256) < 0.9
+        want = mask.copy()
+        want[35] = False
+        r, c, many = knn._few(mask)
+        assert many.tolist() == [35] and [r.tolist(), c.tolist()] == [x.tolist() for x in np.nonzero(want)]
+
+
 def test_new_entries_are_merged_into_sorted_lists(monkeypatch):
     """Before, a list and its new entries were sorted anew, by three keys."""
     draw = np.random.default_rng(8)
