@@ -1,6 +1,9 @@
 """Tiles that meet in pairs, cells visited until their bounds allow no better answer, tiled contrastive scores."""
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +122,47 @@ def test_empty_sides(spark):
     assert rows_of(knn.search_topk(q.where("false"), p, 3, min_blocks=2)) == []
 
 
+def sizes_kernel():
+    def run(n_q, frames):                      # made here, so that workers needn't import this file
+        n = [len(f) for f in frames]
+        yield pd.DataFrame({"n_q": [n_q], "n_p": [sum(n)], "most_p": [max(n)]})
+    return run, "n_q long, n_p long, most_p long"
+
+
+def test_frames_of_a_tile(tmp_path):
+    """All rows in order; a large file is cut, small ones are put together."""
+    names, sizes, at = [], (50, 7, 0, 8, 1, 40), 0
+    for i, n in enumerate(sizes):
+        names.append(str(tmp_path / f"{i}.parquet"))
+        pq.write_table(pa.table({"id": pa.array(range(at, at + n), pa.int64()), "vec": pa.array([[float(x)] * 3 for x in range(at, at + n)], pa.list_(pa.float64()))}), names[-1])
+        at += n
+    frames = list(tiles.read_frames(names, 20))
+    assert [len(f) for f in frames] == [20, 20, 17, 9, 20, 20]
+    assert [i for f in frames for i in f["id"]] == list(range(at)) and all((f["vec"].str[2] == f["id"]).all() for f in frames)
+    assert list(tiles.read_frames([], 20)) == []
+
+
+def test_tasks_hold_frames_of_blocks_and_shards(spark, monkeypatch):
+    """Before, a task held a whole query block and a whole pool shard."""
+    q, p = drawn(spark, 12, 60, 500)
+    want = rows_of(knn.search_topk(q, p, 5))
+    monkeypatch.setattr(knn, "FRAME_BYTES", 16 * (8 * 8 + 96))
+    assert rows_of(knn.search_topk(q, p, 5, min_blocks=2)) == want
+    sizes = knn.run_blocked(q, p, ["qid", "q_mod"], len, *sizes_kernel(), min_blocks=2).collect()
+    assert max(r.n_q for r in sizes) <= 16 and max(r.most_p for r in sizes) <= 16
+    assert sum(r.n_q * r.n_p for r in sizes) == q.count() * p.count()                       # every pair of rows meets once
+
+
+def test_job_lists_need_no_python(spark):
+    """Before, a list of jobs was a Python RDD, read by workers of their own."""
+    q, p = drawn(spark, 13, 10, 30)
+    met = tiles.meet(tiles.tiled(q, "q", 5, ["qid"]), tiles.tiled(p, "p", 20, ["doc_id"]), len, *sizes_kernel())
+    dealt = tiles.deal(spark, [(files, "x") for _, files in tiles.tiled(p, "p", 20, ["doc_id"]).tiles], lambda f, word: [pd.DataFrame({"n": [len(f)]})], "n long")
+    assert sum(r.n_q * r.n_p for r in met.collect()) == q.count() * p.count() and sum(r.n for r in dealt.collect()) == p.count()
+    for found in (met, dealt):
+        assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- contrastive ------------------------------------------------------------------------
 
 def plain_contrast(Q, P, q_rows, p_rows, scale):

@@ -62,6 +62,13 @@ def test_kernels_hold_small_tiles():
     assert peak_mb(lambda: list(pairs._contrast_kernel(1.0)((asked, pairs._unit_rows(asked["vec"]), pairs._rows_by_group(asked)), [frame]))) < 60
 
 
+def test_first_scores_are_held_in_portions():
+    """Before, the first candidates of 512 queries had all their scores in double precision, several times over."""
+    draw = np.random.default_rng(3)
+    X, ids = draw.normal(size=(2048, 16)), np.arange(2048)
+    assert peak_mb(lambda: knn.topk_merge(X, ids, X, ids, 10, "ip", True)) < 20
+
+
 def test_probes_are_not_stored(spark, monkeypatch):
     """What a cell search writes is each table once, however many cells a query visits."""
     q, p = drawn(spark, 3, 30, 400)
