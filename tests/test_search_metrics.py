@@ -306,3 +306,28 @@ def test_deep_topk_with_ties_across_batches(spark, metric, exclude_self):
     for i, q in enumerate(qids):
         cand = sorted((S[i, j], docs[j]) for j in range(70) if not (exclude_self and docs[j] == q))
         assert got_lists[q] == [d for _, d in cand[:25]], (q, metric)
+
+
+def test_what_a_search_finds_is_not_broadcast(spark, monkeypatch):
+    """Before, thresholds, counts and hits were planned as broadcasts, since they came from a short list of jobs."""
+    from quiver.operators import lookup, project
+    rng = np.random.default_rng(21)
+    units = spark.createDataFrame([(i, m, rng.normal(size=6).tolist(), i % 4) for i in range(80) for m in ("i", "t")],
+                                  "id long, modality string, vec array<double>, rel_key int")
+    q = units.select(F.col("id").alias("qid"), F.col("modality").alias("q_mod"), "vec", "rel_key")
+    p = units.select(F.col("id").alias("doc_id"), F.col("modality").alias("c_mod"), "vec", "rel_key")
+    plans, written = [], knn.materialize
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+    monkeypatch.setattr(knn, "materialize", lambda df: written(planned(df)))
+    ranks = planned(knn.first_relevant_rank(q, p, None, exclude_self=True, min_blocks=2))
+    hits = knn.search_topk(q, p, 5, min_blocks=2)
+    vectors = units.select("id", F.col("modality").alias("c_mod"), "vec")
+    found, missing = (planned(x) for x in lookup.hit_vectors(hits, vectors))
+    points = planned(project.neighborhood_pca(hits, q.select("qid", "q_mod", "vec"), vectors))
+    assert len(plans) == 5 and all("Join" in x and "BroadcastExchange" not in x for x in plans)
+    want = knn.first_relevant_rank(q, p, None, exclude_self=True)
+    assert sorted(map(tuple, ranks.collect())) == sorted(map(tuple, want.collect()))
+    assert (found.count(), missing.count(), points.count()) == (160 * 2 * 5, 0, 160 * 2 * 6)
