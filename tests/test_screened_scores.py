@@ -160,3 +160,56 @@ def test_an_encoder_keeps_few_tokens(monkeypatch):
     got = np.concatenate([made(texts[a: a + 4]) for a in range(0, 40, 4)])
     assert len(made._cache) <= 50
     assert (got == np.stack([encode.HashingEncoder().encode_text(t) for t in texts])).all()
+
+
+def test_first_lists_come_from_few_candidates(monkeypatch):
+    """Before, the first 2,048 candidates of a query were all scored in double precision."""
+    draw = np.random.default_rng(9)
+    X, ids, scored = draw.normal(size=(300, 8)), np.arange(300), []
+    C, docs, keys = draw.normal(size=(6000, 8)), draw.permutation(6000), knn._keys
+    want = np.lexsort((np.broadcast_to(docs, (300, 6000)), keys(X, C, "ip")), axis=-1)[:, :5]
+    monkeypatch.setattr(knn, "_keys", lambda Q, C, metric: (scored.append(len(Q) * len(C)), keys(Q, C, metric))[1])
+    found = knn.topk_merge(X, ids, C, docs, 5, "ip", False)
+    assert (found[1] == docs[want]).all() and sum(scored) <= 300 * 2 * knn.FIRST_COLS
+
+
+def test_rows_below_their_bound_are_not_marked(monkeypatch):
+    """Before, every number of a tile was compared and marked, in rows without any of interest too."""
+    draw = np.random.default_rng(10)
+    X = draw.normal(size=(400, 8))
+    screen, found = knn.Screen(X, X, "ip"), None
+    found = screen.tile(slice(0, 400), 0, 400)
+    found[7] = np.nan
+    least = np.full(400, 1e9, np.float32)
+    least[[3, 9]], sizes, marks = 5.0, [], screen.marks
+    monkeypatch.setattr(screen, "marks", lambda name, compare, part, bound: (sizes.append(part.shape), marks(name, compare, part, bound))[1])
+    rows, cols, many = screen.passing(found, least, 400)
+    assert [rows.tolist(), cols.tolist()] == [x.tolist() for x in np.nonzero(found >= least[:, None])] and len(many) == 0
+    assert sizes[0][0] <= 2
+    assert [len(x) for x in screen.passing(found, np.full(400, np.inf, np.float32))] == [0, 0, 0]
+
+
+def test_blocks_are_scored_as_one(monkeypatch):
+    """Before, each query modality had products of its own."""
+    draw = np.random.default_rng(11)
+    Q, C, calls, merge = draw.normal(size=(60, 5)), draw.normal(size=(90, 5)), [], knn.topk_merge
+    blocks = {"i": (np.arange(40), Q[:40]), "none": (np.arange(0), np.zeros((0, 0))), "t": (np.arange(20), Q[40:])}
+    monkeypatch.setattr(knn, "topk_merge", lambda *a, **b: (calls.append(len(a[1])), merge(*a, **b))[1])
+    found = pd.concat(knn._topk_kernel(3, "ip", False)(blocks, iter([pd.DataFrame({"doc_id": np.arange(90), "c_mod": "x", "vec": list(C)})])))
+    assert calls == [60] and found.groupby("q_mod").size().to_dict() == {"i": 120, "t": 60}
+    for (q_mod, qid), g in found.groupby(["q_mod", "qid"]):
+        want = np.argsort(-(C @ Q[qid + 40 * (q_mod == "t")]))[:3]
+        assert set(g["doc_id"]) == set(want)
+
+
+def test_a_query_is_stored_once_with_its_thresholds(spark):
+    """Before, a query's vector was stored for every modality of the pool."""
+    q, p = drawn(spark, 14, 12, 60)
+    thresholds = spark.createDataFrame([(i, m, c, -0.5, i) for i in range(12) for m in ("i", "t") for c in ("i", "t") if i or c == "i"],
+                                       "qid long, q_mod string, c_mod string, best_key double, best_doc long")
+    held = knn.with_thresholds(q, thresholds)
+    assert held.count() == 24
+    cells = knn._payload_by_cell(held.toPandas())
+    assert {cell: len(v[0]) for cell, v in cells.items()} == {("i", "i"): 12, ("t", "i"): 12, ("i", "t"): 11, ("t", "t"): 11}
+    counts = [sorted(map(tuple, knn.count_before(q, p, thresholds, min_blocks=n).collect())) for n in (1, 3)]
+    assert counts[0] == counts[1] and len(counts[0]) > 0
