@@ -213,3 +213,74 @@ def test_a_query_is_stored_once_with_its_thresholds(spark):
     assert {cell: len(v[0]) for cell, v in cells.items()} == {("i", "i"): 12, ("t", "i"): 12, ("i", "t"): 11, ("t", "t"): 11}
     counts = [sorted(map(tuple, knn.count_before(q, p, thresholds, min_blocks=n).collect())) for n in (1, 3)]
     assert counts[0] == counts[1] and len(counts[0]) > 0
+
+
+def coded_frames(draw, X, docs, codec, centroids, cell, parts):
+    """The rows of a coded pool, as its tiles hold them."""
+    codes = codec.encode(X - centroids[cell])
+    off = np.sqrt(np.square(X - centroids[cell] - codec.decode(codes)).sum(1))
+    sq = np.square(codec.decode(codes) + centroids[cell]).sum(1)
+    held = pd.DataFrame({"doc_id": docs, "cell": cell, "code": [c.tobytes() for c in codes], "sq": sq, "off": off, "vec": list(X)})
+    return [g for p in np.array_split(draw.permutation(len(X)), parts) for _, g in held.iloc[p].groupby("cell")]
+
+
+def some_codec(draw, X, kind):
+    if kind == "product":
+        return coded.ProductCodec(np.stack([X[draw.integers(0, len(X), coded.CODES), 2 * s: 2 * s + 2] for s in range(3)]))
+    basis = np.linalg.qr(draw.normal(size=(6, 6)))[0][:4]
+    return coded.ScalarCodec(basis, np.full(4, -4.0), np.full(4, 8.0 / coded.LEVELS))
+
+
+@pytest.mark.parametrize("kind", ["product", "scalar"])
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_codes_rule_out_in_single_precision(monkeypatch, kind, metric):
+    """Before, all coded scores were made in double precision, twice, and a pass of its own took the worst cases."""
+    draw = np.random.default_rng(12)
+    X, Q = odd_vectors(draw, 5000, "plain"), odd_vectors(draw, 700, "plain")
+    qids, docs = np.arange(700), draw.permutation(9000)[:5000]
+    docs[7:9] = docs[5]                                           # an id that comes more than once
+    codec, centroids = some_codec(draw, X, kind), draw.normal(size=(3, 6)) * 0.2
+
+    class Model:
+        value = codec, centroids
+    frames = coded_frames(draw, X, docs, codec, centroids, draw.integers(0, 3, 5000), 2)
+    monkeypatch.setattr(ivf, "frames_of", lambda *a: ((0, f) for f in frames))
+    if metric == "ip":
+        monkeypatch.setattr(coded, "coded_keys", lambda *a: pytest.fail("scored in double precision"))
+    best_k, best_d = coded._exact_within(Model, None, Q, qids, "i", 9, metric, True)
+    K = knn._keys(Q, X, metric)
+    K[qids[:, None] == docs[None, :]] = np.inf
+    order = np.lexsort((np.broadcast_to(docs, K.shape), K), axis=-1)[:, :9]
+    assert (best_d == docs[order]).all() and np.allclose(best_k, np.take_along_axis(K, order, 1), rtol=1e-12, atol=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["product", "scalar"])
+def test_ceilings_hold(kind):
+    draw = np.random.default_rng(13)
+    X, Q = draw.normal(size=(300, 6)), draw.normal(size=(40, 6))
+    centroids = draw.normal(size=(1, 6))
+    codec = some_codec(draw, X, kind)
+    frame = coded_frames(draw, X, np.arange(300), codec, centroids, np.zeros(300, int), 1)[0]
+    screen = coded.ceilings((codec, centroids), Q, frame)
+    true = Q @ np.stack(frame["vec"]).T
+    assert all((screen.tile(slice(0, 40), 0, 300)[:, j] >= screen.least(np.arange(40), -true[:, j])).all() for j in range(300))
+    want = Q @ (codec.decode(coded._codes(codec, frame)) + centroids[0]).T + np.linalg.norm(Q, axis=1)[:, None] * frame["off"].to_numpy()
+    assert np.allclose(screen.tile(slice(0, 40), 0, 300), want, atol=1e-4)
+
+
+def test_lists_that_all_ask_are_not_copied(monkeypatch):
+    """Before, the queries and their lists were copied out and back for every cell."""
+    draw = np.random.default_rng(14)
+    X, seen = draw.normal(size=(90, 4)), []
+
+    class Cells:
+        cells, mods, centroids = {"i": np.arange(3)}, ["i"], X[:3]
+
+        def bounds(self, Q, *a):
+            return np.zeros((len(Q), 3))
+    monkeypatch.setattr(ivf, "frames_of", lambda *a: ((j, pd.DataFrame({"doc_id": np.arange(j * 30, j * 30 + 30), "vec": list(X[j * 30: j * 30 + 30])})) for j in range(3)))
+    plain = ivf._by_vectors(4, "ip", False)
+    scoring = ivf.Scoring(lambda Q, qids, frame, acc: (seen.append(acc[0]), plain.merge(Q, qids, frame, acc))[1], plain.columns, plain.kernel)
+    acc, visited = ivf.visit(Cells(), X[:20], np.arange(20), "i", 4, 3, "ip", None, scoring)
+    assert len(seen) == 3 and all(x is acc[0] for x in seen) and visited.all()
+    assert (acc[1] == np.argsort(-(X[:20] @ X.T), axis=1)[:, :4]).all()
